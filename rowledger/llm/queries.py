@@ -72,8 +72,8 @@ WARC_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (
-  SELECT *, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 1 + 10 * q, 10))::BIGINT >> (35 - 5 * j)) & 31) + 1)::BIGINT, 1), '' ORDER BY q, j) AS payload_digest
-  FROM p, generate_series(0, 3) a(q), generate_series(0, 7) b(j) GROUP BY ALL),
+  SELECT page_id, payload, payload_bytes, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 1 + 10 * q, 10))::BIGINT >> (35 - 5 * j)) & 31) + 1)::BIGINT, 1), '' ORDER BY q, j) AS payload_digest
+  FROM p, generate_series(0, 3) a(q), generate_series(0, 7) b(j) GROUP BY page_id, payload, payload_bytes),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
