@@ -34,7 +34,7 @@ class Settings:
     #: The sample's bound: rows of each label.
     sample_rows: int = 2_500
     #: And bytes of each label.
-    sample_bytes: int = 6_000_000
+    sample_bytes: int = 2_500_000
     window: int = 48
     level: int = 9
     min_match: int = 5
