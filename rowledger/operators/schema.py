@@ -1,0 +1,62 @@
+"""Schema catalogs as data: lint, differences between versions, gates and reserved ranges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# Severities by number.
+SAFE, WARNING, ERROR, BLOCKER = 0, 1, 2, 3
+
+
+def lint_fields(fields: DataFrame) -> DataFrame:
+    """(table_id, field_id, rule) of fields (table_id, field_id, name, type, shape, key_order, targets, table_targets)."""
+    rules = {
+        "field.id": F.col("field_id") <= 0,
+        "key.shape": F.col("key_order").isNotNull() & (F.col("shape") != "scalar"),
+        "target.grammar": F.exists("targets", lambda t: ~t.rlike("^[a-z][a-z0-9-]*$")),
+        "target.repeated": F.size(F.array_distinct("targets")) < F.size("targets"),
+        "target.not_in_table": F.size(F.array_except("targets", "table_targets")) > 0,
+        "key.not_in_all_targets": F.col("key_order").isNotNull() & (F.size(F.array_except("table_targets", "targets")) > 0),
+    }
+    broken = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(rule)) for rule, bad in rules.items()]), lambda r: r.isNotNull())
+    one = fields.select("table_id", "field_id", F.explode(broken).alias("rule"))
+    ids = fields.groupBy("table_id", "field_id").count().where("count > 1").select("table_id", "field_id", F.lit("field.duplicate").alias("rule"))
+    orders = fields.where("key_order is not null").groupBy("table_id", "key_order").agg(F.count("*").alias("n"), F.min("field_id").alias("field_id")).where("n > 1").select("table_id", "field_id", F.lit("key.order_repeated").alias("rule"))
+    keyless = fields.groupBy("table_id").agg(F.count("key_order").alias("n")).where("n = 0").select("table_id", F.lit(None).cast("int").alias("field_id"), F.lit("table.no_key").alias("rule"))
+    return one.union(ids).union(orders).union(keyless)
+
+
+def diff_fields(prev: DataFrame, current: DataFrame) -> DataFrame:
+    """(table_id, field_id, change, severity) by numeric id; fields: table_id, field_id, name, type, required, has_default,
+    reserved (a removed field's number is set aside in current)."""
+    a = prev.where("not reserved").select("table_id", "field_id", F.col("name").alias("pn"), F.col("type").alias("pt"))
+    b = current.select("table_id", "field_id", F.col("name").alias("nn"), F.col("type").alias("nt"), "required", "has_default", "reserved")
+    j = a.join(b, ["table_id", "field_id"], "full_outer")
+    live = F.col("nn").isNotNull() & ~F.coalesce("reserved", F.lit(False))
+    entries = F.array(
+        F.when(F.col("pn").isNull() & live, F.struct(F.lit("added").alias("change"), F.when(F.col("required") & ~F.col("has_default"), ERROR).otherwise(SAFE).alias("severity"))),
+        F.when(F.col("pn").isNotNull() & ~live, F.struct(F.lit("removed").alias("change"), F.when(F.col("reserved"), WARNING).otherwise(BLOCKER).alias("severity"))),
+        F.when(F.col("pn").isNotNull() & live & (F.col("pn") != F.col("nn")), F.struct(F.lit("renamed").alias("change"), F.lit(SAFE).alias("severity"))),
+        F.when(F.col("pn").isNotNull() & live & (F.col("pt") != F.col("nt")), F.struct(F.lit("retyped").alias("change"), F.lit(BLOCKER).alias("severity"))),
+    )
+    return j.select("table_id", "field_id", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("table_id", "field_id", "e.*")
+
+
+def gate(reports: DataFrame, rules: DataFrame) -> DataFrame:
+    """(project, version, operation, allowed, reason): reports (project, version, severity, evidence) against a rule
+    frame (operation, ceiling, needs) of a few rows."""
+    sums = reports.groupBy("project", "version").agg(F.max("severity").alias("severity"), F.array_sort(F.collect_set("evidence")).alias("evidence"))
+    j = sums.join(F.broadcast(rules), F.col("severity").isNotNull())
+    lacking = (F.col("needs") != "") & ~F.array_contains("evidence", F.col("needs"))
+    reason = F.when(F.col("severity") > F.col("ceiling"), "severity").when(lacking, "evidence")
+    return j.select("project", "version", "operation", reason.isNull().alias("allowed"), reason.alias("reason"))
+
+
+def merge_reserved(ranges: DataFrame) -> DataFrame:
+    """(owner, first, last): overlapping or touching ranges of an owner as one."""
+    order = Window.partitionBy("owner").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("first") <= reach + 1, 0).otherwise(1)).over(order)
+    return ranges.withColumn("_i", island).groupBy("owner", "_i").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_i")
