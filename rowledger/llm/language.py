@@ -130,12 +130,11 @@ def code_lengths(model: Model, data: bytes) -> np.ndarray:
     """Bits of data for each language."""
     width, order = int(model.classes.max()) + 1, model.settings.order
     total = np.zeros(len(model.langs))
-    codes = model.classes[np.frombuffer(data, np.uint8)]
-    for a in range(0, len(codes), BLOCK):
-        lead = min(a, order)
-        part = codes[a - lead : a + BLOCK]
-        node = walk(part, model.child, width, order)[lead:]
-        total += model.bits[node.astype(np.int64) * width + part[lead:]].sum(0, dtype=np.float64)
+    codes = model.classes[np.frombuffer(b"\n" * order + data, np.uint8)]
+    for a in range(order, len(codes), BLOCK):
+        part = codes[a - order : a + BLOCK]
+        node = walk(part, model.child, width, order)[order:]
+        total += model.bits[node.astype(np.int64) * width + part[order:]].sum(0, dtype=np.float64)
     return total
 
 

@@ -5,11 +5,13 @@ document, its closing id included, lies in exactly one piece. Null and empty tex
 rows are packed each; extra columns are ignored; an empty table gives an empty result. Sequences hold at most `capacity`
 ids; they are padded up to it but for those whose ids are a power of two.
 
-Method. A document gives whole sequences and a rest. The rests' lengths, rounded up to `grain`, make a histogram of
-capacity / grain bins, the only thing that comes to the driver. A linear program over patterns (how many rests of each
-bin share a sequence) is solved by column generation: a knapsack dynamic program over the dual prices finds the pattern
-worth most until none is worth more than a sequence. Patterns are rounded down, what is left is packed by first fit
-decreasing, and the rests, ranked within their bin by hash buckets, take the patterns' places in order of rank.
+Method. A document gives whole sequences and a rest, and the rest is cut into halves, quarters and so on of a sequence,
+down to `unit` ids, and what remains below that: parts of few lengths fit together whatever lengths are common. The
+histogram of the lengths, at most `capacity` numbers, is the only thing that comes to the driver. A linear program over patterns (how
+many parts of each length share a sequence) is solved by column generation: a knapsack dynamic program over the dual
+prices finds the pattern worth most until none is worth more than a sequence. Patterns are rounded down, what is left
+is packed by first fit decreasing, and the parts, ranked within their length by hash buckets, take the patterns' places
+in order of rank.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window
 
 from rowledger.llm.common import bucket_count, materialize, order_hash, plus, running_start
 
-CAPACITY, GRAIN, END = 2_048, 8, 1
+CAPACITY, UNIT, END = 2_048, 128, 1
 #: Sequence ids: packed rests count up from zero, whole sequences from here.
 WHOLE = 1 << 62
 
@@ -60,8 +62,20 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, digest: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens) of each whole sequence and rest; ids as crc32 only if digest is set."""
+def cuts(n: int, capacity: int, unit: int) -> list[tuple[int, int]]:
+    """(start, length) of the parts of n ids."""
+    out = [(s, capacity) for s in range(0, n - capacity + 1, capacity)]
+    at, size = len(out) * capacity, capacity // 2
+    while size >= unit:
+        if n - at >= size:
+            out.append((at, size))
+            at += size
+        size //= 2
+    return [*out, (at, n - at)] if at < n else out
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT, end: int = END, digest: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens) of all parts; ids as crc32 only if digest is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -69,11 +83,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
             owner, start, length, total, payload = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
                 ids = np.array([*encode((t.as_py() or "")), end], "<u4")
-                for s in range(0, len(ids), capacity):
-                    part = ids[s : s + capacity]
+                for s, size in cuts(len(ids), capacity, unit):
+                    part = ids[s : s + size]
                     owner.append(i)
                     start.append(s)
-                    length.append(len(part))
+                    length.append(size)
                     total.append(len(ids))
                     payload.append(zlib.crc32(part.tobytes()) if digest else part.astype(np.int32))
             column = pa.array(payload, pa.int64() if digest else pa.list_(pa.int32()))
@@ -84,25 +98,24 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, start long, length long, {name} {kind}, doc_tokens long")
 
 
-def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the pattern worth most, item i weighing i + 1 units."""
-    n = len(values)
+def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the pattern worth most. sizes ascend."""
     best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        w = min(n, c)
-        worth = best[c - w : c][::-1] + values[:w]
-        i = int(worth.argmax())
-        if worth[i] > best[c - 1] + 1e-12:
-            best[c], item[c] = worth[i], i
-        else:
-            best[c] = best[c - 1]
-    pattern, c = np.zeros(n, np.int64), capacity
+        best[c] = best[c - 1]
+        if w := fit[c]:
+            worth = best[c - sizes[:w]] + values[:w]
+            i = int(worth.argmax())
+            if worth[i] > best[c] + 1e-12:
+                best[c], item[c] = worth[i], i
+    pattern, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0:
         if item[c] < 0:
             c -= 1
         else:
             pattern[item[c]] += 1
-            c -= item[c] + 1
+            c -= sizes[item[c]]
     return float(best[capacity]), pattern
 
 
@@ -117,9 +130,9 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 20_000) -> list[tuple
     inverse = np.diag([1.0 / (capacity // (r + 1)) for r in rows])
     x = inverse @ left[rows]
     for _ in range(rounds):
-        values = np.zeros(n)
-        values[rows] = inverse.sum(0)  # the duals: every pattern costs one sequence
-        worth, pattern = price(values, capacity)
+        worth, bought = price(rows + 1, inverse.sum(0), capacity)  # the duals: every pattern costs one sequence
+        pattern = np.zeros(n, np.int64)
+        pattern[rows] = bought
         if worth <= 1 + 1e-7:
             break
         direction = inverse @ pattern[rows]
@@ -164,21 +177,20 @@ def places(plan: list[tuple[np.ndarray, int]], n: int) -> list[tuple[np.ndarray,
     return [tuple(np.array(x, np.int64).reshape(-1, 4).T) for x in out]
 
 
-def place(parts: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (start, length and any more columns) with sequence_id and offset. parts is read more than once."""
-    units = capacity // grain
-    parts = parts.withColumn("_bin", F.ceil(F.col("length") / grain).cast("int")).withColumn("_h", order_hash(F.col("doc_id"), F.col("start"), F.col("length")))
+    parts = parts.withColumn("_bin", F.col("length").cast("int")).withColumn("_h", order_hash(F.col("doc_id"), F.col("start"), F.col("length")))
     parts = parts.withColumn("_one", F.lit(1).cast("long"))
-    histogram = {r["_bin"]: r["n"] for r in parts.groupBy("_bin").agg(F.count("*").alias("n")).collect()}  # at most `units` rows
+    histogram = {r["_bin"]: r["n"] for r in parts.groupBy("_bin").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     ranked = running_start(parts, "_bin", ["_h", "doc_id"], "_one", "_rank", bucket_count(sum(histogram.values())))
-    demand = np.array([histogram.get(i + 1, 0) for i in range(units - 1)], np.int64)
-    at = places(solve(demand, units), units - 1)
+    demand = np.array([histogram.get(i + 1, 0) for i in range(capacity - 1)], np.int64)
+    at = places(solve(demand, capacity), capacity - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bins, ranks = b.column("_bin").to_numpy(), b.column("_rank").to_numpy()
             seq, slot = ranks + WHOLE, np.zeros(len(ranks), np.int64)
-            for i in np.unique(bins[bins < units]):
+            for i in np.unique(bins[bins < capacity]):
                 m = bins == i
                 rank, first, many, base = at[i - 1]
                 k = np.searchsorted(rank, ranks[m], side="right") - 1
@@ -193,7 +205,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     return placed.withColumn("offset", offset).drop("_bin", "_rank", "_slot")
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, end: int = END, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT, end: int = END, digest: bool = False) -> DataFrame:
     """The pieces of all documents and their places; digest keeps a crc32 of each piece's ids instead of the ids."""
-    parts = pieces(docs, path or vocabulary(), capacity, end, digest)
-    return place(materialize(parts, "pack-pieces"), capacity, grain)
+    parts = pieces(docs, path or vocabulary(), capacity, unit, end, digest)
+    return place(materialize(parts, "pack-pieces"), capacity)

@@ -203,17 +203,17 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
     return Model(model.ordinary, model.toxic, tuple(w.tolist()), s)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score, all other columns kept."""
-    kept = docs.drop("score")
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with the column `out`, all other columns kept."""
+    kept = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for b in batches:
             scores = pa.array([scorer.score(t.as_py()) for t in b.column("text")], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, out])
 
-    return kept.mapInArrow(run, plus(kept.schema, score="double"))
+    return kept.mapInArrow(run, plus(kept.schema, **{out: "double"}))
 
 
 def classify(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
@@ -226,4 +226,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings | None = None) ->
     """The rows of docs below the cut, with their columns."""
     s = s or Settings()
     model = fit(docs, labels, s)
-    return score(docs, model).where(F.col("score") < s.cut).select(docs.columns)
+    return score(docs, model, "_toxicity").where(F.col("_toxicity") < s.cut).select(docs.columns)
