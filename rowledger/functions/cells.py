@@ -94,6 +94,8 @@ def parse_ref(token: Column) -> Column:
     grammar = r"^[1-9]\d{0,8}:(?:[A-Za-z0-9._~-]|%[0-9A-F]{2})+(?:\|(?:[A-Za-z0-9._~-]|%[0-9A-F]{2})+)*$"
     parts = F.transform(F.split(F.substring_index(token, ":", -1), r"\|"), F.try_url_decode)
     sound = F.forall(parts, lambda p: p.isNotNull() & ~p.rlike(r"[\x00-\x1f\x7f]"))
+    # Bytes that are no UTF-8 decode to the replacement character, which may also be meant.
+    sound = sound & (~F.array_join(parts, "").contains("\ufffd") | token.contains("%EF%BF%BD"))
     return F.when(token.rlike(grammar) & sound, F.struct(F.substring_index(token, ":", 1).cast("int").alias("table_id"), parts.alias("parts")))
 
 
