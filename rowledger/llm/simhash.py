@@ -110,15 +110,16 @@ def near_links(fps: DataFrame, max_bits: int = 4, bucket_limit: int = 96, chain:
     pairs = few.select("k", "v", F.col("fp").alias("a")).join(few.select("k", "v", F.col("fp").alias("b")), ["k", "v"]).where("a < b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
     pairs = pairs.where(chain_passes(diff, masks, max_bits, min(chain, m))).where(F.bit_count(diff) <= max_bits).select("a", "b")
-    # Crowded keys: balls of radius max_bits / 2 meet. For an odd distance one ball is larger by one.
+    # Crowded keys: balls of radius max_bits / 2 meet. For an odd distance one ball is larger by one. Merge joins: Spark's
+    # estimate leaves out that a fingerprint becomes thousands of points, and would send those through the driver.
     crowd = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
     points = ball_points(crowd, max_bits // 2).withColumnRenamed("fp", "a")
     if max_bits % 2 == 0:
         least = points.groupBy("point").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = points.join(least, "point")
+        met = points.hint("merge").join(least, "point")
     else:
         wide = ball_points(crowd, max_bits // 2 + 1)
-        met = wide.withColumnRenamed("fp", "b").join(points, "point")
+        met = wide.withColumnRenamed("fp", "b").hint("merge").join(points, "point")
     met = met.where("a <> b").select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).select("a", "b")
     return pairs.union(met).distinct()
 
