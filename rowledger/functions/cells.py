@@ -158,6 +158,37 @@ def write_join_map(values: Column, outer: str, inner: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(encode_atom(e["key"], outer), F.lit(inner), encode_atom(e["value"], outer))), outer)
 
 
+def parse_join_struct(text: Column, separator: str, fields: dict[str, str]) -> Column:
+    """Struct of canonical texts by position (fields: name to type); an empty part is absent; null for too many parts or an unparseable one."""
+    parts = split_delimited(text, separator)
+    blank = [F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) == "" for i in range(len(fields))]
+    values = [F.when(~b, canonicalize(decode_atom(F.get(parts, F.lit(i))), kind)) for i, (b, kind) in enumerate(zip(blank, fields.values(), strict=True))]
+    sound = reduce(lambda a, b: a & b, [b | v.isNotNull() for b, v in zip(blank, values, strict=True)], F.size(parts) <= len(fields))
+    return F.when(sound, F.struct(*[v.alias(n) for n, v in zip(fields, values, strict=True)]))
+
+
+def write_join_struct(value: Column, separator: str, names: list[str]) -> Column:
+    """Parts by position, without absent ones at the end."""
+    parts = F.array(*[F.coalesce(encode_atom(value[n], separator), F.lit("")) for n in names])
+    last = F.array_max(F.transform(parts, lambda p, i: F.when(p != "", i + 1).otherwise(0)))
+    return F.when(value.isNotNull(), F.array_join(F.slice(parts, F.lit(1), last), separator))
+
+
+def parse_named_struct(text: Column, outer: str, inner: str, fields: dict[str, str]) -> Column:
+    """Struct of canonical texts from name=value pairs; null for a name that is unknown or repeats, or an unparseable value."""
+    pairs = parse_join_map(text, outer, inner)
+    values = {n: canonicalize(F.try_element_at(pairs, F.lit(n)), kind) for n, kind in fields.items()}
+    known = F.forall(F.map_keys(pairs), lambda k: k.isin(*fields))
+    sound = reduce(lambda a, b: a & b, [F.try_element_at(pairs, F.lit(n)).isNull() | v.isNotNull() for n, v in values.items()], known)
+    return F.when(sound, F.struct(*[v.alias(n) for n, v in values.items()]))
+
+
+def write_named_struct(value: Column, outer: str, inner: str, names: list[str]) -> Column:
+    """name=value pairs of the fields that are set, in the order of names."""
+    parts = F.array(*[F.when(value[n].isNotNull(), F.concat(F.lit(n + inner), encode_atom(value[n], outer))) for n in names])
+    return F.when(value.isNotNull(), F.array_join(F.filter(parts, lambda p: p.isNotNull()), outer))
+
+
 def parse_with_legacy(canonical: Column, *legacy: Column) -> Column:
     """struct<value, legacy, error> of a text that several formats read, each null where it fails."""
     read = F.filter(F.array(canonical, *legacy), lambda v: v.isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rowledger.catalog import Field, Table
 from rowledger.functions import cells
-from rowledger.operators import changes, checks, graph, identity, merge, migration, references, release, schema, search
+from rowledger.operators import changes, checks, drafts, graph, identity, lookups, merge, migration, references, release, schema, search
 from rowledger.streaming import changes as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +632,113 @@ def newest(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT date_trunc('hour', ts) AS at, CAST(bit_or(1 << CAST(event_id % 4 AS INTEGER)) AS INTEGER) AS flags FROM events GROUP BY 1""")
 def triggers(spark: SparkSession, d: str) -> DataFrame:
     return stream.triggers(notices(spark, d), "1 hour")
+
+
+# --- drafts and lookups
+
+
+def draft_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Customers at revision key % 3, and drafts: additions under new keys, and by modulus deletions, edits and additions of what exists."""
+    k = F.col("c_custkey")
+    rows = t(spark, d, "customer").select("c_custkey", (k % 3).cast("bigint").alias("revision"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    kind = F.when(k % 13 == 0, "delete").when(k % 5 == 0, "edit").when(k % 17 == 0, "add")
+    old = rows.select("c_custkey", kind.alias("kind"), F.when(k % 10 == 0, F.concat("name", F.lit("M"))).otherwise(F.col("name")).alias("name"), (F.col("nation") + 1).alias("nation")).where("kind is not null")
+    new = rows.where("c_custkey % 7 = 0").select(-k - 1, F.when(k % 2 == 0, "add").otherwise("edit"), "name", "nation")
+    return rows, old.union(new)
+
+
+DRAFTS = """
+WITH r AS (SELECT c_custkey AS k, c_custkey % 3 AS revision, c_name AS name, c_nationkey AS nation FROM customer),
+d AS (
+  SELECT k, CASE WHEN k % 13 = 0 THEN 'delete' WHEN k % 5 = 0 THEN 'edit' ELSE 'add' END AS kind, CASE WHEN k % 10 = 0 THEN name || 'M' ELSE name END AS name, nation + 1 AS nation
+  FROM r WHERE k % 13 = 0 OR k % 5 = 0 OR k % 17 = 0
+  UNION ALL SELECT -k - 1, CASE WHEN k % 2 = 0 THEN 'add' ELSE 'edit' END, name, nation FROM r WHERE k % 7 = 0)
+"""
+
+
+@query(DRAFTS + """
+SELECT r.k AS c_custkey, CASE WHEN d.kind = 'edit' THEN r.revision + 1 ELSE r.revision END AS revision, CASE WHEN d.kind = 'edit' THEN d.name ELSE r.name END AS name,
+       CASE WHEN d.kind = 'edit' THEN d.nation ELSE r.nation END AS nation, coalesce(d.kind = 'edit', false) AS dirty
+FROM r LEFT JOIN d USING (k) WHERE d.kind IS DISTINCT FROM 'delete'
+UNION ALL SELECT k, 0, name, nation, true FROM d WHERE k < 0 AND kind = 'add'""")
+def draft_overlay(spark: SparkSession, d: str) -> DataFrame:
+    return drafts.overlay(*draft_rows(spark, d), "c_custkey", ["name", "nation"])
+
+
+@query(DRAFTS + """SELECT k AS c_custkey, CASE WHEN k >= 0 THEN 'draft.taken' ELSE 'draft.absent' END AS code FROM d WHERE (k >= 0 AND kind = 'add') OR (k < 0 AND kind = 'edit')""")
+def draft_errors(spark: SparkSession, d: str) -> DataFrame:
+    return drafts.errors(*draft_rows(spark, d), "c_custkey")
+
+
+@query(DRAFTS + """
+SELECT k AS c_custkey, CASE WHEN kind = 'add' THEN 'Added' WHEN kind = 'delete' THEN 'Deleted' WHEN k % 10 = 0 THEN 'Renamed' ELSE 'Modified' END AS change_kind
+FROM d WHERE (k >= 0 AND kind <> 'add') OR (k < 0 AND kind = 'add')""")
+def commit_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return drafts.commit_kinds(*draft_rows(spark, d), "c_custkey", "name", ["nation"])
+
+
+@query("""SELECT CAST(c_nationkey AS INTEGER) AS workbook_id, md5('3:' || c_custkey) AS row_guid FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 3 = 0""")
+def guid_owned_elsewhere(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("workbook_id"), guid(3, F.col("c_custkey")).alias("row_guid"))
+    own = rows.withColumn("workbook_id", F.when(F.col("c_custkey") % 3 == 0, F.col("workbook_id") + 100).otherwise(F.col("workbook_id")))
+    return drafts.owned_elsewhere(rows.drop("c_custkey"), own.drop("c_custkey"), rows.where("c_custkey % 4 = 0"))
+
+
+@query("""
+SELECT s_suppkey, 'server' AS target, 'removed' AS change, 1 AS severity FROM supplier WHERE s_nationkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'tools', 'added', 0 FROM supplier WHERE s_nationkey % 3 = 0""")
+def target_changes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("s_nationkey")
+    after = F.array_compact(F.array(F.lit("client"), F.when(n % 2 != 0, "server"), F.when(n % 3 == 0, "tools")))
+    return drafts.target_changes(t(spark, d, "supplier").select("s_suppkey", F.array(F.lit("client"), F.lit("server")).alias("before"), after.alias("after")), "s_suppkey")
+
+
+@query("""SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1""")
+def patch_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return drafts.patch_conflicts(t(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_custkey % 10 <> 0 THEN c_name END AS name, o_custkey % 10 <> 0 AS exists FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def lookup_rows(spark: SparkSession, d: str) -> DataFrame:
+    live = t(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.lit(3).alias("table_id"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    wanted = t(spark, d, "orders").select("o_orderkey", F.lit(3).alias("table_id"), F.col("o_custkey").alias("key"))
+    return lookups.lookup(live, wanted, "table_id", "key").select("o_orderkey", "name", "exists")
+
+
+@query("""SELECT DISTINCT 'w' || c_nationkey AS path FROM customer UNION SELECT DISTINCT 'w' || c_nationkey || '/' || c_mktsegment FROM customer""")
+def containers(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.containers(t(spark, d, "customer").select(F.concat(F.lit("w"), "c_nationkey", F.lit("/"), "c_mktsegment", F.lit("/"), "c_name").alias("path")))
+
+
+@query("""SELECT o_orderkey, o_custkey, (SELECT count(*) FROM orders) AS total, 'Truncated' AS status FROM orders ORDER BY o_orderkey LIMIT 100""")
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.table_rows(t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], 100)
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) = 1""")
+def first_wins(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.first_wins(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber", "l_partkey"])
+
+
+@query("""SELECT md5('0:' || s_suppkey) AS row_guid, CAST(2 AS BIGINT) AS tables, CAST(2 AS BIGINT) AS n FROM supplier JOIN customer ON s_suppkey = c_custkey""")
+def guids_in_tables(spark: SparkSession, d: str) -> DataFrame:
+    known = t(spark, d, "supplier").select(F.lit(4).alias("table_id"), guid(0, F.col("s_suppkey")).alias("row_guid"))
+    return lookups.guids_in_tables(known.union(t(spark, d, "customer").select(F.lit(3), guid(0, F.col("c_custkey")))))
+
+
+@query("""SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_suppkey) AS deps FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY 1""")
+def dependency_sets(spark: SparkSession, d: str) -> DataFrame:
+    made = lookups.dependency_sets(t(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+    return made.select("l_orderkey", F.array_join(F.col("deps").cast("array<string>"), ",").alias("deps"))
+
+
+@query("""
+SELECT o_orderkey, o_orderkey % 5 <> 0 AS sound, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE concat(o_custkey, ';;', '"a;b"') END AS written,
+       o_orderkey % 7 <> 0 AS named_sound, CASE WHEN o_orderkey % 7 <> 0 THEN concat('id=', o_custkey, ';tag=', o_orderstatus) END AS named FROM orders""")
+def join_structs(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    text = F.concat(F.when(k % 5 == 0, "x").otherwise(c), F.when(k % 2 == 0, " ; ;").otherwise(';;"a;b"'))
+    named = F.concat(F.lit("tag="), "o_orderstatus", F.lit("; id = +"), c, F.when(k % 7 == 0, ";other=1").otherwise(""))
+    rows = t(spark, d, "orders").withColumn("s", cells.parse_join_struct(text, ";", {"id": "int64", "n": "int32", "note": "string"})).withColumn("m", cells.parse_named_struct(named, ";", "=", {"id": "int64", "tag": "string"}))
+    return rows.select("o_orderkey", F.col("s").isNotNull().alias("sound"), cells.write_join_struct(F.col("s"), ";", ["id", "n", "note"]).alias("written"), F.col("m").isNotNull().alias("named_sound"), cells.write_named_struct(F.col("m"), ";", "=", ["id", "tag"]).alias("named"))

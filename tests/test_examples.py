@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowledger.catalog import Field
 from rowledger.functions import cells
-from rowledger.operators import graph, identity, merge, release
+from rowledger.operators import drafts, graph, identity, merge, release
 from rowledger.sources import workbooks
 from rowledger.streaming import changes as stream
 
@@ -116,3 +116,20 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.publish(stream.debounce(live, "10 minutes"), str(tmp_path / "cp"), lambda b, n: done.extend(tuple(r) for r in b.collect())).awaitTermination()
     want = [tuple(r) for r in stream.debounce(df, "10 minutes").collect()]
     assert sorted(done) == sorted(r for r in want if r[0] != "s") and len(want) == 4
+
+
+def test_structs_by_position_and_name(spark):
+    kinds = {"id": "int32", "note": "string"}
+    texts = ["5", "5;a", ";a", "", "5;a;b", "x;a", '5;"a']
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select(cells.parse_join_struct(F.col("t"), ";", kinds).alias("s")).withColumn("w", cells.write_join_struct(F.col("s"), ";", ["id", "note"])).collect()
+    assert [r.w for r in got] == ["5", "5;a", ";a", "", None, None, None]
+    named = ["id=5", "note=a;id=+5", "id=5;id=6", "other=1", "id=x", ""]
+    got = spark.createDataFrame([(x,) for x in named], "t string").select(cells.parse_named_struct(F.col("t"), ";", "=", kinds).alias("s")).withColumn("w", cells.write_named_struct(F.col("s"), ";", "=", ["id", "note"])).collect()
+    assert [r.w for r in got] == ["id=5", "id=5;note=a", None, None, None, ""]
+
+
+def test_revision_overflow_keeps_the_row(spark):
+    rows = spark.createDataFrame([(1, 4294967295, "a"), (2, 0, "b")], "id int, revision long, name string")
+    edits = spark.createDataFrame([(1, "edit", "c"), (2, "edit", None)], "id int, kind string, name string")
+    assert {tuple(r) for r in drafts.overlay(rows, edits, "id", ["name"]).collect()} == {(1, 4294967295, "a", False), (2, 1, None, True)}
+    assert [tuple(r) for r in drafts.errors(rows, edits, "id").collect()] == [(1, "draft.revision_overflow")]
