@@ -127,8 +127,8 @@ def decode_atom(part: Column) -> Column:
     return F.when(quoted, inner).otherwise(F.trim(part))
 
 
-def encode_atom(text: Column, separator: str) -> Column:
-    needs = (text == "") | text.contains('"') | text.contains(separator) | (F.trim(text) != text)
+def encode_atom(text: Column, *separators: str) -> Column:
+    needs = reduce(lambda a, s: a | text.contains(s), separators, (text == "") | text.contains('"') | (F.trim(text) != text))
     return F.when(needs, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
@@ -158,20 +158,67 @@ def write_join_map(values: Column, outer: str, inner: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(encode_atom(e["key"], outer), F.lit(inner), encode_atom(e["value"], outer))), outer)
 
 
-def parse_join_struct(text: Column, separator: str, fields: dict[str, str]) -> Column:
-    """Struct of canonical texts by position (fields: name to type); an empty part is absent; null for too many parts or an unparseable one."""
+Fields = dict[str, "str | dict[str, str]"]
+
+
+def _positional(text: Column, separator: str, inner: str | None, fields: Fields) -> Column:
     parts = split_delimited(text, separator)
-    blank = [F.trim(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))) == "" for i in range(len(fields))]
-    values = [F.when(~b, canonicalize(decode_atom(F.get(parts, F.lit(i))), kind)) for i, (b, kind) in enumerate(zip(blank, fields.values(), strict=True))]
-    sound = reduce(lambda a, b: a & b, [b | v.isNotNull() for b, v in zip(blank, values, strict=True)], F.size(parts) <= len(fields))
-    return F.when(sound, F.struct(*[v.alias(n) for n, v in zip(fields, values, strict=True)]))
+    sound, out = F.size(parts) <= len(fields), []
+    for i, (name, kind) in enumerate(fields.items()):
+        part = F.get(parts, F.lit(i))
+        blank = F.trim(F.coalesce(part, F.lit(""))) == ""
+        if isinstance(kind, dict) and inner is None:
+            raise ValueError(f"{name} needs a separator of its own")
+        value = F.when(~blank, _positional(part, inner, None, kind) if isinstance(kind, dict) else canonicalize(decode_atom(part), kind))
+        sound = sound & (blank | value.isNotNull())
+        out.append(value.alias(name))
+    return F.when(sound, F.struct(*out))
+
+
+def parse_join_struct(text: Column, separator: str, fields: Fields, inner: str | None = None) -> Column:
+    """Struct of canonical texts by position (fields: name to type, or to the fields of a struct one layer down, which
+    `inner` separates); an empty part is absent; null for too many parts or an unparseable one."""
+    return _positional(text, separator, inner, fields)
+
+
+def parse_join_struct_list(text: Column, outer: str, inner: str, fields: dict[str, str]) -> Column:
+    """Array of flat structs; empty elements drop out; null if any is unparseable."""
+    values = F.transform(F.filter(split_delimited(text, outer), lambda p: F.trim(p) != ""), lambda p: _positional(p, inner, None, fields))
+    return F.when(F.forall(values, lambda v: v.isNotNull()), values)
+
+
+def _written(value: Column, fields: Fields | list[str], separator: str, inner: str | None, *around: str) -> Column:
+    parts = []
+    for name in fields:
+        below = fields[name] if isinstance(fields, dict) else None
+        text = _written(value[name], below, inner, None, separator) if isinstance(below, dict) else encode_atom(value[name], separator, *([inner] if inner else []), *around)
+        parts.append(F.coalesce(text, F.lit("")))
+    last = F.array_max(F.transform(F.array(*parts), lambda p, i: F.when(p != "", i + 1).otherwise(0)))
+    return F.when(value.isNotNull(), F.array_join(F.slice(F.array(*parts), F.lit(1), last), separator))
+
+
+def write_join_struct(value: Column, separator: str, names: list[str] | Fields, inner: str | None = None) -> Column:
+    """Parts by position, without absent ones at the end; names as fields of parse_join_struct where structs nest."""
+    return _written(value, names, separator, inner)
+
+
+def write_join_struct_list(values: Column, outer: str, inner: str, names: list[str]) -> Column:
+    return F.array_join(F.transform(values, lambda v: _written(v, names, inner, None, outer)), outer)
+
+
+def typed_value(text: Column, kind: str) -> Column:
+    """Canonical text as a typed leaf."""
+    types = {"bool": "boolean", "float": "double", "double": "double", "uint64": "decimal(20,0)", "fixed64": "decimal(20,0)"}
+    return text.try_cast(types.get(kind, "bigint" if kind in RANGES else "string"))
 
 
-def write_join_struct(value: Column, separator: str, names: list[str]) -> Column:
-    """Parts by position, without absent ones at the end."""
-    parts = F.array(*[F.coalesce(encode_atom(value[n], separator), F.lit("")) for n in names])
-    last = F.array_max(F.transform(parts, lambda p, i: F.when(p != "", i + 1).otherwise(0)))
-    return F.when(value.isNotNull(), F.array_join(F.slice(parts, F.lit(1), last), separator))
+def comparable_raw(raw: Column, base_raw: Column, value: Column, base_value: Column) -> Column:
+    """What a merge compares of a cell, each side a struct<state, text>: the raw side, unless it is the base's while the
+    effective value changed; then the value, Defaulted counted as Value. A formula always stays raw."""
+    unchanged_value = value.eqNullSafe(base_value)
+    formula = F.coalesce((raw["state"] == "Value") & raw["text"].startswith("="), F.lit(False))
+    shown = F.struct(F.when(value["state"] == "Defaulted", "Value").otherwise(value["state"]).alias("state"), value["text"].alias("text"))
+    return F.when(~raw.eqNullSafe(base_raw) | unchanged_value | formula, raw).otherwise(shown)
 
 
 def parse_named_struct(text: Column, outer: str, inner: str, fields: dict[str, str]) -> Column:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowledger.functions.cells import canonical_labels
+from rowledger.operators import graph
+
 LAST_REVISION = 4294967295
 
 
@@ -66,3 +69,101 @@ def patch_conflicts(patches: DataFrame, *cell: str) -> DataFrame:
     """Cells that more than one patch writes, with how many do."""
     there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cell])
     return patches.where(there).groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def check_save(items: DataFrame, base: DataFrame, theirs: DataFrame, elsewhere: DataFrame) -> DataFrame:
+    """(table_id, row_guid, code) of items (workbook_id, table_id, row_guid, revision, deleted) that cannot be saved.
+
+    base (table_id, row_guid, revision): what the editor mounted; theirs (table_id, row_guid): the workbook now;
+    elsewhere (workbook_id, table_id, row_guid): all live rows of the project. The first code that holds is given.
+    """
+    by = ["table_id", "row_guid"]
+    n = items.where("row_guid is not null").groupBy(*by).agg(F.count("*").alias("_n"))
+    gone = items.where("deleted").select(*by).distinct()
+    held = elsewhere.join(gone, by, "left_anti").groupBy(*by).agg(F.min("workbook_id").alias("_least"), F.max("workbook_id").alias("_most"))
+    j = items.join(n, by, "left").join(base.select(*by, F.col("revision").alias("_r")), by, "left")
+    j = j.join(theirs.select(*by, F.lit(True).alias("_theirs")), by, "left").join(held, by, "left")
+    new = F.col("_r").isNull()
+    other = F.coalesce((F.col("_least") != F.col("workbook_id")) | (F.col("_most") != F.col("workbook_id")), F.lit(False))
+    code = (
+        F.when(F.coalesce("row_guid", F.lit("")) == "", "save.no_identity")
+        .when(F.col("_n") > 1, "save.repeated")
+        .when(~new & ~F.col("revision").eqNullSafe(F.col("_r")), "save.revision")
+        .when(new & ~F.col("revision").eqNullSafe(F.lit(0)), "save.new_revision")
+        .when(F.col("deleted") & new, "save.absent")
+        .when(~F.col("deleted") & ~new & F.col("_theirs").isNull(), "save.deleted_by_others")
+        .when(~F.col("deleted") & new & other, "save.owned_elsewhere")
+    )
+    return j.select(*by, code.alias("code")).where("code is not null").distinct()
+
+
+def create_rows(rows: DataFrame, wanted: DataFrame, guid: Column) -> tuple[DataFrame, DataFrame]:
+    """rows (table_id, key, path, row_guid, revision, values) with wanted ones (table_id, key, path, values) of a new
+    identity and revision 0, and errors (path, code): a path or key that is taken, or wanted twice.
+
+    A random guid has to be written before it is read twice, so the new rows are checkpointed.
+    """
+    taken = [
+        wanted.join(rows.select("path"), "path", "left_semi").select("path", F.lit("create.path_taken").alias("code")),
+        wanted.join(rows.select("table_id", "key"), ["table_id", "key"], "left_semi").select("path", F.lit("create.key_taken").alias("code")),
+        wanted.groupBy("path").count().where("count > 1").select("path", F.lit("create.wanted_twice").alias("code")),
+        wanted.join(wanted.groupBy("table_id", "key").count().where("count > 1"), ["table_id", "key"], "left_semi").select("path", F.lit("create.wanted_twice").alias("code")),
+    ]
+    errors = reduce(DataFrame.union, taken).distinct()
+    fresh = wanted.join(errors.select("path"), "path", "left_anti").withColumn("row_guid", guid).withColumn("revision", F.lit(0).cast(rows.schema["revision"].dataType)).checkpoint()
+    return rows.unionByName(fresh.select(rows.columns)), errors
+
+
+def copy_rows(rows: DataFrame, copies: DataFrame, guid: Column) -> tuple[DataFrame, DataFrame]:
+    """As create_rows for copies (path, new_path, new_key) of existing rows; a source that is absent is an error."""
+    source = rows.join(copies, "path")
+    wanted = source.drop("path", "key", "row_guid", "revision").withColumnRenamed("new_path", "path").withColumnRenamed("new_key", "key")
+    out, errors = create_rows(rows, wanted, guid)
+    return out, errors.union(copies.join(rows, "path", "left_anti").select(F.col("new_path").alias("path"), F.lit("copy.no_source").alias("code")))
+
+
+def set_labels(rows: DataFrame, wanted: DataFrame, identity: str) -> DataFrame:
+    """rows (labels, dirty, ...) under wanted (identity, labels): blank ones dropped, distinct, sorted; a change marks the row."""
+    j = rows.join(wanted.select(identity, canonical_labels(F.col("labels")).alias("_l")), identity, "left")
+    changed = F.col("_l").isNotNull() & ~F.col("_l").eqNullSafe(F.col("labels"))
+    return j.withColumn("dirty", F.col("dirty") | changed).withColumn("labels", F.coalesce("_l", "labels")).select(rows.columns)
+
+
+def import_into(resident: DataFrame, imported: DataFrame, workbook: str) -> tuple[DataFrame, DataFrame]:
+    """resident rows after the import of one workbook, and errors (row_guid, code); with any error nothing changes.
+
+    Both: workbook_id, table_id, key, path, row_guid, values; resident has `dirty` as well. Refused while the workbook has
+    unsaved edits, and for a guid, path or key that repeats or that another workbook holds. `reused` marks known guids.
+    """
+    mine, others = resident.where(F.col("workbook_id") == workbook), resident.where(F.col("workbook_id") != workbook)
+    found = [mine.where("dirty").select("row_guid", F.lit("import.unsaved").alias("code"))]
+    for code, by in (("import.guid", ["row_guid"]), ("import.path", ["path"]), ("import.key", ["table_id", "key"])):
+        twice = imported.join(imported.groupBy(*by).count().where("count > 1"), by, "left_semi").select("row_guid")
+        held = imported.join(others.select(*by), by, "left_semi").select("row_guid")
+        found.append(twice.union(held).select("row_guid", F.lit(code).alias("code")))
+    errors = reduce(DataFrame.union, found).distinct()
+    bad = errors.agg((F.count("*") > 0).alias("_bad"), F.lit(1).alias("_one"))
+    known = mine.select("table_id", "row_guid", F.lit(True).alias("_k")).distinct()
+    new = imported.join(known, ["table_id", "row_guid"], "left").withColumn("reused", F.col("_k").isNotNull()).withColumn("dirty", F.lit(False))
+    columns = [*resident.columns, "reused"]
+    # One flag decides which side stays: a join with a single row.
+    with_flag = lambda df: df.withColumn("_one", F.lit(1)).join(F.broadcast(bad), "_one")
+    old = with_flag(mine.withColumn("reused", F.lit(False))).where("_bad").select(columns)
+    return others.withColumn("reused", F.lit(False)).select(columns).union(old).union(with_flag(new).where("not _bad").select(columns)), errors
+
+
+def pending_changes(rows: DataFrame, drafts: DataFrame, identity: str, values: list[str]) -> DataFrame:
+    """(identity, kind, property, before, after) of drafts that would take effect, a row per field that changes."""
+    j = _joined(rows, drafts, identity, values).where("_kind is not null and _error is null")
+    add, gone = F.col("_kind") == "add", F.col("_kind") == "delete"
+
+    def entry(v: str) -> Column:
+        before, after = F.when(~add, F.col(v).cast("string")), F.when(~gone, F.col(f"_{v}").cast("string"))
+        return F.when(~before.eqNullSafe(after), F.struct(F.lit(v).alias("property"), before.alias("before"), after.alias("after")))
+
+    return j.select(identity, F.col("_kind").alias("kind"), F.explode(F.filter(F.array(*[entry(v) for v in values]), lambda e: e.isNotNull())).alias("e")).select(identity, "kind", "e.*")
+
+
+def save_scope(dirty: DataFrame, edges: DataFrame, picked: DataFrame) -> DataFrame:
+    """dirty (node) that a save of picked (node) has to include: all that earlier moves and deletions (edges src, dst) link to it."""
+    return graph.impact(edges, picked).join(dirty.select("node").distinct(), "node", "left_semi")

@@ -38,6 +38,13 @@ def scan(rows: DataFrame, known: DataFrame) -> DataFrame:
     return j.select("row_no", "table_id", "status", F.when(F.col("status") != "Invalid", F.col("row_guid")).alias("row_guid"), severity.alias("severity"))
 
 
+def repair(scanned: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row_no, row_guid) to write back for the Recovered rows that were selected (row_no), and selections that are none."""
+    recovered = scanned.where("status = 'Recovered'")
+    wanted = selected.select("row_no").distinct()
+    return recovered.join(wanted, "row_no", "left_semi").select("row_no", "row_guid"), wanted.join(recovered, "row_no", "left_anti").withColumn("code", F.lit("repair.not_recovered"))
+
+
 def assign(scanned: DataFrame) -> DataFrame:
     """PendingNew rows with a fresh random guid, written by checkpoint() before anything reads it twice."""
     return scanned.where("status = 'PendingNew'").withColumn("row_guid", F.replace(F.uuid(), F.lit("-"), F.lit(""))).checkpoint()

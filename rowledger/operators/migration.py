@@ -55,3 +55,16 @@ def apply(cells: DataFrame, found: DataFrame) -> DataFrame:
     done = found.where("outcome = 'Converted'").select(*KEYS, F.col("target").alias("field_path"), F.lit("Value").alias("state"), F.col("value").alias("text")).join(F.broadcast(bad), ~F.col("_bad")).drop("_bad")
     kept = cells.select(*KEYS, "field_path", "state", "text")
     return kept.join(done.select(*KEYS, "field_path"), [*KEYS, "field_path"], "left_anti").unionByName(done)
+
+
+def apply_checked(cells: DataFrame, found: DataFrame, planned: DataFrame, current: DataFrame, steps: list[Step], confirmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cells, errors): apply a plan if the workbooks are still those it was made for; else the cells as they are.
+
+    planned, current (workbook_id, revision); errors (workbook_id, code). Overwriting steps need `confirmed`. Applying a
+    plan that has been applied changes nothing, as every target then holds its value.
+    """
+    a, b = planned.select("workbook_id", F.col("revision").alias("_p")), current.select("workbook_id", F.col("revision").alias("_c"))
+    errors = a.join(b, "workbook_id", "full_outer").where(~F.col("_p").eqNullSafe(F.col("_c"))).select("workbook_id", F.lit("plan.stale").alias("code"))
+    if any(s.overwrite for s in steps) and not confirmed:
+        errors = errors.union(planned.select("workbook_id", F.lit("plan.data_loss_unconfirmed")))
+    return (apply(cells, found) if errors.isEmpty() else cells.select(*KEYS, "field_path", "state", "text")), errors

@@ -47,3 +47,20 @@ def search(rows: DataFrame, text: str, aliases: dict[str, str], folders: list[st
 def browse(rows: DataFrame, *by: str) -> DataFrame:
     """Counts of rows and of their badges; rows have boolean dirty, conflicted and error."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(b)).alias(f"n_{b}") for b in ("dirty", "conflicted", "error")])
+
+
+def pick_targets(rows: DataFrame, types: list[str], group: str | None = None, text: str = "") -> DataFrame:
+    """Candidates of a reference column: rows of the types, of the group's label, whose key has the words of `text`."""
+    terms = [text, *[f"t:{t}" for t in types], *([f"l:{group}"] if group else [])]
+    return search(rows, " ".join(terms), {})
+
+
+def load_all(rows: DataFrame, path: str, order: list[str]) -> DataFrame:
+    """A row, a workbook or one of its tables by path, in order; sorting is for output."""
+    return rows.where(in_folder(F.col("path"), path)).orderBy(*order)
+
+
+def asset_state(rows: DataFrame, wanted: DataFrame, identity: str) -> DataFrame:
+    """wanted (identity) with state: Resident, Missing for a tombstone (alive is false), Unknown."""
+    j = wanted.join(rows.select(identity, F.col("alive").alias("_a")), identity, "left")
+    return j.withColumn("state", F.when(F.col("_a"), "Resident").when(~F.col("_a"), "Missing").otherwise("Unknown")).drop("_a")

@@ -9,9 +9,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowledger.functions.cells import valid_guid
+from rowledger.operators import release
+
 STAGING = "path string, sheet string, row_number int, raw_guid string, raw_revision string, cells map<string,struct<text:string,formula:string>>"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -80,10 +84,99 @@ def publish(df: DataFrame, root: str, version: int, partition_by: list[str] | No
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest published version, None if there is none."""
+    found = _read(spark, f"{root}/pointer")
+    row = found.orderBy(F.desc("version")).select("path").first() if found is not None else None
+    return spark.read.parquet(row["path"]) if row else None
+
+
+def child_rows(staging: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of child sheets (those with __parent_guid) as (path, sheet, row_number, parent_guid, ordinal, map_key, cells),
+    and findings (path, sheet, row_number, code): no sound ordinal or key, or one that repeats under its parent. A parent
+    that is no guid stays null for attach_children to report."""
+    at = lambda name: F.try_element_at("cells", F.lit(name))["text"]
+    system = ["__parent_guid", "__ordinal", "__map_key"]
+    rows = staging.where(F.arrays_overlap(F.map_keys("cells"), F.array(*map(F.lit, system))))
+    number = F.when(at("__ordinal").rlike(r"^\d{1,10}$"), at("__ordinal").try_cast("int"))
+    rows = rows.select(
+        "path", "sheet", "row_number", F.when(valid_guid(at("__parent_guid")), at("__parent_guid")).alias("parent_guid"),
+        F.when(number > 0, number).alias("ordinal"), at("__map_key").alias("map_key"), F.map_filter("cells", lambda k, v: ~k.isin(system)).alias("cells"),
+    )
+    name = F.coalesce(F.col("ordinal").cast("string"), "map_key")
+    by = ["path", "sheet", "parent_guid", "_name"]
+    named = rows.withColumn("_name", name)
+    twice = named.where("parent_guid is not null and _name is not null").groupBy(*by).count().where("count > 1")
+    bad = named.where("parent_guid is not null and _name is null").select("path", "sheet", "row_number", F.lit("child.no_identity").alias("code"))
+    return rows, bad.union(named.join(twice, by, "left_semi").select("path", "sheet", "row_number", F.lit("child.duplicate")))
+
+
+def save_snapshot(values: DataFrame, root: str, version: int, workbook: str, schema_hash: str) -> None:
+    """Write cells with their raw and effective states, then a manifest row; the manifest's commit is what counts."""
+    path = f"{root}/data/version={version}"
+    values.write.mode("overwrite").parquet(path)
+    rows = values.sparkSession.read.parquet(path).count()
+    _manifest(values.sparkSession, root, version, {"workbook": workbook, "schema_hash": schema_hash, "path": path, "rows": str(rows)})
+
+
+def load_snapshot(spark: SparkSession, root: str, workbook: str, schema_hash: str) -> tuple[DataFrame | None, str | None]:
+    """(cells, null) of the newest version, or (null, code) where there is none, it is another's, or it is damaged: a
+    base for a merge is never guessed."""
+    m = _newest(spark, root)
+    if m is None:
+        return None, "snapshot.missing"
+    if m.get("workbook") != workbook or m.get("schema_hash") != schema_hash:
+        return None, "snapshot.foreign"
+    found = _read(spark, m.get("path"))
+    if found is None or str(found.count()) != m.get("rows"):
+        return None, "snapshot.corrupt"
+    return found, None
+
+
+def write_release(records: DataFrame, root: str, version: int, target: str, schema_hash: str) -> None:
+    """Long records of one target, a directory per table, and a manifest with the hash over their content. Records that
+    release.validate refuses are not written."""
+    found = release.validate(records).where("n > 0").collect()  # three rows at most
+    if found:
+        raise ValueError(f"not fit for release: {', '.join(sorted(r.code for r in found))}")
+    path = f"{root}/data/version={version}"
+    records.write.mode("overwrite").partitionBy("table_id").parquet(path)
+    spark = records.sparkSession
+    written = _read(spark, path)
+    sums = written.agg(F.count_distinct("table_id").alias("tables"), F.count("*").alias("rows")).first() if written is not None else None
+    digest = release.root_hash(release.content_hash(written)).first()[0] if written is not None else ""
+    manifest = {"format": "1", "schema_hash": schema_hash, "target": target, "content_hash": digest, "path": path}
+    _manifest(spark, root, version, manifest | {"tables": str(sums.tables if sums else 0), "rows": str(sums.rows if sums else 0)})
+
+
+def open_release(spark: SparkSession, root: str, target: str, schema_hash: str) -> tuple[DataFrame | None, list[str]]:
+    """(records, no codes), or (null, what is wrong) of the newest release: manifest, target, schema, content, uniqueness."""
+    m = _newest(spark, root)
+    if m is None:
+        return None, ["release.missing"]
+    codes = [f"release.{k}" for k, v in (("format", "1"), ("target", target), ("schema_hash", schema_hash)) if m.get(k) != v]
+    records = _read(spark, m.get("path"))
+    if records is None:
+        return None, [*codes, "release.corrupt"]
+    if release.root_hash(release.content_hash(records)).first()[0] != m.get("content_hash"):
+        codes.append("release.content_hash")
+    codes += sorted(r.code for r in release.validate(records).where("n > 0").collect())
+    return (None, codes) if codes else (records, [])
+
+
+def _manifest(spark: SparkSession, root: str, version: int, entries: dict[str, str]) -> None:
+    spark.createDataFrame([(version, entries)], "version long, entries map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
+
+
+def _newest(spark: SparkSession, root: str) -> dict[str, str] | None:
+    found = _read(spark, f"{root}/manifest")
+    row = found.orderBy(F.desc("version")).first() if found is not None else None
+    return row["entries"] if row else None
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet folder, None where it is absent or holds no readable file."""
     try:
-        row = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("version")).select("path").first()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    return spark.read.parquet(row["path"])

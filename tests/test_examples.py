@@ -2,11 +2,13 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from rowledger.catalog import Field
 from rowledger.functions import cells
-from rowledger.operators import drafts, graph, identity, merge, release
+from rowledger.operators import drafts, graph, identity, merge, migration, project, publication, release
+from rowledger.registry import Extensions, random_guid, register_family
 from rowledger.sources import workbooks
 from rowledger.streaming import changes as stream
 
@@ -133,3 +135,94 @@ def test_revision_overflow_keeps_the_row(spark):
     edits = spark.createDataFrame([(1, "edit", "c"), (2, "edit", None)], "id int, kind string, name string")
     assert {tuple(r) for r in drafts.overlay(rows, edits, "id", ["name"]).collect()} == {(1, 4294967295, "a", False), (2, 1, None, True)}
     assert [tuple(r) for r in drafts.errors(rows, edits, "id").collect()] == [(1, "draft.revision_overflow")]
+
+
+def test_child_sheets(spark):
+    kind = "path string, sheet string, row_number int, raw_guid string, raw_revision string, cells map<string,struct<text:string,formula:string>>"
+    cell = lambda **k: {("__" + n if n in ("parent_guid", "ordinal", "map_key") else n): (v, None) for n, v in k.items()}
+    g = "a" * 32
+    rows = [cell(parent_guid=g, ordinal="1", n="x"), cell(parent_guid=g, ordinal="2"), cell(parent_guid=g, ordinal="2"), cell(parent_guid=g, ordinal="0"), cell(parent_guid="zz", ordinal="1"), cell(parent_guid=g, map_key="k"), cell(n="no child")]
+    staging = spark.createDataFrame([("p", "s", i, None, None, c) for i, c in enumerate(rows)], kind)
+    kept, found = workbooks.child_rows(staging)
+    assert [(r.parent_guid, r.ordinal, r.map_key, sorted(r.cells)) for r in kept.orderBy("row_number").collect()][:1] == [(g, 1, None, ["n"])] and kept.count() == 6
+    assert sorted((r.row_number, r.code) for r in found.collect()) == [(1, "child.duplicate"), (2, "child.duplicate"), (3, "child.no_identity")]
+
+
+def test_snapshots_load_or_say_why_not(spark, tmp_path):
+    root = str(tmp_path / "s")
+    assert workbooks.load_snapshot(spark, root, "w", "h") == (None, "snapshot.missing")
+    workbooks.save_snapshot(spark.range(4), root, 1, "w", "h")
+    found, code = workbooks.load_snapshot(spark, root, "w", "h")
+    assert found.count() == 4 and code is None
+    assert [workbooks.load_snapshot(spark, root, *x)[1] for x in (("v", "h"), ("w", "i"))] == ["snapshot.foreign"] * 2
+    spark.range(3).write.mode("overwrite").parquet(f"{root}/data/version=1")
+    assert workbooks.load_snapshot(spark, root, "w", "h")[1] == "snapshot.corrupt"
+
+
+def test_releases_open_only_whole(spark, tmp_path):
+    kind = "table_id int, row_guid string, key string, path string, field int, value string"
+    rows = spark.createDataFrame([(1 + i % 2, f"{i:032x}", f"k{i}", f"t/k{i}", 1, str(i)) for i in range(20)], kind)
+    root = str(tmp_path / "r")
+    assert workbooks.open_release(spark, root, "client", "h") == (None, ["release.missing"])
+    workbooks.write_release(rows, root, 1, "client", "h")
+    found, codes = workbooks.open_release(spark, root, "client", "h")
+    assert codes == [] and found.count() == 20
+    assert workbooks.open_release(spark, root, "server", "i")[1] == ["release.target", "release.schema_hash"]
+    with pytest.raises(ValueError, match="duplicate_key"):
+        workbooks.write_release(rows.withColumn("key", F.lit("k")), root, 2, "client", "h")
+    rows.limit(5).drop("table_id").write.mode("overwrite").parquet(f"{root}/data/version=1/table_id=1")
+    assert "release.content_hash" in workbooks.open_release(spark, root, "client", "h")[1]
+
+
+def test_registries_refuse_repeats(spark):
+    known = Extensions()
+    known.register_migration("x", 1, lambda c: F.concat(c, F.lit("!")))
+    known.register_format("upper", F.upper, F.lower)
+    assert spark.range(1).select(known.migration("x", 1)(F.lit("a")), known.formats["upper"].parse(F.lit("a"))).first()[:] == ("a!", "A")
+    with pytest.raises(ValueError):
+        known.register_migration("x", 1, lambda c: c)
+    with pytest.raises(ValueError):
+        known.register_format("upper", F.upper, F.lower)
+    with pytest.raises(KeyError):
+        known.migration("x", 2)
+    with pytest.raises(ValueError):
+        register_family(spark, "f", 1, spark.createDataFrame([("a", 1), ("a", 2)], "token string, value int"))
+    assert spark.range(3).select(random_guid()).distinct().count() == 3
+
+
+def test_headers_and_order(spark):
+    head = {"schema_hash": "h", "target": "client", "format_version": 1}
+    assert publication.header_findings(head, head, head, {"read"}) == []
+    assert publication.header_findings(head, head, head | {"target": "x", "format_version": 2}, {"live"}, True, True) == ["target.mismatch", "format.mismatch", "source.unreadable", "source.live_in_release", "source.not_watchable"]
+    events = spark.createDataFrame([("Renamed", 1), ("Added", 2), ("Removed", 3), ("Added", 1)], "kind string, id int")
+    assert [tuple(r) for r in publication.order_events(events, "id").collect()] == [("Added", 1), ("Added", 2), ("Removed", 3), ("Renamed", 1)]
+    found = spark.createDataFrame([("b", 1, "y"), ("a", 3, "x"), ("a", 1, "x"), ("a", 3, "x")], "code string, severity int, at string")
+    assert [tuple(r) for r in project.order_diagnostics(found, "at").collect()] == [("a", 3, "x"), ("a", 1, "x"), ("b", 1, "y")]
+
+
+def test_reports_keep_the_latest(spark, tmp_path):
+    path = str(tmp_path / "reports")
+    for code, op in ((1, "check"), (2, "convert"), (0, "check")):
+        project.append_report(spark.createDataFrame([(code,)], "exit_code int"), path, op)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("operation", "exit_code").collect()) == [("check", 0), ("convert", 2)]
+
+
+def test_copies_need_a_source(spark):
+    rows = spark.createDataFrame([(1, "a", "t/a", "f" * 32, 4, "v")], "table_id int, key string, path string, row_guid string, revision int, value string")
+    copies = spark.createDataFrame([("t/a", "t/b", "b"), ("t/x", "t/y", "y"), ("t/a", "t/a", "c")], "path string, new_path string, new_key string")
+    out, errors = drafts.copy_rows(rows, copies, random_guid())
+    got = {r.path: r for r in out.collect()}
+    assert sorted(got) == ["t/a", "t/b"] and got["t/b"].value == "v" and got["t/b"].revision == 0 and got["t/b"].row_guid != "f" * 32
+    assert sorted(tuple(r) for r in errors.collect()) == [("t/a", "create.path_taken"), ("t/y", "copy.no_source")]
+
+
+def test_overwriting_needs_consent(spark):
+    cells_ = spark.createDataFrame([("w", 1, "r", "a", "Value", "1"), ("w", 1, "r", "b", "Value", "2")], "workbook_id string, table_id int, row_guid string, field_path string, state string, text string")
+    steps = [migration.Step(1, "s", 1, "a", "b", lambda c: F.concat(c, F.lit("0")), overwrite=True)]
+    revisions = spark.createDataFrame([("w", 1)], "workbook_id string, revision int")
+    kept, errors = migration.apply_checked(cells_, migration.outcomes(cells_, steps), revisions, revisions, steps)
+    assert {r.text for r in kept.collect()} == {"1", "2"} and errors.first().code == "plan.data_loss_unconfirmed"
+    done, errors = migration.apply_checked(cells_, migration.outcomes(cells_, steps), revisions, revisions, steps, confirmed=True)
+    assert {r.text for r in done.collect()} == {"1", "10"} and errors.isEmpty()
+    again, _ = migration.apply_checked(done, migration.outcomes(done, steps), revisions, revisions, steps, confirmed=True)
+    assert {r.text for r in again.collect()} == {"1", "10"}
