@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ for _name, _like in (("sint32", "int32"), ("sfixed32", "int32"), ("sint64", "int
     RANGES[_name] = RANGES[_like]
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once: Spark repeats an expression wherever it is used inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def canonicalize(text: Column, kind: str) -> Column:
     """Canonical text of a value of the type, null if it is none."""
     if kind == "bool":
@@ -135,7 +141,7 @@ def encode_atom(text: Column, *separators: str) -> Column:
 def parse_join_list(text: Column, separator: str, kind: str) -> Column:
     """Array of canonical texts: empty segments drop out, quoted empty ones stay; null if any is unparseable."""
     values = F.transform(F.filter(split_delimited(text, separator), lambda p: F.trim(p) != ""), lambda p: canonicalize(decode_atom(p), kind))
-    return F.when(F.forall(values, lambda v: v.isNotNull()), values)
+    return let(values, lambda vs: F.when(F.forall(vs, lambda v: v.isNotNull()), vs))
 
 
 def write_join_list(values: Column, separator: str) -> Column:
@@ -144,13 +150,16 @@ def write_join_list(values: Column, separator: str) -> Column:
 
 def parse_join_map(text: Column, outer: str, inner: str, key_kind: str = "string", value_kind: str = "string") -> Column:
     """Map of canonical texts; null for a pair without two parts, an unparseable part or a key that repeats."""
+    atom = lambda p, i, kind: canonicalize(decode_atom(F.get(p, F.lit(i))), kind)
     pairs = F.transform(F.filter(split_delimited(text, outer), lambda p: F.trim(p) != ""), lambda p: split_delimited(p, inner))
-    sound = F.forall(pairs, lambda p: (F.size(p) == 2) & F.forall(p, lambda x: F.trim(x) != ""))
-    entries = F.transform(pairs, lambda p: F.struct(canonicalize(decode_atom(F.get(p, F.lit(0))), key_kind).alias("key"), canonicalize(decode_atom(F.get(p, F.lit(1))), value_kind).alias("value")))
-    keys = F.transform(entries, lambda e: e["key"])
-    full = F.forall(entries, lambda e: e["key"].isNotNull() & e["value"].isNotNull())
-    ok = sound & full & (F.size(F.array_distinct(keys)) == F.size(keys))
-    return F.map_from_entries(F.when(ok, entries))
+    entries = F.transform(pairs, lambda p: F.when((F.size(p) == 2) & F.forall(p, lambda x: F.trim(x) != ""), F.struct(atom(p, 0, key_kind).alias("key"), atom(p, 1, value_kind).alias("value"))))
+
+    def checked(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        ok = F.forall(es, lambda e: e["key"].isNotNull() & e["value"].isNotNull()) & (F.size(F.array_distinct(keys)) == F.size(keys))
+        return F.when(ok, es)
+
+    return F.map_from_entries(let(entries, checked))
 
 
 def write_join_map(values: Column, outer: str, inner: str) -> Column:
@@ -162,17 +171,22 @@ Fields = dict[str, "str | dict[str, str]"]
 
 
 def _positional(text: Column, separator: str, inner: str | None, fields: Fields) -> Column:
-    parts = split_delimited(text, separator)
-    sound, out = F.size(parts) <= len(fields), []
-    for i, (name, kind) in enumerate(fields.items()):
-        part = F.get(parts, F.lit(i))
-        blank = F.trim(F.coalesce(part, F.lit(""))) == ""
-        if isinstance(kind, dict) and inner is None:
-            raise ValueError(f"{name} needs a separator of its own")
-        value = F.when(~blank, _positional(part, inner, None, kind) if isinstance(kind, dict) else canonicalize(decode_atom(part), kind))
-        sound = sound & (blank | value.isNotNull())
-        out.append(value.alias(name))
-    return F.when(sound, F.struct(*out))
+    def read(parts: Column) -> Column:
+        out = [F.size(parts).alias("n")]
+        for i, (name, kind) in enumerate(fields.items()):
+            if isinstance(kind, dict) and inner is None:
+                raise ValueError(f"{name} needs a separator of its own")
+            part = F.get(parts, F.lit(i))
+            blank = F.trim(F.coalesce(part, F.lit(""))) == ""
+            value = _positional(part, inner, None, kind) if isinstance(kind, dict) else canonicalize(decode_atom(part), kind)
+            out += [blank.alias(f"b{i}"), F.when(~blank, value).alias(f"v{i}")]
+        return F.when(parts.isNotNull(), F.struct(*out))
+
+    def checked(r: Column) -> Column:
+        sound = reduce(lambda a, i: a & (r[f"b{i}"] | r[f"v{i}"].isNotNull()), range(len(fields)), r["n"] <= len(fields))
+        return F.when(sound, F.struct(*[r[f"v{i}"].alias(name) for i, name in enumerate(fields)]))
+
+    return let(let(split_delimited(text, separator), read), checked)
 
 
 def parse_join_struct(text: Column, separator: str, fields: Fields, inner: str | None = None) -> Column:
@@ -184,7 +198,7 @@ def parse_join_struct(text: Column, separator: str, fields: Fields, inner: str |
 def parse_join_struct_list(text: Column, outer: str, inner: str, fields: dict[str, str]) -> Column:
     """Array of flat structs; empty elements drop out; null if any is unparseable."""
     values = F.transform(F.filter(split_delimited(text, outer), lambda p: F.trim(p) != ""), lambda p: _positional(p, inner, None, fields))
-    return F.when(F.forall(values, lambda v: v.isNotNull()), values)
+    return let(values, lambda vs: F.when(F.forall(vs, lambda v: v.isNotNull()), vs))
 
 
 def _written(value: Column, fields: Fields | list[str], separator: str, inner: str | None, *around: str) -> Column:
@@ -193,8 +207,8 @@ def _written(value: Column, fields: Fields | list[str], separator: str, inner: s
         below = fields[name] if isinstance(fields, dict) else None
         text = _written(value[name], below, inner, None, separator) if isinstance(below, dict) else encode_atom(value[name], separator, *([inner] if inner else []), *around)
         parts.append(F.coalesce(text, F.lit("")))
-    last = F.array_max(F.transform(F.array(*parts), lambda p, i: F.when(p != "", i + 1).otherwise(0)))
-    return F.when(value.isNotNull(), F.array_join(F.slice(F.array(*parts), F.lit(1), last), separator))
+    trimmed = let(F.array(*parts), lambda ps: F.slice(ps, F.lit(1), F.array_max(F.transform(ps, lambda p, i: F.when(p != "", i + 1).otherwise(0)))))
+    return F.when(value.isNotNull(), F.array_join(trimmed, separator))
 
 
 def write_join_struct(value: Column, separator: str, names: list[str] | Fields, inner: str | None = None) -> Column:
@@ -223,11 +237,16 @@ def comparable_raw(raw: Column, base_raw: Column, value: Column, base_value: Col
 
 def parse_named_struct(text: Column, outer: str, inner: str, fields: dict[str, str]) -> Column:
     """Struct of canonical texts from name=value pairs; null for a name that is unknown or repeats, or an unparseable value."""
-    pairs = parse_join_map(text, outer, inner)
-    values = {n: canonicalize(F.try_element_at(pairs, F.lit(n)), kind) for n, kind in fields.items()}
-    known = F.forall(F.map_keys(pairs), lambda k: k.isin(*fields))
-    sound = reduce(lambda a, b: a & b, [F.try_element_at(pairs, F.lit(n)).isNull() | v.isNotNull() for n, v in values.items()], known)
-    return F.when(sound, F.struct(*[v.alias(n) for n, v in values.items()]))
+    def read(pairs: Column) -> Column:
+        known = F.forall(F.map_keys(pairs), lambda k: k.isin(*fields))
+        out = [F.struct(F.try_element_at(pairs, F.lit(n)).isNull().alias("b"), canonicalize(F.try_element_at(pairs, F.lit(n)), kind).alias("v")).alias(n) for n, kind in fields.items()]
+        return F.when(known, F.struct(*out))
+
+    def checked(r: Column) -> Column:
+        sound = reduce(lambda a, b: a & b, [r[n]["b"] | r[n]["v"].isNotNull() for n in fields])
+        return F.when(sound, F.struct(*[r[n]["v"].alias(n) for n in fields]))
+
+    return let(let(parse_join_map(text, outer, inner), read), checked)
 
 
 def write_named_struct(value: Column, outer: str, inner: str, names: list[str]) -> Column:
