@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowledger.functions.cells import valid_guid
 from rowledger.operators.checks import diagnostics, repeated, summarize
 from rowledger.registry import Registry
 
@@ -131,3 +132,8 @@ def recent_reports(reports: DataFrame, order: list[str], n: int = 100) -> DataFr
 def append_report(report: DataFrame, path: str, operation: str) -> None:
     """Keep the latest report of an operation: its partition alone is overwritten."""
     report.withColumn("operation", F.lit(operation)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("operation").parquet(path)
+
+
+def pending_count(rows: DataFrame) -> DataFrame:
+    """(workbook_id, pending): rows without a sound identity, which forbid publication."""
+    return rows.groupBy("workbook_id").agg(F.count_if(~valid_guid(F.col("row_guid"))).alias("pending"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,3 +60,75 @@ def merge_reserved(ranges: DataFrame) -> DataFrame:
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first") <= reach + 1, 0).otherwise(1)).over(order)
     return ranges.withColumn("_i", island).groupBy("owner", "_i").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_i")
+
+
+# Types that a map's key may have.
+MAP_KEYS = ("string", "bool", "int32", "int64", "uint32", "uint64", "sint32", "sint64", "fixed32", "fixed64", "sfixed32", "sfixed64")
+
+
+def lint_tables(tables: DataFrame) -> DataFrame:
+    """(table_id, name, rule) of tables (table_id, name, kind: asset, embedded or null, retired, keys: number of key fields)."""
+    asset, embedded = F.col("kind") == "asset", F.col("kind") == "embedded"
+    positive = F.coalesce(F.col("table_id") > 0, F.lit(False))
+    rules = {
+        "table.id": asset & ~F.col("retired") & ~positive,
+        "table.kind": ~F.coalesce(asset | embedded, F.lit(False)),
+        "embedded.id_or_key": embedded & (F.col("table_id").isNotNull() | (F.col("keys") > 0)),
+        "retired.shape": F.col("retired") & ~(F.coalesce(asset, F.lit(False)) & positive),
+    }
+    one = tables.select("table_id", "name", _broken(rules))
+    twice = tables.where(F.col("table_id") > 0).groupBy("table_id").agg(F.count("*").alias("n"), F.min("name").alias("name")).where("n > 1")
+    return one.union(twice.select("table_id", "name", F.lit("table.duplicate")))
+
+
+def lint_declarations(fields: DataFrame) -> DataFrame:
+    """(table_id, field_id, rule) of what fields declare, each by its own row.
+
+    fields: shape (scalar, struct, list, structs or map), type, map_key, expand, child_table, labels, oneof, separators
+    and legacy (arrays, null: none), format (text of the canonical one), ref_table, ref_group, is_ref.
+    """
+    shape, separators = F.col("shape"), F.col("separators")
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    targets = F.col("ref_table").isNotNull().cast("int") + F.col("ref_group").isNotNull().cast("int")
+    # One separator inside another: more than the separator itself contains it.
+    nested = F.exists(separators, lambda s: F.size(F.filter(separators, lambda o: o.contains(s))) > 1)
+    rules = {
+        "expand.shape": on("expand") & (shape != "struct"),
+        "child_table.shape": on("child_table") & ((shape != "structs") | separators.isNotNull()),
+        "labels.shape": on("labels") & ~((shape == "list") & (F.col("type") == "string")),
+        "oneof.shape": F.col("oneof").isNotNull() & shape.isin("list", "structs", "map"),
+        "map.key": (shape == "map") & ~F.coalesce(F.col("map_key").isin(*MAP_KEYS), F.lit(False)),
+        "ref.target": F.when(on("is_ref"), targets != 1).otherwise(targets > 0),
+        "format.separators": F.exists(separators, lambda s: (s == "") | s.contains('"')) | nested,
+        "format.layers": separators.isNotNull() & ((shape == "scalar") | (F.size(separators) > 2) | ((shape == "list") & (F.size(separators) > 1))),
+        "legacy.repeated": F.size(F.array_distinct("legacy")) < F.size("legacy"),
+        "legacy.canonical": F.array_contains("legacy", F.col("format")),
+    }
+    return fields.select("table_id", "field_id", _broken(rules))
+
+
+def lint_references(fields: DataFrame, tables: DataFrame, members: DataFrame) -> DataFrame:
+    """(table_id, field_id, rule): declared targets (ref_table) that are no live asset or ambiguous, groups (ref_group)
+    without members. tables (table_id, kind, retired), members (ref_group, table_id)."""
+    by = tables.groupBy(F.col("table_id").alias("ref_table")).agg(F.count_if((F.col("kind") == "asset") & ~F.col("retired")).alias("_live"), F.count("*").alias("_n"))
+    groups = members.select("ref_group", F.lit(True).alias("_g")).distinct()
+    j = fields.join(by, "ref_table", "left").join(groups, "ref_group", "left")
+    rules = {
+        "ref.unknown": F.col("ref_table").isNotNull() & (F.coalesce("_live", F.lit(0)) == 0),
+        "ref.ambiguous": F.col("_n") > 1,
+        "ref.empty_group": F.col("ref_group").isNotNull() & F.col("_g").isNull(),
+    }
+    return j.select("table_id", "field_id", _broken(rules))
+
+
+def lint_enums(values: DataFrame, reserved: DataFrame) -> DataFrame:
+    """(enum, number, rule): enums without zero, numbers that repeat or lie in a reserved range (enum, first, last)."""
+    sums = values.groupBy("enum").agg(F.count_if(F.col("number") == 0).alias("z"))
+    none = sums.where("z = 0").select("enum", F.lit(None).cast("int").alias("number"), F.lit("enum.no_zero").alias("rule"))
+    twice = values.groupBy("enum", "number").count().where("count > 1").select("enum", "number", F.lit("enum.duplicate"))
+    held = values.join(merge_reserved(reserved.withColumnRenamed("enum", "owner")).withColumnRenamed("owner", "enum"), "enum").where("number between first and last")
+    return none.union(twice).union(held.select("enum", "number", F.lit("enum.reserved")).distinct())
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    return F.explode(F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(rule)) for rule, bad in rules.items()]), lambda r: r.isNotNull())).alias("rule")

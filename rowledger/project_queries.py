@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowledger.functions import cells
-from rowledger.operators import drafts, identity, layout, migration, project, publication, references, search
-from rowledger.queries import DRAFTS, MIGRATE, QUERIES, SQL, STEPS, draft_rows, guid, long_cells, query, t
+from rowledger.operators import checks, drafts, identity, layout, migration, project, publication, references, release, schema, search
+from rowledger.queries import DRAFTS, MIGRATE, QUERIES, SQL, STEPS, draft_rows, guid, long_cells, notices, query, t
 from rowledger.registry import Extensions, fixed_guid, register_family
+from rowledger.streaming import changes as stream
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -476,3 +477,105 @@ def asset_state(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = t(spark, d, "customer").where("c_custkey % 7 <> 0").select(k.alias("o_custkey"), (k % 5 != 0).alias("alive"))
     return search.asset_state(rows, t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey")
+
+
+# --- lint of catalogs: parts as declarations
+
+
+@query("""
+WITH x AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN -1 ELSE p_partkey // 2 END AS table_id, p_partkey AS k, 'n' || p_partkey AS name, CASE p_partkey % 5 WHEN 0 THEN 'embedded' WHEN 1 THEN NULL ELSE 'asset' END AS kind, p_partkey % 3 = 0 AS retired FROM part)
+SELECT table_id, name, 'table.id' AS rule FROM x WHERE kind = 'asset' AND NOT retired AND coalesce(table_id <= 0, true)
+UNION ALL SELECT table_id, name, 'table.kind' FROM x WHERE kind IS NULL
+UNION ALL SELECT table_id, name, 'embedded.id_or_key' FROM x WHERE kind = 'embedded' AND (table_id IS NOT NULL OR k % 2 = 1)
+UNION ALL SELECT table_id, name, 'retired.shape' FROM x WHERE retired AND NOT (coalesce(kind = 'asset', false) AND coalesce(table_id > 0, false))
+UNION ALL SELECT table_id, min(name), 'table.duplicate' FROM x WHERE table_id > 0 GROUP BY 1 HAVING count(*) > 1""")
+def lint_tables(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    table = F.when(k % 7 == 0, F.lit(None)).when(k % 11 == 0, -1).otherwise(F.floor(k / 2))
+    rows = t(spark, d, "part").select(table.cast("long").alias("table_id"), F.concat(F.lit("n"), k.cast("string")).alias("name"), F.when(k % 5 == 0, "embedded").when(k % 5 != 1, "asset").alias("kind"), (k % 3 == 0).alias("retired"), (k % 2).alias("keys"))
+    return schema.lint_tables(rows)
+
+
+@query("""
+WITH x AS (SELECT p_size AS table_id, p_partkey AS field_id, p_partkey AS k, ['scalar', 'struct', 'list', 'structs', 'map'][p_partkey % 5 + 1] AS shape FROM part)
+SELECT table_id, field_id, 'expand.shape' AS rule FROM x WHERE k % 3 = 0 AND shape <> 'struct'
+UNION ALL SELECT table_id, field_id, 'child_table.shape' FROM x WHERE k % 4 = 0 AND (shape <> 'structs' OR k % 6 < 5)
+UNION ALL SELECT table_id, field_id, 'labels.shape' FROM x WHERE k % 7 = 0 AND NOT (shape = 'list' AND k % 2 = 0)
+UNION ALL SELECT table_id, field_id, 'oneof.shape' FROM x WHERE k % 8 = 0 AND shape IN ('list', 'structs', 'map')
+UNION ALL SELECT table_id, field_id, 'map.key' FROM x WHERE shape = 'map' AND k % 9 >= 3
+UNION ALL SELECT table_id, field_id, 'ref.target' FROM x WHERE CASE WHEN k % 2 = 0 THEN (k % 3 = 0) = (k % 13 = 0) ELSE k % 3 = 0 OR k % 13 = 0 END
+UNION ALL SELECT table_id, field_id, 'format.separators' FROM x WHERE k % 6 IN (1, 2, 3)
+UNION ALL SELECT table_id, field_id, 'format.layers' FROM x WHERE k % 6 < 5 AND (shape = 'scalar' OR k % 6 = 4 OR (shape = 'list' AND k % 6 IN (0, 1)))
+UNION ALL SELECT table_id, field_id, 'legacy.repeated' FROM x WHERE k % 10 = 0
+UNION ALL SELECT table_id, field_id, 'legacy.canonical' FROM x WHERE k % 10 = 1""")
+def lint_declarations(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    texts = lambda *x: F.array(*map(F.lit, x))
+    mod = k % 6
+    separators = F.when(mod == 0, texts(";", ",")).when(mod == 1, texts(";", ";;")).when(mod == 2, texts("")).when(mod == 3, texts('"')).when(mod == 4, texts(";", ",", "/"))
+    rows = t(spark, d, "part").select(
+        F.col("p_size").alias("table_id"), k.alias("field_id"), pick(k, "scalar", "struct", "list", "structs", "map").alias("shape"), pick(k, "string", "int32").alias("type"), F.when(k % 9 == 0, "string").when(k % 9 == 1, "int64").when(k % 9 == 2, "bool").when(k % 9 < 6, "double").alias("map_key"),
+        (k % 3 == 0).alias("expand"), (k % 4 == 0).alias("child_table"), (k % 7 == 0).alias("labels"), F.when(k % 8 == 0, "choice").alias("oneof"), separators.alias("separators"), F.lit("now").alias("format"),
+        F.when(k % 10 == 0, texts("a", "b", "a")).when(k % 10 == 1, texts("now", "b")).alias("legacy"), F.when(k % 3 == 0, k).alias("ref_table"), F.when(k % 13 == 0, "g").alias("ref_group"), (k % 2 == 0).alias("is_ref"),
+    )
+    return schema.lint_declarations(rows)
+
+
+@query("""
+WITH a AS (SELECT c_custkey % 200 AS id, count(*) AS n, count_if(c_custkey % 3 <> 0 AND c_nationkey % 2 = 0) AS live FROM customer GROUP BY 1)
+SELECT p_size AS table_id, p_partkey AS field_id, 'ref.unknown' AS rule FROM part LEFT JOIN a ON id = p_partkey % 250 WHERE p_partkey % 2 = 0 AND coalesce(live, 0) = 0
+UNION ALL SELECT p_size, p_partkey, 'ref.ambiguous' FROM part JOIN a ON id = p_partkey % 250 WHERE p_partkey % 2 = 0 AND n > 1
+UNION ALL SELECT p_size, p_partkey, 'ref.empty_group' FROM part WHERE p_partkey % 2 = 1 AND p_size NOT IN (SELECT n_nationkey FROM nation)""")
+def lint_references(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    fields = t(spark, d, "part").select(F.col("p_size").alias("table_id"), k.alias("field_id"), F.when(k % 2 == 0, k % 250).alias("ref_table"), F.when(k % 2 == 1, F.col("p_size")).alias("ref_group"))
+    tables = t(spark, d, "customer").select((F.col("c_custkey") % 200).alias("table_id"), F.when(F.col("c_nationkey") % 2 == 0, "asset").otherwise("embedded").alias("kind"), (F.col("c_custkey") % 3 == 0).alias("retired"))
+    return schema.lint_references(fields, tables, t(spark, d, "nation").select(F.col("n_nationkey").alias("ref_group"), F.lit(1).alias("table_id")))
+
+
+@query("""
+WITH v AS (SELECT l_suppkey AS enum, l_partkey % 400 AS number FROM lineitem WHERE l_linenumber = 1), r AS (SELECT s_suppkey AS enum, s_nationkey AS first, s_nationkey + 3 AS last FROM supplier)
+SELECT enum, NULL AS number, 'enum.no_zero' AS rule FROM v GROUP BY 1 HAVING count_if(number = 0) = 0
+UNION ALL SELECT enum, number, 'enum.duplicate' FROM v GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT DISTINCT enum, number, 'enum.reserved' FROM v JOIN r USING (enum) WHERE number BETWEEN first AND last""")
+def lint_enums(spark: SparkSession, d: str) -> DataFrame:
+    values = t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("enum"), (F.col("l_partkey") % 400).alias("number"))
+    return schema.lint_enums(values, t(spark, d, "supplier").select(F.col("s_suppkey").alias("enum"), F.col("s_nationkey").alias("first"), (F.col("s_nationkey") + 3).alias("last")))
+
+
+# --- freshness, variants, repeated notices
+
+
+@query("""
+SELECT c_custkey AS target, CASE WHEN c_custkey % 7 = 0 THEN 'target' WHEN c_custkey % 5 = 0 THEN 'schema_hash' WHEN c_custkey % 3 = 0 THEN 'content_hash' END AS reason FROM customer""")
+def freshness(spark: SparkSession, d: str) -> DataFrame:
+    k, c = F.col("c_custkey"), t(spark, d, "customer")
+    want = c.select(k.alias("target"), F.lit("now").alias("schema_hash"), F.col("c_name").alias("content_hash"))
+    there = c.where("c_custkey % 7 <> 0").select(k.alias("target"), F.when(k % 5 == 0, "old").otherwise("now").alias("schema_hash"), F.when(k % 3 != 0, F.col("c_name")).alias("content_hash"))
+    return release.freshness(there, want).select("target", "reason")
+
+
+@query("""SELECT o_orderkey, CAST(o_orderkey % 2 = 0 AS INTEGER) + CAST(o_orderkey % 3 = 0 AS INTEGER) + CAST(o_orderkey % 5 = 0 AS INTEGER) > 1 AS clash FROM orders""")
+def oneof_variants(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t(spark, d, "orders").select("o_orderkey", checks.check_oneof(*[F.when(k % n == 0, F.lit(True)) for n in (2, 3, 5)]).alias("clash"))
+
+
+@query("""
+WITH n AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS seq, CASE WHEN event_id % 10 <> 0 THEN md5(event_type) END AS fingerprint FROM events)
+SELECT path, seq, fingerprint FROM n WHERE fingerprint IS NULL OR NOT EXISTS (FROM events e WHERE e.event_id % 97 = 0 AND CAST(e.user_id AS VARCHAR) = n.path AND md5(e.event_type) = n.fingerprint)""")
+def suppress_self(spark: SparkSession, d: str) -> DataFrame:
+    found = notices(spark, d)
+    return stream.suppress_self(found.withColumn("fingerprint", F.when(F.col("seq") % 10 != 0, F.col("fingerprint"))), found.where("seq % 97 = 0")).select("path", "seq", "fingerprint")
+
+
+@query("""SELECT DISTINCT CAST(user_id AS VARCHAR) AS path, md5(event_type) AS fingerprint FROM events""")
+def drop_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return stream.drop_repeats(notices(spark, d), "1 day").select("path", "fingerprint")
+
+
+@query("""SELECT CAST(c_nationkey AS INTEGER) AS workbook_id, CAST(count_if(c_custkey % 29 = 0 OR c_custkey % 31 = 0) AS BIGINT) AS pending FROM customer GROUP BY 1""")
+def pending_count(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = t(spark, d, "customer").select(F.col("c_nationkey").alias("workbook_id"), F.when(k % 29 != 0, F.when(k % 31 == 0, "zz").otherwise(guid(3, k))).alias("row_guid"))
+    return project.pending_count(rows)
