@@ -79,6 +79,12 @@ def parse_cell(text: Column, formula: Column, field: Field) -> Column:
     )
 
 
+def write_cell(state: Column, text: Column) -> Column:
+    """Text of a canonical value, null for an invalid one: Missing is empty, Null the mark, a literal mark is escaped (only
+    strings can hold one)."""
+    return F.when(state == "Missing", "").when(state == "Null", NULL_MARK).when(state.isin("Value", "Defaulted"), F.when(text == NULL_MARK, TILDE).otherwise(F.coalesce(text, F.lit(""))))
+
+
 def comparison_text(text: Column, formula: Column) -> Column:
     return F.coalesce(F.when(formula != "", F.concat(F.lit("="), formula)), text, F.lit(""))
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowledger.functions.cells import canonical_labels
+from rowledger.functions.cells import canonical_labels, write_cell
 from rowledger.operators import graph
+from rowledger.operators import identity as identities
 
 LAST_REVISION = 4294967295
 
@@ -167,3 +168,38 @@ def pending_changes(rows: DataFrame, drafts: DataFrame, identity: str, values: l
 def save_scope(dirty: DataFrame, edges: DataFrame, picked: DataFrame) -> DataFrame:
     """dirty (node) that a save of picked (node) has to include: all that earlier moves and deletions (edges src, dst) link to it."""
     return graph.impact(edges, picked).join(dirty.select("node").distinct(), "node", "left_semi")
+
+
+def write_plan(rows: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patches, blockers) of saved edits; write the patches only where there is no blocker.
+
+    rows (table_id, row_guid, row_number, revision); edits (table_id, row_guid, kind: add, edit or delete, cells
+    map<property_path, struct<state, text>>), one per identity, an edit without cells bumps the revision alone.
+    patches (table_id, row_guid, row_number, property_path, text): added rows go behind the last one of their table, in
+    order of identity, at revision 0; others rise by one; a deleted row is one patch without property_path.
+    blockers (table_id, row_guid, code): a table without rows, a taken or absent identity, an invalid value, the last revision.
+    """
+    by = ["table_id", "row_guid"]
+    tables = rows.groupBy("table_id").agg(F.lit(True).alias("_known"))
+    there = rows.select(*by, "row_number", "revision").withColumn("_there", F.lit(True))
+    j = edits.join(there, by, "left").join(tables, "table_id", "left")
+    invalid = F.coalesce(F.exists(F.map_values("cells"), lambda c: c["state"] == "Invalid"), F.lit(False))
+    add, gone = F.col("kind") == "add", F.col("kind") == "delete"
+    code = (
+        F.when(F.col("_known").isNull(), "write.unknown_table")
+        .when(add & F.col("_there").isNotNull(), "write.taken")
+        .when(~add & F.col("_there").isNull(), "write.absent")
+        .when(~gone & invalid, "write.invalid_value")
+        .when((F.col("kind") == "edit") & (F.col("revision") >= LAST_REVISION), "write.revision_overflow")
+    )
+    j = j.withColumn("code", code)
+    good = j.where("code is null").drop("_there", "_known", "code")
+    fresh = identities.append_positions(good.where(add).drop("row_number"), rows, "table_id", "row_number", "row_guid")
+    sound = good.where(~add).unionByName(fresh.select(good.columns))
+    text = lambda p, t: F.struct(F.lit(p).cast("string").alias("property_path"), t.cast("string").alias("text"))
+    cells = F.transform(F.map_entries(F.coalesce("cells", F.create_map().cast(edits.schema["cells"].dataType))), lambda e: F.struct(e["key"].alias("property_path"), write_cell(e["value"]["state"], e["value"]["text"]).alias("text")))
+    revision = F.when(add, F.lit(0)).otherwise(F.col("revision") + 1)
+    system = F.when(add, F.array(text("__guid", F.col("row_guid")), text("__rev", revision))).otherwise(F.array(text("__rev", revision)))
+    patches = F.when(gone, F.array(text(None, F.lit(None)))).otherwise(F.concat(cells, system))
+    out = sound.select(*by, "row_number", F.explode(patches).alias("p")).select(*by, "row_number", "p.*")
+    return out, j.where("code is not null").select(*by, "code")

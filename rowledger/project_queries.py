@@ -579,3 +579,26 @@ def pending_count(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     rows = t(spark, d, "customer").select(F.col("c_nationkey").alias("workbook_id"), F.when(k % 29 != 0, F.when(k % 31 == 0, "zz").otherwise(guid(3, k))).alias("row_guid"))
     return project.pending_count(rows)
+
+
+@query("""
+WITH r AS (SELECT c_nationkey AS table_id, md5('3:' || c_custkey) AS g, c_custkey AS k, CASE WHEN c_custkey % 17 = 0 THEN 4294967295 ELSE c_custkey % 3 END AS revision, c_name AS name FROM customer),
+e AS (SELECT r.*, CASE WHEN k % 6 = 0 THEN 'delete' WHEN k % 4 = 0 THEN 'edit' ELSE 'add' END AS kind, CASE WHEN k % 6 <> 0 AND k % 4 <> 0 AND k % 10 <> 0 THEN md5('9:' || k) ELSE g END AS guid, CASE WHEN k % 50 = 7 THEN -1 ELSE table_id END AS tid FROM r WHERE k % 6 = 0 OR k % 4 = 0 OR k % 5 = 2 OR k % 10 = 0),
+c AS (SELECT *, CASE WHEN tid = -1 THEN 'write.unknown_table' WHEN kind = 'add' AND guid = g THEN 'write.taken' WHEN kind <> 'delete' AND k % 9 = 1 THEN 'write.invalid_value' WHEN kind = 'edit' AND revision = 4294967295 THEN 'write.revision_overflow' END AS code FROM e),
+n AS (SELECT c.*, CASE WHEN kind = 'add' THEN (SELECT max(k) FROM r WHERE r.table_id = c.tid) + row_number() OVER (PARTITION BY tid, kind ORDER BY guid) ELSE k END AS row_number FROM c WHERE code IS NULL)
+SELECT tid AS table_id, guid AS row_guid, row_number, NULL AS property_path, NULL AS text, NULL AS code FROM n WHERE kind = 'delete'
+UNION ALL SELECT tid, guid, row_number, 'name', CASE k % 3 WHEN 0 THEN '%7E' WHEN 1 THEN '~' ELSE name END, NULL FROM n WHERE kind <> 'delete'
+UNION ALL SELECT tid, guid, row_number, '__rev', CASE WHEN kind = 'add' THEN '0' ELSE CAST(revision + 1 AS VARCHAR) END, NULL FROM n WHERE kind <> 'delete'
+UNION ALL SELECT tid, guid, row_number, '__guid', guid, NULL FROM n WHERE kind = 'add'
+UNION ALL SELECT tid, guid, NULL, NULL, NULL, code FROM c WHERE code IS NOT NULL""")
+def write_plan(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer")
+    rows = c.select(F.col("c_nationkey").alias("table_id"), guid(3, k).alias("row_guid"), k.alias("row_number"), F.when(k % 17 == 0, drafts.LAST_REVISION).otherwise(k % 3).alias("revision"))
+    kind = F.when(k % 6 == 0, "delete").when(k % 4 == 0, "edit").otherwise("add")
+    state = F.when(k % 9 == 1, "Invalid").when(k % 3 == 1, "Null").otherwise("Value")
+    cell = F.struct(state.alias("state"), F.when(k % 3 == 0, "~").otherwise(F.col("c_name")).alias("text"))
+    own = (kind == "add") & (k % 10 != 0)
+    edits = c.where("c_custkey % 6 = 0 or c_custkey % 4 = 0 or c_custkey % 5 = 2 or c_custkey % 10 = 0").select(F.when(k % 50 == 7, -1).otherwise(F.col("c_nationkey")).alias("table_id"), F.when(own, guid(9, k)).otherwise(guid(3, k)).alias("row_guid"), kind.alias("kind"), F.create_map(F.lit("name"), cell).alias("cells"))
+    patches, blockers = drafts.write_plan(rows, edits)
+    return patches.withColumn("code", F.lit(None).cast("string")).unionByName(blockers, allowMissingColumns=True)
