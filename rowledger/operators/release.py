@@ -20,13 +20,18 @@ def build(rows: DataFrame, table: Table, target: str) -> DataFrame:
     return out.select("table_id", "row_guid", "key", "path", "e.*").where("value is not null")
 
 
-def content_hash(records: DataFrame, prefix: int = 2) -> DataFrame:
-    """(bucket, digest): digests of records by guid prefix; small enough lists, and no global sort.
+def content_hash(records: DataFrame, prefixes: tuple[int, ...] = (8, 6, 4, 2)) -> DataFrame:
+    """(bucket, digest) by the shortest guid prefix: a tree of digests, without a global sort.
 
-    A bucket's rows are hashed one by one first, so that its list holds digests alone; widen the prefix with the data.
+    A record's digest joins those of its longest prefix, these join by the next shorter one, and so on. As guids are
+    random, the list of a leaf stays small up to 10^12 records, and two more digits make at most 256 buckets one.
     """
-    rows = records.select(F.substring("row_guid", 1, prefix).alias("bucket"), row_hash(*[F.col(c) for c in ("table_id", "row_guid", "key", "path", "field", "value")]).alias("h"))
-    return rows.groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
+    rows = records.select(F.substring("row_guid", 1, prefixes[0]).alias("bucket"), row_hash(*[F.col(c) for c in ("table_id", "row_guid", "key", "path", "field", "value")]).alias("h"))
+    level = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
+    for n in prefixes[1:]:
+        parts = F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"])
+        level = level.groupBy(F.substring("bucket", 1, n).alias("_b")).agg(F.sha2(F.array_join(parts, ""), 256).alias("digest")).withColumnRenamed("_b", "bucket")
+    return level
 
 
 def root_hash(buckets: DataFrame) -> DataFrame:

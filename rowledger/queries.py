@@ -458,8 +458,11 @@ def release_client(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("WITH " + RELEASE + """
-, h AS (SELECT substr(row_guid, 1, 2) AS bucket, sha256(concat(length(CAST(table_id AS VARCHAR)), ':', table_id, ';', length(row_guid), ':', row_guid, ';', length(key), ':', key, ';', length(path), ':', path, ';', length(CAST(field AS VARCHAR)), ':', field, ';', length(value), ':', value, ';')) AS h FROM records),
-b AS (SELECT bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY 1)
+, h AS (SELECT substr(row_guid, 1, 8) AS bucket, sha256(concat(length(CAST(table_id AS VARCHAR)), ':', table_id, ';', length(row_guid), ':', row_guid, ';', length(key), ':', key, ';', length(path), ':', path, ';', length(CAST(field AS VARCHAR)), ':', field, ';', length(value), ':', value, ';')) AS h FROM records),
+b8 AS (SELECT bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM h GROUP BY 1),
+b6 AS (SELECT substr(b8.bucket, 1, 6) AS bucket, sha256(string_agg(digest, '' ORDER BY b8.bucket)) AS digest FROM b8 GROUP BY 1),
+b4 AS (SELECT substr(b6.bucket, 1, 4) AS bucket, sha256(string_agg(digest, '' ORDER BY b6.bucket)) AS digest FROM b6 GROUP BY 1),
+b AS (SELECT substr(b4.bucket, 1, 2) AS bucket, sha256(string_agg(digest, '' ORDER BY b4.bucket)) AS digest FROM b4 GROUP BY 1)
 SELECT sha256(string_agg(digest, '' ORDER BY bucket)) AS content_hash FROM b""")
 def release_hash(spark: SparkSession, d: str) -> DataFrame:
     return release.root_hash(release.content_hash(client_release(spark, d)))
