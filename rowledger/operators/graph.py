@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,9 @@ def plan_delete(edges: DataFrame, targets: DataFrame) -> DataFrame:
     owners = edges.join(gone.withColumnRenamed("node", "dst"), "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
     held = owners.where("policy in ('BLOCK', 'SET_NULL')").groupBy("src").agg(F.max((F.col("policy") == "BLOCK").cast("int")).alias("b"))
     return gone.select("node", F.lit("delete").alias("action")).union(held.select(F.col("src").alias("node"), F.when(F.col("b") == 1, "block").otherwise("set_null").alias("action")))
+
+
+def affected(edges: DataFrame, seeds: DataFrame, provider: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Nodes that a change of seeds (node) touches: they alone, unless a provider of (edges, seeds), such as impact, adds more."""
+    nodes = seeds.select("node")
+    return (nodes.union(provider(edges, seeds).select("node")) if provider else nodes).distinct()

@@ -36,3 +36,8 @@ def guids_in_tables(known: DataFrame) -> DataFrame:
 def dependency_sets(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(src, deps): a row's distinct dependencies in order; the set is the row's own value."""
     return edges.select(src, dst).distinct().groupBy(src).agg(F.array_sort(F.collect_list(dst)).alias("deps"))
+
+
+def order_identity(rows: DataFrame) -> DataFrame:
+    """By table, then identity; a range sort, for output only."""
+    return rows.orderBy("table_id", "row_guid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowledger.catalog import Field
 from rowledger.functions import cells
-from rowledger.operators import drafts, graph, identity, merge, migration, project, publication, release
+from rowledger.operators import drafts, graph, identity, lookups, merge, migration, project, publication, release
 from rowledger.registry import Extensions, random_guid, register_family
 from rowledger.sources import workbooks
 from rowledger.streaming import changes as stream
@@ -226,3 +226,12 @@ def test_overwriting_needs_consent(spark):
     assert {r.text for r in done.collect()} == {"1", "10"} and errors.isEmpty()
     again, _ = migration.apply_checked(done, migration.outcomes(done, steps), revisions, revisions, steps, confirmed=True)
     assert {r.text for r in again.collect()} == {"1", "10"}
+
+
+def test_affected_and_order(spark):
+    e = spark.createDataFrame([("a", "b"), ("c", "b"), ("x", "y")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",)], "node string")
+    assert [r.node for r in graph.affected(e, seeds).collect()] == ["a"]
+    assert sorted(r.node for r in graph.affected(e, seeds, graph.impact).collect()) == ["a", "b", "c"]
+    rows = spark.createDataFrame([(2, "a"), (1, "b"), (1, "a")], "table_id int, row_guid string")
+    assert [tuple(r) for r in lookups.order_identity(rows).collect()] == [(1, "a"), (1, "b"), (2, "a")]
