@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowledger.llm.common import is_held_out, plus
 
@@ -34,7 +35,7 @@ class Settings:
     #: The sample's bound: rows of each label.
     sample_rows: int = 2_500
     #: And bytes of each label.
-    sample_bytes: int = 2_500_000
+    sample_bytes: int = 6_000_000
     window: int = 48
     level: int = 9
     min_match: int = 5
@@ -176,14 +177,23 @@ def sample(docs: DataFrame, labels: DataFrame, s: Settings) -> tuple[list[bytes]
     part = F.when(F.col("toxic") == 1, min(1.0, s.sample_rows / counts[1])).otherwise(min(1.0, s.sample_rows / counts[0]))
     most = 2 * s.sample_rows + 1_000
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).limit(most)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # broadcast: `most` rows of two numbers
+    known_docs = docs.select("doc_id", "text").where("text <> ''").join(F.broadcast(chosen), "doc_id")  # broadcast: `most` rows of two numbers
+    # The byte bound holds before any text leaves Spark: lengths of `most` rows are summed in order, and the text that
+    # crosses the bound is cut there.
+    rows = known_docs.select("doc_id", "toxic", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(most).groupBy("doc_id", "toxic", "h", "n").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    rows = rows.withColumn("room", F.lit(s.sample_bytes) - F.sum(F.col("n") * F.col("times")).over(order) + F.col("n") * F.col("times"))
+    rows = rows.where("room > 0").select("doc_id", "h", "times", "room", F.least("times", F.ceil(F.col("room") / F.col("n"))).alias("copies"))
+    texts = known_docs.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).join(F.broadcast(rows), ["doc_id", "h"])
+    texts = texts.select("doc_id", "h", "toxic", "copies", "room", F.expr("substring(text, 1, cast(room as int))").alias("text"))
     out: dict[int, list[bytes]] = {0: [], 1: []}
-    room = {0: s.sample_bytes, 1: s.sample_bytes}
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect():
-        t = folded(r["text"])
-        if 0 < len(t) <= room[r["toxic"]]:
-            room[r["toxic"]] -= len(t)
-            out[r["toxic"]].append(t)
+    for r in sorted(texts.collect(), key=lambda r: (r["h"], str(r["doc_id"]))):
+        t, room = folded(r["text"]), r["room"]
+        for _ in range(r["copies"]):
+            if part := t[: max(0, room)]:
+                out[r["toxic"]].append(part)
+            room -= len(t)
     return out[1], out[0], float(np.log(max(1, len(out[1])) / counts[1]) - np.log(max(1, len(out[0])) / counts[0]))
 
 

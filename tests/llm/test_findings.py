@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from rowledger.llm import nearcopies
+from rowledger.llm import nearcopies, packing, secrets, simhash, topk, toxicity
 
 
 def brute_jaccard(a, b, k=5):
@@ -46,3 +46,14 @@ def test_pipeline_near_copies_brute_force_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == brute_kept(sorted(rows))
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    """Long texts come cut to the bound, and neither block nor leave out the others."""
+    rows = [(i, f"{i} " + "word " * 2_000) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for room in (7_000, 35_000):
+        toxic, ordinary, _ = toxicity.sample(docs, labels, toxicity.Settings(sample_bytes=room))
+        assert sum(map(len, toxic)) == room and sum(map(len, ordinary)) == room
+    assert toxicity.Settings().sample_bytes == 6_000_000
