@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ CAPACITY, UNIT, END = 2_048, 128, 1
 #: Sequence ids: packed rests count up from zero, whole sequences from here.
 WHOLE = 1 << 62
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[object, object] = {}
 
 
 def encoder(path: str):  # noqa: ANN201
@@ -56,6 +57,27 @@ def encoder(path: str):  # noqa: ANN201
     return _ENCODERS[path]
 
 
+def encoder_with_added(path: str):  # noqa: ANN201
+    """An encoder with the ids of the tokenizers library without switches: the file's added tokens are matched in the
+    text, the leftmost first, and what stands between them is encoded piece by piece."""
+    if (path, "added") not in _ENCODERS:
+        with open(path, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens") or []}
+        plain = encoder(path)
+        marks = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+
+        def encode(text: str) -> list[int]:
+            if marks is None or not any(t in text for t in added):
+                return plain(text)
+            out: list[int] = []
+            for i, part in enumerate(marks.split(text)):
+                out += [added[part]] if i % 2 else plain(part)
+            return out
+
+        _ENCODERS[path, "added"] = encode
+    return _ENCODERS[path, "added"]
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -78,7 +100,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNI
     """(doc_id, start, length, ids, doc_tokens) of all parts; ids as crc32 only if digest is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder_with_added(path)
         for b in batches:
             owner, start, length, total, payload = [], [], [], [], []
             for i, t in enumerate(b.column(1)):

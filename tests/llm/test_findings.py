@@ -57,3 +57,13 @@ def test_toxicity_sample_is_bounded_in_bytes(spark):
         toxic, ordinary, _ = toxicity.sample(docs, labels, toxicity.Settings(sample_bytes=room))
         assert sum(map(len, toxic)) == room and sum(map(len, ordinary)) == room
     assert toxicity.Settings().sample_bytes == 6_000_000
+
+
+def test_packing_added_token(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext|", "plain é", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in packing.pack(docs).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
