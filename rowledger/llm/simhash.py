@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowledger.llm.common import connected_components, materialize
+from rowledger.llm.common import connected_components, materialize, plus
 
 ALL = (1 << 64) - 1
 
@@ -146,13 +146,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
+def least_rows(tagged: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
+    """Of the rows of each root the one with the least doc_id, and of several the first by text. tagged: columns and
+    _set; roots: (node, root) of the sets that have another root than themselves."""
+    classes = tagged.groupBy("_set").agg(F.min("doc_id").alias("_least"))
+    classes = materialize(classes.join(roots, classes["_set"] == roots["node"], "left").select("_set", "_least", F.coalesce("root", "_set").alias("_root")), "near-classes")
+    best = classes.groupBy("_root").agg(F.min("_least").alias("_best"))
+    first = classes.join(best, "_root").where(F.col("_least").eqNullSafe(F.col("_best"))).select(F.col("_set").alias("_s"), "_best", "_root")
+    first = materialize(first, "near-first")
+    kept = tagged.select("_set", *columns).join(first, (F.col("_set") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_best")))
+    repeated = kept.groupBy("_root").count().where("count > 1").select("_root")
+    once = kept.join(repeated, "_root", "left_anti").select(columns)
+    order = ["text", *[c for c in columns if c not in ("text", "doc_id")]]
+    one = kept.join(repeated, "_root", "left_semi").groupBy("_root").agg(F.min(F.struct("doc_id", *order)).alias("_r"))
+    return once.union(one.select("_r.*").select(columns))
+
+
+def with_print(docs: DataFrame, shingle: int) -> DataFrame:
+    """docs with _set, the fingerprint as a signed long, all other columns kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = pa.array([signed(fingerprint(t.as_py(), shingle)) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, "_set"])
+
+    return docs.mapInArrow(run, plus(docs.schema, _set="bigint"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket_limit: int = 96) -> DataFrame:
     """One row of each group of near-duplicates: of the rows with its smallest doc_id, the first by text."""
-    found = near_duplicates(docs, **options)
-    first = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash-kept")
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
-    once = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    twice = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    one = twice.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_r"))
-    return once.unionByName(one.select("doc_id", "_r.*").select(docs.columns))
+    tagged = materialize(with_print(docs, shingle), "simhash-docs")
+    classes = materialize(tagged.select(F.col("_set").alias("fp")).distinct(), "simhash-classes")
+    return least_rows(tagged, connected_components(near_links(classes, max_bits, bucket_limit), "simhash-links"), docs.columns)

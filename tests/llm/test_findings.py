@@ -67,3 +67,13 @@ def test_packing_added_token(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: list(r.ids) for r in packing.pack(docs).collect()}
     assert got == {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+
+
+def test_keep_one_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, stay unless their texts are near copies."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (7, texts["c"]), (7, texts["d"]), (8, texts["d"]), (9, texts["e"]), (None, texts["e"]), (7, texts["c"])]
+    want = sorted([(-1, texts["a"]), (-1, texts["b"]), (7, texts["c"]), (7, texts["d"]), (9, texts["e"])])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (simhash.keep_one, nearcopies.keep_one):
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in keep(docs).collect()) == want
