@@ -57,7 +57,7 @@ def scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, ex
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """vectors and queries: vec_id, embedding. Query ids must be distinct."""
+    """vectors and queries: vec_id, embedding. Each query row is ranked by itself, so a repeated one gives its k rows again."""
     rows, asked = valid(vectors), valid(queries)
     norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: F.pow(F.floor(F.lit(256.0) * x.cast("double")).cast("double"), 2.0)), F.lit(0.0), lambda a, x: a + x))
     most, dims = rows.agg(F.max(norm), F.max(F.size("embedding"))).first()
@@ -92,11 +92,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     low[r["q"]] += r["bin"] * BINS**level
             few |= ~seen
             low[few], need[few] = -reach, k  # fewer rows than k: all of them are taken
-        out.append(rows.mapInArrow(chosen(ids, q, exact, low, need, few), schema))
+        out.append(rows.mapInArrow(chosen(ids, q, exact, low, need, few), schema + ", q int").withColumn("block", F.lit(block)))
     found = out[0]
     for x in out[1:]:
         found = found.union(x)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     found = materialize(found, "topk-found") if blocks > 1 else found
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -127,6 +127,6 @@ def chosen(ids: np.ndarray, q: np.ndarray, exact: bool, low: np.ndarray, need: n
             ranked = ties[:, order]
             take[:, order] |= ranked & (np.cumsum(ranked, 1) <= need[:, None])
             i, j = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(rows[j], pa.int64()), pa.array(s[i, j], pa.int64())], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(rows[j], pa.int64()), pa.array(s[i, j], pa.int64()), pa.array(i, pa.int32())], names=["query_id", "vec_id", "score", "q"])
 
     return run

@@ -77,3 +77,12 @@ def test_keep_one_null_and_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for keep in (simhash.keep_one, nearcopies.keep_one):
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in keep(docs).collect()) == want
+
+
+def test_topk_repeated_query_row(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(1, 40)]
+    query = (0, rng.normal(0, 0.3, 8).tolist())
+    once = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame([query, *rows], "vec_id long, embedding array<double>"), spark.createDataFrame([query], "vec_id long, embedding array<double>")).collect())
+    twice = spark.createDataFrame([query, query, *rows], "vec_id long, embedding array<double>")
+    assert len(once) == 5 and sorted(tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 0")).collect()) == sorted(once * 2)
