@@ -10,8 +10,9 @@ characters of the alphabet in which secrets are written, with a digit and a lett
 documents a network in numpy (one-hot characters, one convolution, maximum over positions, one logistic unit) learns
 labelled findings against all other candidates, in half of the cases with the words around them blanked, so that it
 looks at the token as well as its context. Platt scaling on rows kept apart calibrates it, and the threshold is the
-highest one that recalls `recall` of the findings kept apart, but `least` at the lowest. Long candidates are scored in
-windows, whose maximum counts.
+highest one, to a ten-thousandth of the log odds' range, that recalls `recall` of the base findings of all documents.
+Long candidates are scored in windows, whose maximum counts. A candidate that reaches beyond the base findings it
+overlaps is a finding of its own if it passes, so that no part of a long token stays.
 """
 
 from __future__ import annotations
@@ -52,7 +53,6 @@ class Settings:
     sample_docs: int = 20_000
     sample_candidates: int = 12_000
     recall: float = 0.98
-    least: float = 0.5
     steps: int = 400
 
 
@@ -195,12 +195,57 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     held = apart if apart.any() else ~apart
     logit = forward(x[held], model.parts)[0]
     model = Model(model.parts, platt(logit, y[held]), settings=settings)
-    p = np.sort(probability(model, x[held][y[held] == 1]))
-    return Model(model.parts, model.scale, max(settings.least, float(p[int((1 - settings.recall) * len(p))])), settings)
+    return Model(model.parts, model.scale, recalling(docs, model), settings)
+
+
+#: Intervals of the log odds from -30 to 30 by which the base findings are counted.
+LEVELS = 10_000
+
+
+def recalling(docs: DataFrame, model: Model) -> float:
+    """The highest lower end of an interval of log odds from which on `recall` of all documents' base findings lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = np.zeros(LEVELS, np.int64)
+            for t in b.column(0):
+                p = base_probabilities(t.as_py() or "", model)
+                if len(p):
+                    counts += np.bincount(np.clip((level(p) * LEVELS).astype(np.int64), 0, LEVELS - 1), minlength=LEVELS)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["level", "n"])
+
+    found = docs.select("text").mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()  # at most LEVELS rows
+    total, above = sum(r["n"] for r in found), 0
+    for r in sorted(found, key=lambda r: -r["level"]):
+        above += r["n"]
+        if above >= model.settings.recall * total:
+            return float(1 / (1 + np.exp(30 - 60 * r["level"] / LEVELS))) * (1 - 1e-9)
+    return 2.0
+
+
+def level(p: np.ndarray) -> np.ndarray:
+    """Log odds from -30 to 30 as 0 to 1."""
+    with np.errstate(divide="ignore"):
+        return (np.clip(np.log(p) - np.log1p(-p), -30, 30) + 30) / 60
+
+
+def base_probabilities(text: str, model: Model) -> np.ndarray:
+    """The network's probability of each base finding: of the candidates that overlap it, or of itself without any."""
+    spans = base_spans(text)
+    if not spans:
+        return np.zeros(0)
+    runs = [(a, b) for a, b in candidates(text) if any(s[0] < b and a < s[1] for s in spans)]
+    scores = [float(probability(model, encode(text, a, b)).max()) for a, b in runs]
+    out = []
+    for s in spans:
+        over = [p for (a, b), p in zip(runs, scores, strict=True) if s[0] < b and a < s[1]]
+        out.append(max(over) if over else float(probability(model, encode(text, s[0], s[1])).max()))
+    return np.array(out)
 
 
 def scan_texts(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float]]]:
-    """Findings of each text: the base spans, and the candidates apart from them that pass the threshold."""
+    """Findings of each text: the base spans, and the candidates not covered by them that pass the threshold."""
     spans, todo = [base_spans(t) for t in texts], []
     if model.parts:
         todo = [(i, a, b, encode(t, a, b)) for i, t in enumerate(texts) for a, b in candidates(t)]
@@ -211,11 +256,19 @@ def scan_texts(texts: list[str], model: Model) -> list[list[tuple[int, int, str,
         ends = np.cumsum([len(x[3]) for x in part])
         best = np.maximum.reduceat(p, np.r_[0, ends[:-1]])
         for (i, a, b, _), q in zip(part, best.tolist(), strict=True):
-            if q >= model.threshold and not any(s[0] < b and a < s[1] for s in spans[i]):
+            if q >= model.threshold and not covered(a, b, spans[i]):
                 found[i].append((a, b, "model", q))
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for x in found]
 
 
+def covered(start: int, end: int, spans: list[Span]) -> bool:
+    """Whether the spans, by start, together hold all of start to end."""
+    for a, b, _ in spans:
+        if a <= start < b:
+            start = b
+    return start >= end
+
+
 FINDINGS = "array<struct<start:bigint,end:bigint,kind:string,score:double>>"
 
 

@@ -86,3 +86,17 @@ def test_topk_repeated_query_row(spark):
     once = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame([query, *rows], "vec_id long, embedding array<double>"), spark.createDataFrame([query], "vec_id long, embedding array<double>")).collect())
     twice = spark.createDataFrame([query, query, *rows], "vec_id long, embedding array<double>")
     assert len(once) == 5 and sorted(tuple(r) for r in topk.top_k(twice, twice.where("vec_id = 0")).collect()) == sorted(once * 2)
+
+
+def test_secrets_rest_of_a_token_and_threshold(spark):
+    import hashlib
+
+    rows = [(i, f"words token = \"{hashlib.sha1(str(i).encode()).hexdigest()}\" more" if i % 2 else f"mail to abcdefgh.{i:02d}@mail{i}.example.com now") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.fit(docs)
+    p = np.concatenate([secrets.base_probabilities(t, model) for _, t in rows])
+    assert (p >= model.threshold).mean() >= 0.98
+    key = "9F8E7D6C5B4A39281F" + "0f" * 12 + "A1B2C3D4E5F60718A9"
+    assert secrets.replaced(f"key {key} end", secrets.scan_texts([f"key {key} end"], model)[0], "[secret]") == "key [secret] end"
+    low = secrets.Model(model.parts, (0.001, -2.0), 2.0, model.settings)
+    assert 0 < secrets.recalling(docs, low) < 0.5
