@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +22,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where the session names none."""
+    """The shared folder named by spark.checkpoint.dir; a folder of this machine only where the session names none and
+    runs on it alone."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(d)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
         d = spark.sparkContext.getCheckpointDir()
     return d.rstrip("/")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back, which cuts the lineage and survives lost executors."""
+    return materialized(df, tag)[0]
+
+
+def materialized(df: DataFrame, tag: str, keep: bool = False) -> tuple[DataFrame, str]:
+    """As materialize, and the folder; `keep` leaves it when a scratch_scope around it ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that nothing reads any more, in whatever store they lie."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Folders that are written inside go when the block ends: what is to stay has to be written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_SCOPES.pop())
+
+
+def absent(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores behind it as make it no column, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+        taken.add(n.lower())
+    return out
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -61,35 +103,64 @@ def running_start(df: DataFrame, group: str, order: list[str], value: str, out:
     order[0] is a hexadecimal hash, so its first digits deal every group, a hot one too, evenly over `buckets`
     buckets; bucket totals give the offsets, and only a bucket's rows are sorted in one task. `group` must not be null.
     """
-    df = df.withColumn("_b", (F.conv(F.substring(order[0], 1, 12), 16, 10).cast("long") * F.lit(buckets) / F.lit(float(1 << 48))).cast("int"))
-    totals = df.groupBy(group, "_b").agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0).cast("long")).alias("_o"))
-    within = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(totals, [group, "_b"]).withColumn(out, (F.col("_o") + F.coalesce(F.sum(value).over(within), F.lit(0).cast("long"))).cast("long")).drop("_o", "_b")
+    b, o, t = absent([*df.columns, out], "_b", "_o", "_t")
+    df = df.withColumn(b, (F.conv(F.substring(order[0], 1, 12), 16, 10).cast("long") * F.lit(buckets) / F.lit(float(1 << 48))).cast("int"))
+    totals = df.groupBy(group, b).agg(F.sum(value).alias(t))
+    before = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(group, b, F.coalesce(F.sum(t).over(before), F.lit(0).cast("long")).alias(o))
+    within = Window.partitionBy(group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.join(totals, [group, b]).withColumn(out, (F.col(o) + F.coalesce(F.sum(value).over(within), F.lit(0).cast("long"))).cast("long")).drop(o, b)
+
+
+#: A key with more than one row in so many is joined apart; there are fewer such keys than that.
+HOT_SHARE = 1_000
+
+
+def join_spread(rows: DataFrame, by: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
+    """rows (read twice) with the columns of by, one row a key, left out where by has none; `count` is how many rows a key
+    has, of `total` in all. Keys with more than total / HOT_SHARE rows, so fewer than HOT_SHARE keys, are sent to the
+    rows; the others meet them by a shuffle, so no task gets the rows of a hot key."""
+    most, key = total // HOT_SHARE, [key] if isinstance(key, str) else key
+    hot, rest = by.where(F.col(count) > most).drop(count), by.where(F.col(count) <= most).drop(count)
+    with_hot = rows.join(F.broadcast(hot), key)
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)
+    return with_hot.unionByName(others)
 
 
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, root) for every node of edges (a, b), root being the smallest node that is reachable.
 
-    Alternates large-star and small-star steps until the edges no longer change; each round is written to the scratch
-    folder, so that neither lineage nor any list of neighbours grows in memory.
+    Alternates large-star and small-star steps until the edges are stars, each node with one edge to a root that has none.
+    Each step is written to the scratch folder, so that neither lineage nor any list of neighbours grows in memory, and
+    what it came from goes. A hub's edges are spread over tasks.
     """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), tag)
-    last = None
-    while True:
+    spark = edges.sparkSession
+    edges, path = materialized(edges.select("a", "b").where("a <> b").distinct(), tag)
+    n = edges.count()
+    while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+        large = join_spread(both.where("b > a"), least, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large, between = materialized(large, tag)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, least, "a", "n", n)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialize(small, tag)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == last:
-            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-        last = tuple(now)
+        edges, now = materialized(small, tag)
+        discard(spark, path, between)
+        path = now
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        n, open_nodes = ends.agg(F.sum("out"), F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()
+        if not open_nodes:
+            break
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def shielded(df: DataFrame, *kept: str) -> DataFrame:
+    """df with all columns but `kept` under names that begin with no underscore, so that helper columns never clash; the
+    order of columns stays, and toDF gives the old names back."""
+    return df.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(df.columns)])
 
 
 def plus(schema: T.StructType, **columns: str) -> T.StructType:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowledger.llm.common import connected_components, materialize, plus
+from rowledger.llm.common import connected_components, join_spread, materialize, plus, shielded
 
 ALL = (1 << 64) - 1
 
@@ -99,13 +99,15 @@ def chain_passes(diff: Column, masks: list[int], max_bits: int, length: int) ->
 def near_links(fps: DataFrame, max_bits: int = 4, bucket_limit: int = 96, chain: int = 3) -> DataFrame:
     """Links (a, b), a < b, that connect exactly the pairs of distinct fingerprints (column fp) within max_bits."""
     fps = fps.select("fp")
-    m, r = scheme(fps.count(), max_bits)
+    n = fps.count()
+    m, r = scheme(n, max_bits)
     masks = segments(m)
     keys = [sum(masks[i] for i in c) for c in combinations(range(m), r)]
     at = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(x))).alias("v")) for k, x in enumerate(keys)])
     keyed = fps.select("fp", F.inline(at))
     loads = keyed.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(keyed.join(loads, ["k", "v"]), "simhash-keys")
+    loads = materialize(loads.withColumn("load", F.col("n")), "simhash-loads")
+    shared = materialize(join_spread(keyed, loads, ["k", "v"], "load", n * len(keys)), "simhash-keys")
     few = shared.where(F.col("n") <= bucket_limit)
     pairs = few.select("k", "v", F.col("fp").alias("a")).join(few.select("k", "v", F.col("fp").alias("b")), ["k", "v"]).where("a < b")
     diff = F.col("a").bitwiseXOR(F.col("b"))
@@ -138,12 +140,14 @@ def ball_points(fps: DataFrame, radius: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket_limit: int = 96) -> DataFrame:
     prints = materialize(with_fingerprint(docs, shingle), "simhash-prints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     roots = connected_components(near_links(classes, max_bits, bucket_limit), "simhash-links")
-    classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "simhash-roots")
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "simhash-named")
+    rows, prints_in_all = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = materialize(join_spread(rooted, named, "root", "m", rows).select("fp", "n", "component_id"), "simhash-components")
+    return join_spread(prints, classes, "fp", "n", prints_in_all).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def least_rows(tagged: DataFrame, roots: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,8 +155,9 @@ def least_rows(tagged: DataFrame, roots: DataFrame, columns: list[str]) -> DataF
     _set; roots: (node, root) of the sets that have another root than themselves."""
     classes = tagged.groupBy("_set").agg(F.min("doc_id").alias("_least"))
     classes = materialize(classes.join(roots, classes["_set"] == roots["node"], "left").select("_set", "_least", F.coalesce("root", "_set").alias("_root")), "near-classes")
-    best = classes.groupBy("_root").agg(F.min("_least").alias("_best"))
-    first = classes.join(best, "_root").where(F.col("_least").eqNullSafe(F.col("_best"))).select(F.col("_set").alias("_s"), "_best", "_root")
+    # The least id is part of the join's key, so that a root of many sets is spread over tasks.
+    best = classes.groupBy(F.col("_root").alias("_of")).agg(F.min("_least").alias("_best"))
+    first = classes.join(best, (F.col("_root") == F.col("_of")) & F.col("_least").eqNullSafe(F.col("_best"))).select(F.col("_set").alias("_s"), "_best", "_root")
     first = materialize(first, "near-first")
     kept = tagged.select("_set", *columns).join(first, (F.col("_set") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_best")))
     repeated = kept.groupBy("_root").count().where("count > 1").select("_root")
@@ -175,6 +180,7 @@ def with_print(docs: DataFrame, shingle: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, bucket_limit: int = 96) -> DataFrame:
     """One row of each group of near-duplicates: of the rows with its smallest doc_id, the first by text."""
-    tagged = materialize(with_print(docs, shingle), "simhash-docs")
+    inner = shielded(docs, "doc_id", "text")
+    tagged = materialize(with_print(inner, shingle), "simhash-docs")
     classes = materialize(tagged.select(F.col("_set").alias("fp")).distinct(), "simhash-classes")
-    return least_rows(tagged, connected_components(near_links(classes, max_bits, bucket_limit), "simhash-links"), docs.columns)
+    return least_rows(tagged, connected_components(near_links(classes, max_bits, bucket_limit), "simhash-links"), inner.columns).toDF(*docs.columns)
