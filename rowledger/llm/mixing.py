@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rowledger.llm.common import bucket_count, materialize, order_hash, running_start
+from rowledger.llm.common import bucket_count, materialize, order_hash, running_start, shielded
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Packets in one range of the global order, on average, as long as that makes at most RANGES ranges.
+#: Packets in one range of the global order, on average, as long as that makes at most RANGES ranges (the driver gets a
+#: number of each). Past that a range grows: Spark sorts it with spill and the running sum streams over it.
 RANGE_ROWS, RANGES = 20_000, 20_000
 
 
@@ -76,12 +77,17 @@ def mix(docs: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3),
 
 
 def resample(docs: DataFrame, repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), packet: int = 64) -> DataFrame:
-    """docs with every row as often as the mix takes it, a part of a row rounded to the nearest whole one."""
+    """docs with every row as often as the mix takes it, a part of a row rounded to the nearest whole one.
+
+    Rows without a word, whose texts are null, empty or white space, have nothing to take and go. Rows that share
+    doc_id, source and size (null equal to null) are taken equally often. Columns of any name are kept.
+    """
     taken = mix(docs, repeats, weights, packet).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("t"), F.count("*").alias("rows"))
     taken = taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.round(F.col("t") / (F.col("rows") * F.col("size"))).cast("int").alias("_n")).where("_n > 0")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_w", words).join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_z")))
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    inner = shielded(docs, "doc_id", "source", "text")
+    rows = inner.withColumn("_w", words).join(taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_z")))
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(inner.columns).toDF(*docs.columns)
 
 
 #: The result over documents as DuckDB computes it; the same order of words, so the same takes.
