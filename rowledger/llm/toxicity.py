@@ -4,19 +4,20 @@ Contract: one row per input row with doc_id, held_out, score (0 to 1) and predic
 the text alone. Null and empty texts have no window, so no gain, and get the score of that; repeated rows count each;
 extra columns are ignored; an empty table gives an empty result; without labels of both kinds every score is 0.
 
-Method. A bounded sample of labelled rows outside the held-out fold is fitted on the driver. The ordinary dictionary is
-trained by zstandard on ordinary windows, the toxic one on passages of toxic text that recur there in many different
-contexts and far more often than in ordinary text (contexts, not counts, so that copies weigh once). Every window of
-about `window` bytes, cut at spaces, is compressed with the ordinary dictionary and with the toxic one in front of it;
-what the second saves is the window's gain. A logistic curve calibrates the two largest gains and the number of gaining
-windows of a document into a probability. Whole texts are scored, in memory bounded by one batch of rows.
+Method. A bounded sample of labelled rows outside the held-out fold is fitted on the driver. zstandard trains two
+dictionaries: the ordinary one on windows of ordinary text, the toxic one on passages of toxic text that recur there in
+many different contexts and far more often than in ordinary text (contexts, not counts, so that copies weigh once).
+Every window of about `window` bytes, cut at spaces, is compressed with the ordinary dictionary and with the toxic one in
+front of it; what the second saves is the window's gain. A logistic curve calibrates the two largest gains and the number
+of gaining windows of a document into a probability; it is fitted on the gains of texts that the dictionaries did not
+see, by `folds` turns. Whole texts are scored, in memory bounded by one batch of rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rowledger.llm.common import is_held_out, plus
+from rowledger.llm.common import absent, is_held_out, plus
 
 GRAM, CONTEXT = 5, 6
 
@@ -36,11 +37,15 @@ class Settings:
     sample_rows: int = 2_500
     #: And bytes of each label.
     sample_bytes: int = 6_000_000
+    #: Ordinary windows that zstandard trains on, of that sample.
+    sample_windows: int = 60_000
     window: int = 48
     level: int = 9
-    min_match: int = 5
+    min_match: int = 6
     ordinary_bytes: int = 32_768
-    toxic_bytes: int = 4_096
+    toxic_bytes: int = 8_192
+    piece: int = 48
+    folds: int = 3
     #: A gram is toxic if its contexts are so many times as frequent as in ordinary text, in this share of toxic texts.
     ratio: float = 10.0
     share: float = 0.01
@@ -90,14 +95,15 @@ def gram_contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code[first], return_counts=True)
 
 
-def toxic_passages(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> Counter[bytes]:
+def toxic_passages(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> list[bytes]:
+    """The passages of toxic texts, as often as they occur."""
     grams, n = gram_contexts(toxic)
     other, m = gram_contexts(ordinary)
     at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
     known = np.where(other[at] == grams, m[at], 0) if len(other) else np.zeros(len(grams))
     per_toxic, per_ordinary = max(1, sum(map(len, toxic))), max(1, sum(map(len, ordinary)))
     chosen = {int(g).to_bytes(GRAM, "big") for g in grams[(n >= max(4, s.share * len(toxic))) & (n / per_toxic >= s.ratio * (known + 1) / per_ordinary)]}
-    found: Counter[bytes] = Counter()
+    out = []
     for t in toxic:
         i, end = 0, len(t) - GRAM
         while i <= end:
@@ -107,17 +113,30 @@ def toxic_passages(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> Co
             j = i
             while j < end and t[j + 1 : j + 1 + GRAM] in chosen:
                 j += 1
-            found[t[i : j + GRAM]] += 1
+            out.append(t[i : j + GRAM])
             i = j + GRAM
-    return found
+    return out
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary that zstandard trains on the samples; the samples' end where they are too few to train on."""
+def trained(samples: list[bytes], size: int, **how: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; whole samples up to the size where they are too few for that."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        out, room = [], size
+        for x in samples:
+            if len(x) < room:
+                out.append(x)
+                room -= len(x) + 1
+        return b"\n".join(out)
+
+
+def dictionaries(toxic: list[bytes], ordinary: list[bytes], s: Settings) -> tuple[bytes, bytes]:
+    """(ordinary, toxic), both trained by zstandard."""
+    plain = islice((w for t in ordinary for w in windows(t, s.window)), s.sample_windows)
+    # zstandard cuts its dictionary from pieces of k bytes: a sample repeats one passage, so that no piece is half of one.
+    lines = [(p + b"\n") * (1 + 2 * s.piece // (len(p) + 1)) for p in toxic_passages(toxic, ordinary, s)]
+    return trained(list(plain), s.ordinary_bytes), trained(lines, s.toxic_bytes, k=s.piece, d=6, f=18, accel=1)
 
 
 class Scorer:
@@ -202,15 +221,19 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> Model:
     toxic, ordinary, shift = sample(docs, labels, s)
     if not toxic or not ordinary:
         return Model(settings=s)
-    found = sorted(toxic_passages(toxic, ordinary, s).items(), key=lambda x: (x[1], x[0]))
-    # Raw content: the most frequent passages last, where zstandard reaches them most cheaply.
-    passages = b"\n".join(p for p, _ in found)[-s.toxic_bytes :]
-    model = Model(trained([w for t in ordinary for w in windows(t, s.window)][:60_000], s.ordinary_bytes), passages, (0.0,) * 4, s)
-    scorer = Scorer(model)
-    x = np.array([scorer.features(t.decode("utf-8", "replace")) for t in [*toxic, *ordinary]])
-    w = logistic(x, np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
+    scorer = Scorer(Model(*dictionaries(toxic, ordinary, s), (0.0,) * 4, s))
+    x, y = [], []
+    for fold in range(s.folds):
+        # Texts of the fold against dictionaries of the others; too few texts are scored by the dictionaries they are in.
+        apart = lambda texts: [t for i, t in enumerate(texts) if i % s.folds != fold]  # noqa: B023, E731
+        unseen = len(toxic) >= 2 * s.folds and len(ordinary) >= 2 * s.folds
+        other = Scorer(Model(*dictionaries(apart(toxic), apart(ordinary), s), (0.0,) * 4, s)) if unseen else scorer
+        for label, texts in ((1, toxic), (0, ordinary)):
+            x += [other.features(t.decode("utf-8", "replace")) for t in texts[fold :: s.folds]]
+            y += [label] * len(texts[fold :: s.folds])
+    w = logistic(np.array(x), np.array(y, float))
     w[0] -= shift
-    return Model(model.ordinary, model.toxic, tuple(w.tolist()), s)
+    return Model(scorer.model.ordinary, scorer.model.toxic, tuple(w.tolist()), s)
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
@@ -233,7 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> D
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, s: Settings | None = None) -> DataFrame:
-    """The rows of docs below the cut, with their columns."""
+    """The rows of docs below the cut, with their columns, of whatever names; null and repeated ids count as any row."""
     s = s or Settings()
-    model = fit(docs, labels, s)
-    return score(docs, model, "_toxicity").where(F.col("_toxicity") < s.cut).select(docs.columns)
+    (name,) = absent(docs.columns, "_toxicity")
+    return score(docs, fit(docs, labels, s), name).where(F.col(name) < s.cut).select(docs.columns)
