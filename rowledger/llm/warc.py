@@ -1,19 +1,22 @@
 """WARC archives of pages, and a capture index merged from sorted runs.
 
 Contract: one row per page with page_id, payload_bytes, payload_digest, record_type, refers_to, and the capture's URL
-key, time, archive and range. A null html is an empty payload; a null url has the key `-`; of pages with equal payloads
+key, time, range and place: archive, first byte and bytes of its gzip member, which `fetch` reads alone. A null html is an empty payload; a null url has the key `-`; of pages with equal payloads
 of at least `min_bytes` bytes the smallest page_id is the response and the others revisit it (rows that repeat that
 page_id are responses as well); extra columns are ignored; an empty table gives an empty result.
 
-Method. Records are rows of text that Spark's writer ends with two line ends, as the format asks, so every file is an
-archive, gzipped whole; the next reader gets them from whatever store they lie in. Reading follows Content-Length and
-hashes payloads anew. A file's captures sorted by URL key and time are a run; the runs are dealt by ranges of the key and
+Method. Each record is a gzip member of its own, as the format asks, and a task joins members to archives of about
+ARCHIVE_BYTES, each written by Spark's writer as a file of one row whose end is an empty member; so no file grows with
+the size of pages or the number of records. The next reader gets them from whatever store they lie in, follows members
+one by one, whoever wrote them and with however many records in each, checks Content-Length and hashes payloads anew,
+holding one member's records at a time. A file's captures sorted by URL key and time are a run; the runs are dealt by ranges of the key and
 time, and each range merges what it got of every run by a tree of losers, so that ranges follow each other in order. A
-range holds a bounded number of index rows, and one URL captured very often spreads over ranges by time.
+range holds RANGE_ROWS index rows on average, and one URL captured very often spreads over ranges by time.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -24,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowledger.llm.common import materialize, scratch_dir
+from rowledger.llm.common import absent, materialize, plus, scratch_dir
 
-END = "\r\n\r\n"
-RECORDS_PER_FILE, RANGE_ROWS = 4_000, 25_000
-CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, archive string"
+END = b"\r\n\r\n"
+#: Compressed bytes from which on an archive ends, the level of compression, and index rows a range.
+ARCHIVE_BYTES, LEVEL, RANGE_ROWS = 16 << 20, 6, 100_000
+#: What every file ends in: a gzip member without content. Its bytes are those of a text in Latin-1.
+NOTHING = gzip.compress(b"", mtime=0).decode("latin-1")
+CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url_key string, captured string, archive string, at long, bytes long"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -70,7 +76,41 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit("\r\n"),
         block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for x in b.column(0):
+                held.append(gzip.compress(x.as_buffer().to_pybytes() + END, LEVEL, mtime=0))
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    # Spark's text writer writes a string's bytes as they are, and its line end, here the empty member, behind each row.
+    archives = rows.select(record.cast("binary").alias("record")).mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
+    archives.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING).option("maxRecordsPerFile", 1).text(path)
+
+
+def members_of(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first byte, bytes, content) of each gzip member; of data that is not gzipped, the whole."""
+    if data[:2] != b"\x1f\x8b":
+        yield 0, len(data), data
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        z = zlib.decompressobj(31)
+        out, end = [], at
+        while not z.eof:
+            if end >= len(data):
+                raise ValueError(f"the member at byte {at} has no end")
+            out.append(z.decompress(view[end : end + (1 << 16)]))
+            end += min(1 << 16, len(data) - end)
+        end -= len(z.unused_data)
+        yield at, end - at, b"".join(out)
+        at = end
 
 
 def records(data: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
@@ -88,29 +128,54 @@ def records(data: bytes) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all archives; url_key still holds the URL."""
+    """Captures of all archives, of records that are no response and no revisit none; url_key still holds the URL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = lambda x: int(m[1]) if x and (m := re.fullmatch(rb"<urn:page:(-?\d+)>", x)) else None
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         for b in batches:
             for name, content in zip(b.column(0), b.column(1), strict=True):
                 rows = []
-                for _, f, block in records(zlib.decompress(content.as_py(), 31)):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = int(re.search(rb"(?i)^content-length: *(\d+)", http, re.MULTILINE)[1])
-                    digest, kind = f[b"warc-payload-digest"].decode().partition(":")[2], f[b"warc-type"].decode()
-                    if kind == "response" and (len(payload) != size or base32(payload) != digest):
-                        raise ValueError(f"{name}: a payload differs from its digest")
-                    url = f.get(b"warc-target-uri")
-                    rows.append((page(f[b"warc-record-id"]), size, digest, kind, page(f.get(b"warc-refers-to")), url.decode() if url is not None else None, f[b"warc-date"].decode(), name.as_py()))
+                for at, size, member in members_of(content.as_py()):
+                    rows += [(*capture(f, block, name.as_py()), name.as_py(), at, size) for _, f, block in records(member) if f[b"warc-type"] in (b"response", b"revisit")]
+                    if len(rows) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CAPTURE.split(", ")])
+                        rows = []
                 if rows:
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CAPTURE.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1), "content").mapInArrow(run, CAPTURE)
 
 
+def capture(fields: dict[bytes, bytes], block: bytes, name: str) -> tuple:
+    """page_id, payload bytes and digest, type, refers_to, URL and date of a record, its payload checked."""
+    page = lambda x: int(m[1]) if x and (m := re.fullmatch(rb"<urn:page:(-?\d+)>", x)) else None
+    http, _, payload = block.partition(b"\r\n\r\n")
+    said = re.search(rb"(?i)^content-length: *(\d+)", http, re.MULTILINE)
+    size, kind = int(said[1]) if said else len(payload), fields[b"warc-type"].decode()
+    digest = fields[b"warc-payload-digest"].decode().partition(":")[2] if b"warc-payload-digest" in fields else base32(payload)
+    if kind == "response" and (len(payload) != size or base32(payload) != digest):
+        raise ValueError(f"{name}: a payload differs from its digest")
+    url = fields.get(b"warc-target-uri")
+    return page(fields[b"warc-record-id"]), size, digest, kind, page(fields.get(b"warc-refers-to")), url.decode() if url is not None else None, fields[b"warc-date"].decode()
+
+
+def fetch(captures: DataFrame, path: str) -> DataFrame:
+    """captures (archive, at, bytes and any more columns) with `record`, the record's bytes, cut from its archive alone."""
+    spark = captures.sparkSession
+    (name,) = absent(captures.columns, "_content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.col("content").alias(name))
+    wanted = captures.select("archive", F.struct(*captures.columns).alias("_row")).groupBy("archive").agg(F.collect_list("_row").alias("_rows"))  # an archive has a bounded number of records
+    cut = files.join(wanted, "archive").select(name, F.explode("_rows").alias("_row")).select("_row.*", F.expr(f"substring({name}, int(_row.at) + 1, int(_row.bytes))").alias("_member"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = pa.array([zlib.decompress(m.as_py(), 31) for m in b.column(b.num_columns - 1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], content], names=[*b.schema.names[:-1], "record"])
+
+    return cut.mapInArrow(run, plus(captures.schema, record="binary"))
+
+
 def base32(payload: bytes) -> str:
     import base64
 
@@ -170,7 +235,7 @@ def capture_index(captures: DataFrame) -> DataFrame:
     """Captures in global order of URL key, time and page: partitions follow each other, and each is sorted."""
     runs = captures.withColumn("url_key", url_key(F.col("url_key"))).sortWithinPartitions("archive", "url_key", "captured", "page_id")
     runs = materialize(runs, "warc-runs")
-    ranges = max(1, min(50_000, -(-runs.count() // RANGE_ROWS)))
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
     dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id")
     return dealt.mapInArrow(merge_runs, runs.schema).withColumn("range", F.spark_partition_id())
 
