@@ -43,6 +43,8 @@ for _i, _c in enumerate(ALPHABET):
     CODES[ord(_c)] = _i
 BODY, AROUND, KERNEL, FILTERS = 48, 16, 5, 16
 WIDTH = BODY + 2 * AROUND
+#: Windows that the network takes at once.
+WINDOWS = 512
 
 Span = tuple[int, int, str]
 
@@ -92,15 +94,19 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Windows (n, WIDTH) of codes: BODY characters of the candidate, AROUND ones before and after."""
-    rows = []
-    for a in range(start, max(start + 1, end - BODY // 2), BODY // 2):
-        b = min(end, a + BODY)
-        lead, tail = text[max(0, a - AROUND) : a].rjust(AROUND), text[b : b + AROUND].ljust(AROUND)
-        rows.append((lead + text[a:b] + tail).ljust(WIDTH))
-    chars = np.array([[ord(c) for c in r] for r in rows])
-    return np.where(chars < 128, CODES[np.minimum(chars, 127)], OTHER)
+def encode(text: str, start: int, end: int) -> Iterator[np.ndarray]:
+    """Windows (n, WIDTH) of codes: BODY characters of the candidate, AROUND ones before and after, spaces beyond the text;
+    blocks of at most WINDOWS, so that a candidate of millions of characters takes no more memory than a short one."""
+    step = BODY // 2
+    many = max(1, -(-(end - start - step) // step))
+    for first in range(0, many, WINDOWS):
+        n = min(WINDOWS, many - first)
+        a, b = start + first * step - AROUND, min(end + AROUND, start + (first + n - 1) * step + BODY + AROUND)
+        raw = np.frombuffer(text[max(0, a) : b].encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.full((n - 1) * step + WIDTH, SPACE, np.int64)
+        at = max(0, -a)
+        codes[at : at + len(raw)] = np.where(raw < 128, CODES[np.minimum(raw, 127)], OTHER)
+        yield np.lib.stride_tricks.sliding_window_view(codes, WIDTH)[::step]
 
 
 def forward(x: np.ndarray, parts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -157,6 +163,10 @@ def probability(model: Model, windows: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(model.scale[0] * logit + model.scale[1], -30, 30)))
 
 
+def best_probability(model: Model, text: str, start: int, end: int) -> float:
+    return max(float(probability(model, w).max()) for w in encode(text, start, end))
+
+
 def labelled(text: str) -> list[tuple[np.ndarray, int]]:
     """First window of every candidate, with 1 if it lies in a base finding; findings without a candidate count too."""
     spans = base_spans(text)
@@ -164,8 +174,8 @@ def labelled(text: str) -> list[tuple[np.ndarray, int]]:
     for a, b in candidates(text):
         hit = [s for s in spans if s[0] < b and a < s[1]]
         seen.update(hit)
-        out.append((encode(text, a, b)[0], int(bool(hit))))
-    return out + [(encode(text, s[0], s[1])[0], 1) for s in spans if s not in seen]
+        out.append((next(encode(text, a, b))[0], int(bool(hit))))
+    return out + [(next(encode(text, s[0], s[1]))[0], 1) for s in spans if s not in seen]
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -186,7 +196,7 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
     if not rows:
         return Model(settings=settings)
     x, y = np.array([np.frombuffer(bytes(r["x"]), np.uint8) for r in rows], np.int64), np.array([r["y"] for r in rows])
-    if not 0 < y.sum() < len(y):  # one kind only: against candidates with their characters shuffled into words' letters
+    if not 0 < y.sum() < len(y):  # one kind only: there is nothing to tell apart
         return Model(settings=settings)
     apart = np.arange(len(y)) % 4 == 3
     if y[apart].sum() in (0, apart.sum()) or y[~apart].sum() in (0, (~apart).sum()):
@@ -236,34 +246,44 @@ def base_probabilities(text: str, model: Model) -> np.ndarray:
     if not spans:
         return np.zeros(0)
     runs = [(a, b) for a, b in candidates(text) if any(s[0] < b and a < s[1] for s in spans)]
-    scores = [float(probability(model, encode(text, a, b)).max()) for a, b in runs]
+    scores = [best_probability(model, text, a, b) for a, b in runs]
     out = []
     for s in spans:
         over = [p for (a, b), p in zip(runs, scores, strict=True) if s[0] < b and a < s[1]]
-        out.append(max(over) if over else float(probability(model, encode(text, s[0], s[1])).max()))
+        out.append(max(over) if over else best_probability(model, text, s[0], s[1]))
     return np.array(out)
 
 
 def scan_texts(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float]]]:
     """Findings of each text: the base spans, and the candidates not covered by them that pass the threshold."""
-    spans, todo = [base_spans(t) for t in texts], []
-    if model.parts:
-        todo = [(i, a, b, encode(t, a, b)) for i, t in enumerate(texts) for a, b in candidates(t)]
-    found = [[(*s, 1.0) for s in x] for x in spans]
-    for k in range(0, len(todo), 256):
-        part = todo[k : k + 256]
-        p = np.concatenate([probability(model, w[j : j + 512]) for w in [np.concatenate([x[3] for x in part])] for j in range(0, len(w), 512)])
-        ends = np.cumsum([len(x[3]) for x in part])
-        best = np.maximum.reduceat(p, np.r_[0, ends[:-1]])
-        for (i, a, b, _), q in zip(part, best.tolist(), strict=True):
-            if q >= model.threshold and not covered(a, b, spans[i]):
-                found[i].append((a, b, "model", q))
+    found = [[(*s, 1.0) for s in base_spans(t)] for t in texts]
+    todo = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t) if not covered(a, b, found[i])] if model.parts else []
+    best, held, owners, size = np.zeros(len(todo)), [], [], 0
+
+    def flush() -> None:
+        np.maximum.at(best, np.concatenate(owners), probability(model, np.concatenate(held)))
+        held.clear()
+        owners.clear()
+
+    for k, (i, a, b) in enumerate(todo):
+        for windows in encode(texts[i], a, b):
+            held.append(windows)
+            owners.append(np.full(len(windows), k))
+            size += len(windows)
+            if size >= WINDOWS:
+                flush()
+                size = 0
+    if held:
+        flush()
+    for (i, a, b), q in zip(todo, best.tolist(), strict=True):
+        if q >= model.threshold:
+            found[i].append((a, b, "model", q))
     return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) for x in found]
 
 
-def covered(start: int, end: int, spans: list[Span]) -> bool:
+def covered(start: int, end: int, spans: list[tuple]) -> bool:
     """Whether the spans, by start, together hold all of start to end."""
-    for a, b, _ in spans:
+    for a, b, *_ in spans:
         if a <= start < b:
             start = b
     return start >= end
@@ -296,7 +316,7 @@ def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Model | None = None, mark: str = "[secret]") -> DataFrame:
-    """docs with every finding in text replaced by the mark; rows without one stay as they are."""
+    """docs with every finding in text replaced by the mark; rows without one, and null and repeated ids, stay as they are."""
     model = model or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
