@@ -9,8 +9,8 @@ null, no links. Repeated rows count each; extra columns are ignored; an empty ta
 Method. Frames of the signal give energies of the twelve pitch classes; over their integral image 16 filters compare two
 areas in time and pitch, each comparison quantised to two bits in Gray code: one 32-bit integer per frame. Recordings
 with equal fingerprints collapse into a class. Queries go in blocks of bounded size as a sorted list of integers; every class
-looks all of its integers up, the matches' offsets are counted for each query, and the offset with most matches is
-kept if it has `votes` matches and, over the frames that overlap there, at most `errors` wrong bits. Nothing is capped: a common
+looks all of its integers up, the matches' offsets are counted for each query, and of the offsets with `votes` matches
+the one with fewest wrong bits over the frames that overlap there is kept if they are at most a share of `errors`. Nothing is capped: a common
 integer makes matches in proportion to rows, which are counted in pieces of bounded size.
 """
 
@@ -152,25 +152,21 @@ def links_of(query_ids: np.ndarray, query_ints: list[np.ndarray]):  # noqa: ANN2
             for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ints = np.frombuffer(data, "<u4")
                 width = span + len(ints) + 1
-                hist: dict[int, int] = {}
-                for q, shift in matches(ints):
-                    k, n = np.unique(q * width + shift + span, return_counts=True)
-                    if not hist:
-                        hist = dict(zip(k.tolist(), n.tolist(), strict=True))
-                    else:
-                        for x, y in zip(k.tolist(), n.tolist(), strict=True):
-                            hist[x] = hist.get(x, 0) + y
-                best: dict[int, tuple[int, int]] = {}
-                for k, n in sorted(hist.items()):
-                    q, shift = k // width, k % width - span
-                    if n >= VOTES and n > best.get(q, (0, 0))[0]:
-                        best[q] = (n, shift)
-                for q, (n, shift) in best.items():
+                voted = [np.unique(q * width + shift + span, return_counts=True) for q, shift in matches(ints)]
+                if not voted:
+                    continue
+                k, at = np.unique(np.concatenate([x for x, _ in voted]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([c for _, c in voted])).astype(np.int64)
+                best: dict[int, tuple[float, int, int]] = {}
+                for x, c in zip(k[n >= VOTES].tolist(), n[n >= VOTES].tolist(), strict=True):
+                    q, shift = x // width, x % width - span
                     a, e = max(0, shift), min(len(ints), shift + sizes[q])
-                    other = query_ints[q][a - shift : e - shift]
-                    wrong = float(np.bitwise_count(ints[a:e] ^ other).mean() / 32)
-                    if e - a >= OVERLAP and wrong <= ERRORS and query_ids[q] != own:
-                        rows.append((own, int(query_ids[q]), shift, n, wrong))
+                    if e - a < OVERLAP or query_ids[q] == own:
+                        continue
+                    wrong = float(np.bitwise_count(ints[a:e] ^ query_ints[q][a - shift : e - shift]).mean() / 32)
+                    if wrong <= ERRORS:
+                        best[q] = min(best.get(q, (2.0, 0, 0)), (wrong, -c, shift))
+                rows += [(own, int(query_ids[q]), shift, -c, wrong) for q, (wrong, c, shift) in best.items()]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["class_id", "query", "offset", "votes", "errors"])
