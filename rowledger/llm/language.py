@@ -53,8 +53,8 @@ class Model:
 
 
 def classes_of(texts: list[bytes]) -> tuple[np.ndarray, int]:
-    """Bytes that no sample holds are alike to every tree and share class 0."""
-    seen = np.zeros(256, bool)
+    """Bytes that no sample holds are alike to every tree and share class 0; the line end stands between samples."""
+    seen = np.arange(256) == 10
     for t in texts:
         seen |= np.bincount(np.frombuffer(t, np.uint8), minlength=256) > 0
     return np.where(seen, np.cumsum(seen), 0).astype(np.int32), int(seen.sum()) + 1
@@ -164,9 +164,11 @@ def fit(docs: DataFrame, s: Settings | None = None) -> Model:
     most = (s.sample_rows + 100) * max(1, counts.count())
     samples: dict[str, list[bytes]] = {}
     room: dict[str, int] = {}
-    for r in chosen.select("lang", "doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toLocalIterator():
-        data = r["text"].encode("utf-8", "replace")
-        if 0 < len(data) <= room.setdefault(r["lang"], s.sample_bytes):
+    # No text comes longer than a language's whole bound; the one that crosses it is cut there.
+    part = F.substring("text", 1, s.sample_bytes).alias("text")
+    for r in chosen.select("lang", "doc_id", part).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).toLocalIterator():
+        data = r["text"].encode("utf-8", "replace")[: room.setdefault(r["lang"], s.sample_bytes)]
+        if data:
             room[r["lang"]] -= len(data)
             samples.setdefault(r["lang"], []).append(data)
     return build(samples, s)
