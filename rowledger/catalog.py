@@ -23,6 +23,9 @@ class Field:
     aliases: tuple[str, ...] = ()
     ref_table: int | None = None
     targets: tuple[str, ...] = ("client", "server")
+    #: Names of registered cell formats: the one that is written, and those that are still read.
+    format: str | None = None
+    legacy: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowledger.catalog import Field
@@ -30,32 +30,66 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: White space that number and boolean texts may have around them.
+BLANK = " \t\n\x0b\f\r"
+
+
 def canonicalize(text: Column, kind: str) -> Column:
     """Canonical text of a value of the type, null if it is none."""
     if kind == "bool":
-        word = F.lower(F.trim(text))
+        word = F.lower(F.trim(text, F.lit(BLANK)))
         return F.when(word.isin("true", "false"), word).when(text == "1", "true").when(text == "0", "false")
     if kind in RANGES:
-        low, high = (F.lit(x).cast("decimal(20,0)") for x in RANGES[kind])
-        n = F.when(text.rlike(INTEGER), F.trim(text).try_cast("decimal(38,0)"))
-        return F.when(n.between(low, high), n.cast("string"))
+        low, high = RANGES[kind]
+        # Texts of the wrong shape never get to the cast: it would take further notations.
+        wide = high == RANGES["uint64"][1]
+        n = F.when(text.rlike(INTEGER), F.trim(text, F.lit(BLANK)).try_cast("decimal(20,0)" if wide else "bigint"))
+        return (n if kind in ("int64", "sint64", "sfixed64") else F.nullif(n, F.when(~n.between(F.lit(low).cast("decimal(20,0)" if wide else "bigint"), F.lit(high).cast("decimal(20,0)" if wide else "bigint")), n))).cast("string")
     if kind in ("float", "double"):
-        n = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
-        return F.when(F.abs(n) < float("inf"), n.cast("string"))
+        n = F.when(text.rlike(NUMBER), F.trim(text, F.lit(BLANK)).try_cast("double"))
+        return double_text(F.nullif(n, F.when(F.abs(n) == float("inf"), n)))
     return text
 
 
-def parse_cell(text: Column, formula: Column, field: Field) -> Column:
-    """struct<state, text, raw_state, raw_text, error> of a cell.
+def double_text(value: Column) -> Column:
+    """Round-trip text of a double: plain from 1E-4 up to 1E15, else d.dddE+dd, never with a closing `.0`."""
 
-    States: Missing, Defaulted, Null, Value, Invalid. A formula's raw side is the formula, its value the cached text.
-    """
+    def scientific(s: Column) -> Column:
+        mantissa, e = F.substring_index(s, "E", 1), F.substring_index(s, "E", -1).cast("int")
+        sign = F.when(mantissa.startswith("-"), "-").otherwise("")
+        digits = F.rtrim(F.translate(mantissa, "-.", ""), F.lit("0"))
+        n = F.length(digits)
+        whole = F.when(n <= e + 1, F.rpad(digits, e + 1, F.lit("0"))).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+        power = F.concat(F.when(e < 0, "E-").otherwise("E+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+        small = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""), power)
+        shown = F.when((e >= 0) & (e < 15), whole).when((e < 0) & (e >= -4), F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)).otherwise(small)
+        return F.concat(sign, shown)
+
+    def shortest(s: Column) -> Column:
+        # A text of more than 15 digits may not be the shortest one that reads back as the value.
+        tries = [F.upper(F.format_string(f"%.{n}e", value)) for n in (14, 15)]
+        found = F.coalesce(*[F.when(x.try_cast("double") == value, x) for x in tries], s)
+        return F.when(F.length(F.translate(F.substring_index(s, "E", 1), "-.", "")) > 15, found).otherwise(s)
+
+    plain = lambda s: F.when(s.contains("E"), scientific(s)).otherwise(F.regexp_replace(s, r"\.0$", ""))
+    return let(let(value.cast("string"), shortest), plain)
+
+
+def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Column], formats: dict | None = None) -> list[dict[str, Column]]:
+    """The parts of a parsed cell, in steps that each use the parts before (by name) more than once. formats: what has a
+    function `parse` (text to canonical text, null where it does not apply), by name."""
     blank = F.coalesce(text, F.lit("")) == ""
     has_formula = F.coalesce(formula, F.lit("")) != ""
     shown = F.when(F.upper(text) == TILDE, NULL_MARK).otherwise(text) if field.type == "string" else text
-    value = canonicalize(shown, field.type)
-    number = F.when(value.rlike(NUMBER), value.try_cast("double"))
-    problems = [(value.isNull(), "cell.unparseable")]
+    value = at("value")
+    read, legacy = {"value": canonicalize(shown, field.type)}, F.lit(False)
+    if field.format is not None:
+        known = [(formats or {})[n].parse(shown) for n in (field.format, *field.legacy)]
+        read = {"read": parse_with_legacy(*known)}
+        value, legacy = at("read")["value"], F.coalesce(at("read")["legacy"], F.lit(False))
+    # What is canonical has a number's shape already where the type is a number.
+    number = value.try_cast("double") if field.type in RANGES or field.type in ("float", "double") else F.when(value.rlike(NUMBER), value.try_cast("double"))
+    problems = [(value.isNull(), "cell.unparseable" if field.format is None else F.coalesce(at("read")["error"], F.lit("cell.unparseable")))]
     if field.enum:
         problems.append((~value.isin([x for n, v in field.enum for x in (n, str(v))]), "cell.enum"))
     if field.min is not None:
@@ -65,18 +99,71 @@ def parse_cell(text: Column, formula: Column, field: Field) -> Column:
     if field.regex is not None:
         problems.append((~value.rlike(field.regex), "cell.regex"))
     wrong = reduce(lambda w, p: w.when(p[0], p[1]), problems[1:], F.when(problems[0][0], problems[0][1]))
-    state = F.when(blank & ~has_formula, "Missing").when(blank, "Invalid").when(text == NULL_MARK, "Null").when(wrong.isNotNull(), "Invalid").otherwise("Value")
-    error = F.when(blank & has_formula, "cell.formula_without_value").when(~blank & (text != NULL_MARK), wrong)
+    state = F.when(blank & ~has_formula, "Missing").when(blank, "Invalid").when(text == NULL_MARK, "Null").when(at("wrong").isNotNull(), "Invalid").otherwise("Value")
+    error = F.when(blank & has_formula, "cell.formula_without_value").when(~blank & (text != NULL_MARK), at("wrong"))
     if field.required:
-        error = F.when(state.isin("Missing", "Null"), "cell.required").otherwise(error)
-    effective = F.when((state == "Missing") & F.lit(field.default is not None), "Defaulted").otherwise(state)
-    return F.struct(
-        effective.alias("state"),
-        F.when(effective == "Defaulted", F.lit(field.default)).when(effective == "Value", value).alias("text"),
-        F.when(has_formula, "Value").otherwise(state).alias("raw_state"),
-        F.when(has_formula, F.concat(F.lit("="), formula)).when(~blank, text).alias("raw_text"),
-        error.alias("error"),
-    )
+        error = F.when(at("own").isin("Missing", "Null"), "cell.required").otherwise(error)
+    defaulted = (at("own") == "Missing") & F.lit(field.default is not None)
+    return [
+        read,
+        {"wrong": wrong},
+        {"own": state},
+        {
+            "state": F.when(defaulted, "Defaulted").otherwise(at("own")),
+            "text": F.when(defaulted, F.lit(field.default)).when(at("own") == "Value", value),
+            "raw_state": F.when(has_formula, "Value").otherwise(at("own")),
+            "raw_text": F.when(has_formula, F.concat(F.lit("="), formula)).when(~blank, text),
+            "error": error,
+            "legacy": legacy & (at("own") == "Value"),
+        },
+    ]
+
+
+PARSED = ("state", "text", "raw_state", "raw_text", "error")
+
+
+def parse_cell(text: Column, formula: Column, field: Field) -> Column:
+    """struct<state, text, raw_state, raw_text, error> of a cell; parse_columns does whole rows in generated code.
+
+    States: Missing, Defaulted, Null, Value, Invalid. A formula's raw side is the formula, its value the cached text.
+    """
+    done: dict[str, Column] = {}
+    steps = len(_steps(text, formula, field, lambda name: F.lit(None).cast("string")))
+
+    def step(i: int) -> Column:
+        parts = _steps(text, formula, field, lambda name: done.get(name, F.lit(None).cast("string")))[i]
+        if i == steps - 1:
+            return F.struct(*[parts[p].alias(p) for p in PARSED])
+        ((name, value),) = parts.items()
+
+        def rest(x: Column) -> Column:
+            done[name] = x
+            return step(i + 1)
+
+        return let(value, rest)
+
+    return step(0)
+
+
+def parse_columns(rows: DataFrame, cells: dict[str, tuple[Column, Column | None, Field]], formats: dict | None = None) -> DataFrame:
+    """rows with a struct as of parse_cell, and `legacy`, for each name of cells (text, formula or null, field); formats:
+    registered cell formats by name, which fields may declare.
+
+    Each part is a column of its own in one projection after the other. Spark does not merge projections where that
+    would repeat an expression that costs something, so every cell's texts are matched and cast once, in generated code.
+    """
+    kept, none = rows.columns, F.lit(None).cast("string")
+    part = lambda name, p: f"__{name}__{p}"
+    plans = {n: _steps(text, none if formula is None else formula, field, lambda p, n=n: F.col(part(n, p)), formats) for n, (text, formula, field) in cells.items()}
+    for i in range(len(next(iter(plans.values()), []))):
+        rows = rows.withColumns({part(n, p): c for n, steps in plans.items() for p, c in steps[i].items()})
+    made = [F.struct(*[F.col(part(n, p)).alias(p) for p in (*PARSED, "legacy")]).alias(n) for n in cells]
+    return rows.select(*[c for c in kept if c not in cells], *made)
+
+
+def display_value(state: Column, text: Column, raw: Column) -> Column:
+    """Printable form of a value of any state."""
+    return F.when(state == "Missing", "<missing>").when(state == "Defaulted", F.concat(F.lit("<default:"), F.coalesce(text, F.lit("")), F.lit(">"))).when(state == "Null", "<null>").when(state == "Value", F.coalesce(text, F.lit(""))).when(state == "Invalid", F.concat(F.lit("<invalid:"), F.coalesce(raw, F.lit("")), F.lit(">")))
 
 
 def write_cell(state: Column, text: Column) -> Column:
@@ -89,32 +176,100 @@ def comparison_text(text: Column, formula: Column) -> Column:
     return F.coalesce(F.when(formula != "", F.concat(F.lit("="), formula)), text, F.lit(""))
 
 
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
+
+
 def encode_key(*parts: Column) -> Column:
-    """Composite key of length-prefixed parts; null if a part is null."""
-    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("|", *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]))
+    """Composite key of parts with their lengths in UTF-16 units in front; null if a part is null."""
+    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("|", *[F.concat(utf16_length(p).cast("string"), F.lit(":"), p) for p in parts]))
+
+
+def decode_key(key: Column) -> Column:
+    """The parts of a composite key, null if it is none: a fold that cuts one part off the front at a time."""
+    units = F.encode(key, "UTF-16BE")  # two bytes a unit
+    start = F.struct(units.alias("rest"), F.array().cast("array<string>").alias("parts"), F.lit(True).alias("ok"))
+
+    def cut(state: Column, _: Column) -> Column:
+        def head(text: Column) -> Column:
+            digits = F.regexp_extract(text, r"^(0|[1-9]\d{0,9}):", 1)
+            n, at = digits.try_cast("bigint"), 2 * (F.length(digits) + 1)
+            value = F.substring(state["rest"], at + 1, (2 * n).cast("int"))
+            after = F.substring(state["rest"], (at + 2 * n + 1).cast("int"), F.lit(2147483647))
+            # A part must be all there and not end between the two halves of a character, and more must follow a bar.
+            whole = n.isNotNull() & (n <= 1_000_000_000) & (F.octet_length(value) == 2 * n) & ~F.hex(F.substring(value, -2, 1)).rlike("^D[89AB]$")
+            ended = (F.octet_length(after) == 0) | ((F.octet_length(after) > 2) & (F.hex(F.substring(after, 1, 2)) == "007C"))
+            good = F.coalesce(whole & ended, F.lit(False))
+            return F.when(good, F.struct(F.substring(after, 3, 2147483647).alias("rest"), F.concat(state["parts"], F.array(F.decode(F.when(good, value), "UTF-16BE"))).alias("parts"), F.lit(True).alias("ok"))).otherwise(F.struct(state["rest"].alias("rest"), state["parts"].alias("parts"), F.lit(False).alias("ok")))
+
+        return F.when(state["ok"] & (F.octet_length(state["rest"]) > 0), let(F.decode(state["rest"], "UTF-16BE"), head)).otherwise(state)
+
+    most = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split(key, ":")) - 1))
+    done = F.aggregate(most, start, cut, lambda s: F.when(s["ok"] & (F.octet_length(s["rest"]) == 0), s["parts"]))
+    return F.when(key != "", done)
+
+
+def build_key(*cells: tuple[str, Column]) -> Column:
+    """struct<key, error, field> of (name, parsed cell) in the order of the key's fields: the first one that is neither
+    Value nor Defaulted is the error; without fields there is no key and no error."""
+    if not cells:
+        return F.struct(*[F.lit(None).cast("string").alias(n) for n in ("key", "error", "field")])
+    bad = [~c["state"].isin("Value", "Defaulted") for _, c in cells]
+    first = reduce(lambda w, x: w.when(x[0], x[1]), [(b, n) for b, (n, _) in zip(bad[1:], cells[1:], strict=True)], F.when(bad[0], cells[0][0]))
+    state = reduce(lambda w, x: w.when(x[0], x[1]), [(b, F.lower(c["state"])) for b, (_, c) in zip(bad[1:], cells[1:], strict=True)], F.when(bad[0], F.lower(cells[0][1]["state"])))
+    none_bad = ~reduce(lambda x, y: x | y, bad)
+    return F.struct(F.when(none_bad, encode_key(*[c["text"] for _, c in cells])).alias("key"), F.concat(F.lit("key."), state).alias("error"), first.alias("field"))
 
 
 def encode_ref(table_id: int, *parts: Column) -> Column:
     """Reference token table:part|part with everything but unreserved characters as %XX; null if a part is empty."""
-    safe = [F.replace(F.replace(F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")) for p in parts]
+    safe = [percent(p) for p in parts]
     full = reduce(lambda a, b: a & b, [F.coalesce(p, F.lit("")) != "" for p in parts])
     return F.when(full, F.concat(F.lit(f"{table_id}:"), F.concat_ws("|", *safe)))
 
 
 def parse_ref(token: Column) -> Column:
-    """struct<table_id, parts>, null if the token is not canonical."""
-    grammar = r"^[1-9]\d{0,8}:(?:[A-Za-z0-9._~-]|%[0-9A-F]{2})+(?:\|(?:[A-Za-z0-9._~-]|%[0-9A-F]{2})+)*$"
+    """struct<table_id, parts>, null if the token is none: a positive int32 without leading zeros, then parts of unreserved
+    characters and %XX that are UTF-8 without control characters."""
+    grammar = r"^[1-9]\d{0,9}:(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})+(?:\|(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})+)*$"
+    table = F.substring_index(token, ":", 1).try_cast("int")
     parts = F.transform(F.split(F.substring_index(token, ":", -1), r"\|"), F.try_url_decode)
-    sound = F.forall(parts, lambda p: p.isNotNull() & ~p.rlike(r"[\x00-\x1f\x7f]"))
+    sound = F.forall(parts, lambda p: p.isNotNull() & ~p.rlike(r"[\x00-\x1f\x7f-\x9f]"))
     # Bytes that are no UTF-8 decode to the replacement character, which may also be meant.
-    sound = sound & (~F.array_join(parts, "").contains("\ufffd") | token.contains("%EF%BF%BD"))
-    return F.when(token.rlike(grammar) & sound, F.struct(F.substring_index(token, ":", 1).cast("int").alias("table_id"), parts.alias("parts")))
+    sound = sound & (~F.array_join(parts, "").contains("\ufffd") | F.upper(token).contains("%EF%BF%BD"))
+    return F.when(token.rlike(grammar) & table.isNotNull() & sound, F.struct(table.alias("table_id"), parts.alias("parts")))
+
+
+def ref_key(parsed: Column) -> Column:
+    """The composite key that a parsed token (struct<table_id, parts>) names."""
+    return F.when(parsed.isNotNull(), F.array_join(F.transform(parsed["parts"], lambda p: F.concat(utf16_length(p).cast("string"), F.lit(":"), p)), "|"))
+
+
+def key_ref(table_id: Column, key: Column) -> Column:
+    """The token of a row by its table and composite key; null if the key is none or has an empty part."""
+    def token(parts: Column) -> Column:
+        return F.when(F.forall(parts, lambda p: p != ""), F.concat(table_id.cast("string"), F.lit(":"), F.array_join(F.transform(parts, percent), "|")))
+
+    return F.when(table_id > 0, let(decode_key(key), token))
+
+
+def percent(text: Column) -> Column:
+    """Everything but unreserved characters as %XX of its UTF-8 bytes."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def valid_guid(guid: Column) -> Column:
     return F.coalesce(guid.rlike("^[0-9a-f]{32}$") & (guid != "0" * 32), F.lit(False))
 
 
+def parse_identity(text: Column) -> Column:
+    """struct<table_id, row_guid> of table:guid, null if it is none; the number may have a sign and blanks around it."""
+    number, guid = F.trim(F.substring_index(text, ":", 1), F.lit(BLANK)), F.substr(text, F.locate(":", text) + 1)
+    table = F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("int"))
+    return F.when(text.contains(":") & (table > 0) & valid_guid(guid), F.struct(table.alias("table_id"), guid.alias("row_guid")))
+
+
 def valid_target(tag: Column) -> Column:
     return F.coalesce(tag.rlike("^[a-z][a-z0-9-]*$"), F.lit(False))
 
@@ -170,7 +325,7 @@ def parse_join_map(text: Column, outer: str, inner: str, key_kind: str = "string
 
 def write_join_map(values: Column, outer: str, inner: str) -> Column:
     entries = F.array_sort(F.map_entries(values))
-    return F.array_join(F.transform(entries, lambda e: F.concat(encode_atom(e["key"], outer), F.lit(inner), encode_atom(e["value"], outer))), outer)
+    return F.array_join(F.transform(entries, lambda e: F.concat(encode_atom(e["key"], outer, inner), F.lit(inner), encode_atom(e["value"], outer, inner))), outer)
 
 
 Fields = dict[str, "str | dict[str, str]"]
@@ -257,7 +412,7 @@ def parse_named_struct(text: Column, outer: str, inner: str, fields: dict[str, s
 
 def write_named_struct(value: Column, outer: str, inner: str, names: list[str]) -> Column:
     """name=value pairs of the fields that are set, in the order of names."""
-    parts = F.array(*[F.when(value[n].isNotNull(), F.concat(F.lit(n + inner), encode_atom(value[n], outer))) for n in names])
+    parts = F.array(*[F.when(value[n].isNotNull(), F.concat(F.lit(n + inner), encode_atom(value[n], outer, inner))) for n in names])
     return F.when(value.isNotNull(), F.array_join(F.filter(parts, lambda p: p.isNotNull()), outer))
 
 
@@ -285,6 +440,16 @@ def row_path(*parts: Column) -> Column:
     return F.concat_ws("/", *[F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), "/+$", "") for p in parts])
 
 
+def business_hash(table_id: Column, revision: Column, cells: Column) -> Column:
+    """SHA-256 of a row as its workbook holds it: table, revision, and its cells map<path, struct<text, formula>> in the
+    order of paths, each as path, v or f, and comparison text, all with their lengths in front."""
+    sized = lambda x: F.concat(utf16_length(x).cast("string"), F.lit(":"), x)
+    entry = lambda e: F.concat(sized(e["key"]), F.when(F.coalesce(e["value"]["formula"], F.lit("")) != "", "f").otherwise("v"), sized(comparison_text(e["value"]["text"], e["value"]["formula"])))
+    # Entries sort by path, which no two of them share; their structs hold no maps, so they can be compared.
+    entries = F.transform(F.array_sort(F.map_keys(cells)), lambda k: F.struct(k.alias("key"), F.try_element_at(cells, k).alias("value")))
+    return F.sha2(F.concat(sized(table_id.cast("string")), sized(revision.cast("string")), F.array_join(F.transform(entries, entry), "")), 256)
+
+
 def row_hash(*parts: Column) -> Column:
     """SHA-256 over length-prefixed parts, null apart from empty."""
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p, F.lit(";")), F.lit("-;")) for p in [p.cast("string") for p in parts]]), 256)
