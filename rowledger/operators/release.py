@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowledger.catalog import Table
+from rowledger.catalog import Catalog, Table
 from rowledger.functions.cells import row_hash, row_path
+from rowledger.operators import references
 
 
 def build(rows: DataFrame, table: Table, target: str) -> DataFrame:
@@ -38,13 +41,70 @@ def root_hash(buckets: DataFrame) -> DataFrame:
     return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), ""), 256).alias("content_hash"))
 
 
-def validate(records: DataFrame) -> DataFrame:
-    """(code, n) of what forbids publication: rows without identity, repeated keys, repeated fields."""
+def target_fields(catalog: Catalog, target: str) -> list[tuple[int, int, str, int | None]]:
+    """(table_id, field_id, property path, referenced table) of what a target holds: its tables, and in them its fields, a
+    field of a struct only where all structs around it are the target's as well (paths a.b lie in a)."""
+    out = []
+    for t in catalog.live(target):
+        own = {f.name: f for f in t.fields}
+        around = lambda f: [own[p] for p in (f.name.rsplit(".", i)[0] for i in range(1, f.name.count(".") + 1)) if p in own]  # noqa: B023, E731
+        out += [(t.table_id, f.field_id, f.name, f.ref_table) for f in t.fields if target in f.targets and all(target in x.targets for x in around(f))]
+    return out
+
+
+def assemble(rows: DataFrame, values: DataFrame, catalog: Catalog, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, dependencies, blockers) of one target.
+
+    rows (table_id, row_guid, key, indexable); values (table_id, row_guid, property_path, state, text). Only indexable rows
+    with identity and key take part, and values that are set. A reference becomes the identity table:guid of its row, is
+    resolved within the target's tables alone, and is a dependency; one that does not resolve is a blocker (table_id,
+    row_guid, property_path, code) and forbids the release.
+    """
+    spark = rows.sparkSession
+    fields = spark.createDataFrame(target_fields(catalog, target), "table_id int, field int, property_path string, ref_table int")
+    sheets = spark.createDataFrame([(t.table_id, t.sheet) for t in catalog.live(target)], "table_id int, sheet string")
+    live = rows.where("indexable and row_guid <> '' and key <> ''").join(sheets, "table_id").select("table_id", "row_guid", "key", row_path(F.col("sheet"), F.col("key")).alias("path"))
+    set_values = values.where(F.col("state").isin("Value", "Defaulted") & F.col("text").isNotNull()).select("table_id", "row_guid", "property_path", "text")
+    found = set_values.join(fields, ["table_id", "property_path"]).join(live, ["table_id", "row_guid"])
+    name = F.concat_ws(".", F.col("table_id").cast("string"), F.col("field").cast("string"))
+    eligible = fields.where("ref_table is not null").join(sheets.select(F.col("table_id").alias("ref_table")), "ref_table").select(name.alias("field"), F.col("ref_table").alias("table_id"))
+    refs = found.where("ref_table is not null").select("table_id", "row_guid", "key", "path", F.col("field").alias("number"), "property_path", name.alias("field"), F.col("text").alias("token"))
+    resolved = references.resolve_tokens(refs, live.select("table_id", "key", "row_guid"), eligible)
+    to = F.concat(F.col("dst_table").cast("string"), F.lit(":"), "dst_guid")
+    plain = found.where("ref_table is null").select("table_id", "row_guid", "key", "path", "field", F.col("text").alias("value"))
+    records = plain.union(resolved.where("error is null").select("table_id", "row_guid", "key", "path", "number", to))
+    dependencies = resolved.where("error is null").select("table_id", "row_guid", "dst_table", "dst_guid").distinct()
+    return records, dependencies, resolved.where("error is not null").select("table_id", "row_guid", "property_path", F.col("error").alias("code"))
+
+
+def validate(records: DataFrame, dependencies: DataFrame | None = None, schema_hash: str | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """(code, n) of what forbids publication: rows without identity or key, an identity under two keys, repeated keys and
+    fields, dependencies (dst_table, dst_guid) on what the release does not hold, no schema hash, and findings (severity)
+    of errors or blockers. Records (table_id, row_guid, key, field, ...)."""
+    spark = records.sparkSession
     rows = records.select("table_id", "row_guid", "key").distinct()
-    none = rows.where("row_guid is null").agg(F.lit("release.no_identity").alias("code"), F.count("*").alias("n"))
-    keys = rows.groupBy("table_id", "key").count().where("count > 1").agg(F.lit("release.duplicate_key").alias("code"), F.count("*").alias("n"))
-    fields = records.groupBy("table_id", "row_guid", "field").count().where("count > 1").agg(F.lit("release.duplicate_field").alias("code"), F.count("*").alias("n"))
-    return none.union(keys).union(fields)
+    count = lambda df, code: df.agg(F.lit(code).alias("code"), F.count("*").alias("n"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    out = [
+        count(rows.where(empty("row_guid")), "release.no_identity"),
+        count(rows.where(empty("key")), "release.no_key"),
+        count(rows.where(~empty("row_guid")).groupBy("table_id", "row_guid").count().where("count > 1"), "release.duplicate_identity"),
+        count(rows.where(~empty("key")).groupBy("table_id", "key").count().where("count > 1"), "release.duplicate_key"),
+        count(records.groupBy("table_id", "row_guid", "field").count().where("count > 1"), "release.duplicate_field"),
+    ]
+    if dependencies is not None:
+        held = rows.select(F.col("table_id").alias("dst_table"), F.col("row_guid").alias("dst_guid"))
+        out.append(count(dependencies.select("dst_table", "dst_guid").distinct().join(held, ["dst_table", "dst_guid"], "left_anti"), "release.dangling"))
+    if schema_hash is not None:
+        out.append(spark.range(1).select(F.lit("release.no_schema").alias("code"), F.lit(0 if schema_hash.strip("0") else 1).cast("bigint").alias("n")))
+    if findings is not None:
+        out.append(count(findings.where("severity >= 2"), "release.findings"))
+    return reduce(DataFrame.union, out)
+
+
+def root_revision(content_hash: Column) -> Column:
+    """A release's revision: the first 16 digits of its content hash."""
+    return F.substring(content_hash, 1, 16)
 
 
 def freshness(manifests: DataFrame, expected: DataFrame) -> DataFrame:

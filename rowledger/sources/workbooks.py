@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -75,18 +76,32 @@ def source_info(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def publish(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> str:
-    """Write a version's directory, then its pointer as a one-row table, whose commit publishes it; rerunning is a no-op."""
-    path = f"{root}/data/version={version}"
-    df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
-    df.sparkSession.createDataFrame([(version, path)], "version long, path string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer/version={version}")
-    return path
+    """Write a version to a folder that nothing names yet, then its pointer as a one-row table, whose commit publishes it. A
+    version that is published stays as it is: rerunning is a no-op, and a run that dies leaves no trace that anything reads."""
+    return commit_workbooks({"": df}, root, version, partition_by)[""]
+
+
+def commit_workbooks(frames: dict[str, DataFrame], root: str, version: int, partition_by: list[str] | None = None) -> dict[str, str]:
+    """Publish the frames of many workbooks as one version, all or none: the pointer names all of their folders."""
+    spark = next(iter(frames.values())).sparkSession
+    pointer = f"{root}/pointer/version={version}"
+    if (found := _read(spark, pointer)) is not None and (row := found.first()):
+        return row["paths"]
+    paths = {name: _write_once(df, f"{root}/data/version={version}" + (f"-{i}" if name else ""), partition_by) for i, (name, df) in enumerate(frames.items())}
+    spark.createDataFrame([(version, paths)], "version long, paths map<string,string>").select("paths").coalesce(1).write.mode("overwrite").parquet(pointer)
+    return paths
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest published version, None if there is none."""
+    return current_workbooks(spark, root).get("")
+
+
+def current_workbooks(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The frames of the newest published version by name."""
     found = _read(spark, f"{root}/pointer")
-    row = found.orderBy(F.desc("version")).select("path").first() if found is not None else None
-    return spark.read.parquet(row["path"]) if row else None
+    row = found.orderBy(F.desc("version")).select("paths").first() if found is not None else None
+    return {name: spark.read.parquet(path) for name, path in row["paths"].items()} if row else {}
 
 
 def child_rows(staging: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -110,11 +125,14 @@ def child_rows(staging: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def save_snapshot(values: DataFrame, root: str, version: int, workbook: str, schema_hash: str) -> None:
-    """Write cells with their raw and effective states, then a manifest row; the manifest's commit is what counts."""
-    path = f"{root}/data/version={version}"
-    values.write.mode("overwrite").parquet(path)
-    rows = values.sparkSession.read.parquet(path).count()
-    _manifest(values.sparkSession, root, version, {"workbook": workbook, "schema_hash": schema_hash, "path": path, "rows": str(rows)})
+    """Write cells with their raw and effective states to a folder of their own, then a manifest row, whose commit is what
+    counts; a version that is saved stays as it is."""
+    spark = values.sparkSession
+    if _saved(spark, root, version):
+        return
+    path = _write_once(values, f"{root}/data/version={version}")
+    rows = spark.read.parquet(path).count()
+    _manifest(spark, root, version, {"workbook": workbook, "schema_hash": schema_hash, "path": path, "rows": str(rows)})
 
 
 def load_snapshot(spark: SparkSession, root: str, workbook: str, schema_hash: str) -> tuple[DataFrame | None, str | None]:
@@ -131,19 +149,21 @@ def load_snapshot(spark: SparkSession, root: str, workbook: str, schema_hash: st
     return found, None
 
 
-def write_release(records: DataFrame, root: str, version: int, target: str, schema_hash: str) -> None:
-    """Long records of one target, a directory per table, and a manifest with the hash over their content. Records that
-    release.validate refuses are not written."""
-    found = release.validate(records).where("n > 0").collect()  # three rows at most
+def write_release(records: DataFrame, root: str, version: int, target: str, schema_hash: str, dependencies: DataFrame | None = None, findings: DataFrame | None = None) -> None:
+    """Long records of one target, a directory per table, their dependencies, and a manifest with the hash over their
+    content. What release.validate refuses is not written; a version that is written stays as it is."""
+    spark = records.sparkSession
+    if _saved(spark, root, version):
+        return
+    found = release.validate(records, dependencies, schema_hash, findings).where("n > 0").collect()  # a row a rule
     if found:
         raise ValueError(f"not fit for release: {', '.join(sorted(r.code for r in found))}")
-    path = f"{root}/data/version={version}"
-    records.write.mode("overwrite").partitionBy("table_id").parquet(path)
-    spark = records.sparkSession
+    path = _write_once(records, f"{root}/data/version={version}", ["table_id"])
+    edges = _write_once(dependencies, f"{root}/data/dependencies={version}") if dependencies is not None else ""
     written = _read(spark, path)
     sums = written.agg(F.count_distinct("table_id").alias("tables"), F.count("*").alias("rows")).first() if written is not None else None
     digest = release.root_hash(release.content_hash(written)).first()[0] if written is not None else ""
-    manifest = {"format": "1", "schema_hash": schema_hash, "target": target, "content_hash": digest, "path": path}
+    manifest = {"format": "1", "schema_hash": schema_hash, "target": target, "content_hash": digest, "revision": digest[:16], "path": path, "dependencies": edges}
     _manifest(spark, root, version, manifest | {"tables": str(sums.tables if sums else 0), "rows": str(sums.rows if sums else 0)})
 
 
@@ -158,12 +178,33 @@ def open_release(spark: SparkSession, root: str, target: str, schema_hash: str)
         return None, [*codes, "release.corrupt"]
     if release.root_hash(release.content_hash(records)).first()[0] != m.get("content_hash"):
         codes.append("release.content_hash")
-    codes += sorted(r.code for r in release.validate(records).where("n > 0").collect())
+    edges = _read(spark, m["dependencies"]) if m.get("dependencies") else None
+    if m.get("dependencies") and edges is None:
+        codes.append("release.corrupt")
+    codes += sorted(r.code for r in release.validate(records, edges, m.get("schema_hash")).where("n > 0").collect())
     return (None, codes) if codes else (records, [])
 
 
+def _write_once(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
+    """Write to the folder, or to another one where it exists, as an attempt that died or one still running may have left
+    it; nothing that was written is ever overwritten. The folder is returned for a pointer to name."""
+    try:
+        df.write.mode("error").partitionBy(*(partition_by or [])).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        path = f"{path}-{uuid.uuid4().hex}"
+        df.write.mode("error").partitionBy(*(partition_by or [])).parquet(path)
+    return path
+
+
+def _saved(spark: SparkSession, root: str, version: int) -> bool:
+    found = _read(spark, f"{root}/manifest/version={version}")
+    return found is not None and not found.isEmpty()
+
+
 def _manifest(spark: SparkSession, root: str, version: int, entries: dict[str, str]) -> None:
-    spark.createDataFrame([(version, entries)], "version long, entries map<string,string>").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
+    spark.createDataFrame([(version, entries)], "version long, entries map<string,string>").select("entries").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
 
 
 def _newest(spark: SparkSession, root: str) -> dict[str, str] | None:
