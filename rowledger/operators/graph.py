@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Distinct nodes reachable from seeds (node) over edges (src, dst), seeds included; cycles end by themselves."""
+    """Distinct nodes reachable from seeds (node) over edges (src, dst), seeds included; cycles end by themselves.
+
+    Each round writes its frontier once; what was seen is the union of the frontiers written so far, so that no node is
+    written twice, and a frontier's number of rows comes with the job that writes it.
+    """
     edges = edges.select("src", "dst").distinct().checkpoint()
     seen = frontier = seeds.select("node").distinct().checkpoint()
+    rounds = 0
     while True:
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").checkpoint()
-        if frontier.isEmpty():
+        met = Observation()
+        frontier = step.join(seen, "node", "left_anti").observe(met, F.count("*").alias("n")).checkpoint()
+        if not met.get["n"]:
             return seen
-        seen = seen.union(frontier).checkpoint()
+        rounds += 1
+        # Once in a while the union becomes one frame, so that a deep graph does not make a long plan.
+        seen = seen.union(frontier) if rounds % 16 else seen.union(frontier).checkpoint()
 
 
 def reverse(edges: DataFrame) -> DataFrame:

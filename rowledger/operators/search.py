@@ -38,7 +38,9 @@ def search(rows: DataFrame, text: str, aliases: dict[str, str], folders: list[st
     """rows (key, type, labels, path, row_guid) that match; edges (src_guid, dst_path) serve `ref:`."""
     test, refs = predicate(text, aliases, folders)
     out = rows.where(test)
-    if refs and edges is not None:
+    if refs and edges is None:
+        return out.limit(0)  # nothing is known to refer to anything
+    if refs:
         hit = reduce(lambda a, b: a | b, [(F.col("dst_path") == r) | F.col("dst_path").endswith("/" + r) for r in refs])
         out = out.join(edges.where(hit).select(F.col("src_guid").alias("row_guid")), "row_guid", "left_semi")
     return out
