@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowledger.operators import changes
+from rowledger.sources import workbooks
+
 
 def notices(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Notices that land as Parquet files in a folder."""
@@ -27,13 +30,22 @@ def suppress_self(found: DataFrame, written: DataFrame) -> DataFrame:
     return found.join(written.select("path", "fingerprint"), ["path", "fingerprint"], "left_anti")
 
 
-def newest(found: DataFrame) -> DataFrame:
-    """(path, seq, fingerprint) of the highest sequence per path, whatever the order of arrival."""
-    return found.groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("fingerprint", "seq").alias("fingerprint"))
+def newest(found: DataFrame, late: str | None = None) -> DataFrame:
+    """(path, seq, fingerprint) of the highest sequence per path, whatever the order of arrival.
+
+    On a stream a path's state lives as long as the stream, unless `late` bounds it: then the newest notice of each path
+    and window of that length is given, once the watermark has passed it, and the state goes.
+    """
+    best = [F.max("seq").alias("seq"), F.max_by("fingerprint", "seq").alias("fingerprint")]
+    if found.isStreaming and late:
+        return found.withWatermark("ts", late).groupBy("path", F.window("ts", late).alias("w")).agg(*best).select("path", "seq", "fingerprint")
+    return found.groupBy("path").agg(*best)
 
 
-def triggers(found: DataFrame, every: str) -> DataFrame:
+def triggers(found: DataFrame, every: str, late: str = "0 seconds") -> DataFrame:
     """(at, flags): trigger flags of a publication interval, combined by bitwise or."""
+    if found.isStreaming:
+        found = found.withWatermark("ts", late)
     return found.groupBy(F.window("ts", every).alias("w")).agg(F.bit_or("flag").alias("flags")).select(F.col("w.start").alias("at"), "flags")
 
 
@@ -45,3 +57,35 @@ def drop_repeats(found: DataFrame, late: str) -> DataFrame:
 def publish(found: DataFrame, checkpoint: str, commit: Callable[[DataFrame, int], None]):  # noqa: ANN201
     """One serial publication per batch; commit gets the batch's number and must do nothing for one it has seen."""
     return found.writeStream.foreachBatch(lambda df, n: None if df.isEmpty() else commit(df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_snapshots(found: DataFrame, checkpoint: str, root: str, path: str, key: str, values: list[str], deps: str, check: Callable[[DataFrame], DataFrame]):  # noqa: ANN201
+    """Publish a stream of candidate rows (seq, table_id, row_guid, path, key, values, deps) at one serial point.
+
+    Of each batch the rows of the highest seq are the whole next snapshot, so triggers that came together are one publication. It is checked
+    (check gives a row per fault), compared with the published entries, and committed with its events under the next
+    version if there are any. A fault leaves the old version; the batch's number is kept with the version, so a batch that
+    is run again after a failure publishes once, and one that failed before the commit is run in full: its triggers are
+    put back by the stream's own checkpoint.
+    """
+
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        now = workbooks.current_workbooks(spark, root)
+        last = now["batch"].first() if now else None
+        if last is not None and last["number"] >= number:
+            return
+        newest_seq = batch.agg(F.max("seq").alias("_newest"))
+        rows = batch.join(F.broadcast(newest_seq), F.col("seq") == F.col("_newest")).drop("seq", "_newest")
+        if not check(rows).isEmpty():
+            return
+        state = now["entries"] if now else rows.limit(0).withColumn("state", F.lit("")).withColumn("generation", F.lit(0).cast("bigint"))
+        entries, events = changes.commit_snapshot(state, rows, path, key, values, deps)
+        events = events.checkpoint()
+        if events.isEmpty():
+            return
+        version = (last["version"] if last else 0) + 1
+        mark = spark.createDataFrame([(number, version)], "number long, version long")
+        workbooks.commit_workbooks({"entries": entries, "events": events, "batch": mark}, root, version)
+
+    return found.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
