@@ -64,8 +64,7 @@ FROM p""".replace("\\\\", "\\"))
 def parse_states(spark: SparkSession, d: str) -> DataFrame:
     x = dirty(F.col("l_orderkey"), F.col("l_quantity").cast("bigint").cast("string"))
     rows = t(spark, d, "lineitem").withColumn("x", x)
-    none = F.lit(None).cast("string")
-    rows = rows.withColumn("q", cells.parse_cell(F.col("x"), none, QUANTITY)).withColumn("n", cells.parse_cell(F.col("x"), none, NOTE))
+    rows = cells.parse_columns(rows, {"q": (F.col("x"), None, QUANTITY), "n": (F.col("x"), None, NOTE)})
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q.state", "q.text", "q.error", F.col("n.state").alias("note_state"), F.col("n.text").alias("note_text"), F.col("n.error").alias("note_error"))
 
 
@@ -424,11 +423,11 @@ def unique_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, o_orderstatus, (SELECT count(*) FROM orders b WHERE b.o_orderstatus = a.o_orderstatus AND o_orderkey % 7 <> 0) + row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS row_number FROM orders a WHERE o_orderkey % 7 = 0""")
+SELECT o_orderkey, o_orderstatus, (SELECT max(o_custkey) FROM orders b WHERE b.o_orderstatus = a.o_orderstatus) + row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS row_number FROM orders a""")
 def append_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Every order appended behind the rows of its table, which stand at the numbers of their customers."""
     o = t(spark, d, "orders")
-    old = o.where("o_orderkey % 7 <> 0").groupBy("o_orderstatus").agg(F.count("*").alias("row_number"))
-    return identity.append_positions(o.where("o_orderkey % 7 = 0").select("o_orderkey", "o_orderstatus"), old, "o_orderstatus", "row_number", "o_orderkey")
+    return identity.append_positions(o.select("o_orderkey", "o_orderstatus"), o.select("o_orderstatus", F.col("o_custkey").alias("row_number")), "o_orderstatus", "row_number", "o_orderkey")
 
 
 # --- releases
@@ -468,11 +467,15 @@ def release_hash(spark: SparkSession, d: str) -> DataFrame:
     return release.root_hash(release.content_hash(client_release(spark, d)))
 
 
-@query("""SELECT code, n FROM (VALUES ('release.no_identity', 0), ('release.duplicate_key', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1))), ('release.duplicate_field', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)))) x(code, n)""")
+@query("""SELECT code, n FROM (VALUES ('release.no_identity', 0), ('release.duplicate_key', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_partkey) > 1))), ('release.duplicate_field', (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 1))), ('release.no_key', 0), ('release.duplicate_identity', 0), ('release.dangling', (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_suppkey % 4 = 0)), ('release.no_schema', 0), ('release.findings', (SELECT count(*) FROM part WHERE p_size > 40))) x(code, n)""")
 def release_checks(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "lineitem")
     key = F.concat_ws("|", "l_orderkey", "l_linenumber")
-    return release.validate(lines.select(F.lit(7).alias("table_id"), F.concat_ws("|", key, "l_partkey").alias("row_guid"), key.alias("key"), F.lit(1).alias("field")))
+    records = lines.select(F.lit(7).alias("table_id"), F.concat_ws("|", key, "l_partkey").alias("row_guid"), key.alias("key"), F.lit(1).alias("field"))
+    parts = t(spark, d, "supplier").where("s_suppkey % 4 <> 0").select(F.lit(4), F.col("s_suppkey").cast("string"), F.col("s_suppkey").cast("string"), F.lit(1))
+    edges = lines.select(F.lit(4).alias("dst_table"), F.col("l_suppkey").cast("string").alias("dst_guid"))
+    findings = t(spark, d, "part").select(F.when(F.col("p_size") > 40, 2).otherwise(1).alias("severity"))
+    return release.validate(records.union(parts), edges, "01ab", findings)
 
 
 # --- migration and schemas
@@ -596,9 +599,8 @@ def browse(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT CAST(l_suppkey % 10 AS INTEGER) AS workbook_id, count(*) AS n_rows, CAST(count_if(l_orderkey % 13 <> 0 AND l_orderkey % 17 <> 0 AND (l_orderkey % 19 = 0 OR l_orderkey % 23 = 0)) AS BIGINT) AS unparseable, CAST(count_if(l_orderkey % 29 = 0) AS BIGINT) AS pending FROM lineitem GROUP BY 1""")
 def data_facts(spark: SparkSession, d: str) -> DataFrame:
-    none = F.lit(None).cast("string")
     x = dirty(F.col("l_orderkey"), F.col("l_quantity").cast("bigint").cast("string"))
-    rows = t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", cells.parse_cell(x, none, Field(1, "q", "int64")).alias("c"))
+    rows = cells.parse_columns(t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", x.alias("x")), {"c": (F.col("x"), None, Field(1, "q", "int64"))})
     return rows.groupBy((F.col("l_suppkey") % 10).cast("int").alias("workbook_id")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("c.state") == "Invalid").alias("unparseable"), F.count_if(F.col("l_orderkey") % 29 == 0).alias("pending"))
 
 
@@ -611,7 +613,7 @@ def report(spark: SparkSession, d: str) -> DataFrame:
     return checks.summarize(checks.diagnostics(t(spark, d, "orders").withColumn("op", F.col("o_orderstatus")), rules, "op"), "op")
 
 
-# --- streams, here over batch frames; tests run them on streams
+# --- streams, here over batch frames; tests run them on streams as well
 
 
 def notices(spark: SparkSession, d: str) -> DataFrame:
