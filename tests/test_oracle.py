@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from rowledger import project_queries as queries
+from rowledger import typed_queries as queries
 
 DIR = "/root/testdata/sf0.001"
 
