@@ -41,9 +41,9 @@ def test_delimited_round_trip(spark):
 
 
 def test_reference_grammar(spark):
-    tokens = ["3:a|b%20c", "03:a", "3:", "3:a||b", "3:a%2f", "3:%FF", "3:a+b"]
+    tokens = ["3:a|b%20c", "03:a", "3:", "3:a||b", "3:a%", "3:%FF", "3:a+b", "3:a%2f", "2147483647:%c3%a9", "2147483648:a", "0:a", "1:%ff", "1:\u4e2d"]
     got = spark.createDataFrame([(x,) for x in tokens], "t string").select(cells.parse_ref(F.col("t")).alias("r")).collect()
-    assert [r.r is not None for r in got] == [True, False, False, False, False, False, False]
+    assert [r.r is not None for r in got] == [True, False, False, False, False, False, False, True, True, False, False, False, False]
     assert got[0].r.parts == ["a", "b c"]
 
 
