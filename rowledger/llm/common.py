@@ -131,28 +131,26 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, root) for every node of edges (a, b), root being the smallest node that is reachable.
 
     Alternates large-star and small-star steps until the edges are stars, each node with one edge to a root that has none.
-    Each step is written to the scratch folder, so that neither lineage nor any list of neighbours grows in memory, and
-    what it came from goes. A hub's edges are spread over tasks.
+    Each round is written to the scratch folder, so that neither lineage nor any list of neighbours grows in memory, and
+    the round before goes. The joins are plain ones between shuffled sides, whose skewed partitions Spark splits at run
+    time, so a hub with very many edges is joined by several tasks.
     """
     spark = edges.sparkSession
     edges, path = materialized(edges.select("a", "b").where("a <> b").distinct(), tag)
-    n = edges.count()
-    while n:
+    open_nodes = 1
+    while open_nodes:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = join_spread(both.where("b > a"), least, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large, between = materialized(large, tag)
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_spread(large, least, "a", "n", n)
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges, now = materialized(small, tag)
-        discard(spark, path, between)
-        path = now
+        before = path
+        edges, path = materialized(small, tag)
+        discard(spark, before)
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
         ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
-        n, open_nodes = ends.agg(F.sum("out"), F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()
-        if not open_nodes:
-            break
+        open_nodes = ends.where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).limit(1).count()
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
