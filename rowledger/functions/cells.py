@@ -34,25 +34,37 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 BLANK = " \t\n\x0b\f\r"
 
 
+def typed(text: Column, kind: str) -> Column:
+    """The number that a text of a numeric type stands for, null if it is none. Texts of the wrong shape never get to the
+    cast: it would take further notations."""
+    if kind in RANGES:
+        low, high = RANGES[kind]
+        sql = "decimal(20,0)" if high == RANGES["uint64"][1] else "bigint"
+        n = F.when(text.rlike(INTEGER), F.trim(text, F.lit(BLANK)).try_cast(sql))
+        return n if kind in ("int64", "sint64", "sfixed64") else let(n, lambda n: F.when(n.between(F.lit(low).cast(sql), F.lit(high).cast(sql)), n))
+    n = F.when(text.rlike(NUMBER), F.trim(text, F.lit(BLANK)).try_cast("double"))
+    return F.nullif(n, F.when(F.lower(text).contains("e") | (F.length(text) > 300), F.when(F.abs(n) == float("inf"), n)))
+
+
 def canonicalize(text: Column, kind: str) -> Column:
     """Canonical text of a value of the type, null if it is none."""
     if kind == "bool":
         word = F.lower(F.trim(text, F.lit(BLANK)))
         return F.when(word.isin("true", "false"), word).when(text == "1", "true").when(text == "0", "false")
     if kind in RANGES:
-        low, high = RANGES[kind]
-        # Texts of the wrong shape never get to the cast: it would take further notations.
-        wide = high == RANGES["uint64"][1]
-        n = F.when(text.rlike(INTEGER), F.trim(text, F.lit(BLANK)).try_cast("decimal(20,0)" if wide else "bigint"))
-        return (n if kind in ("int64", "sint64", "sfixed64") else F.nullif(n, F.when(~n.between(F.lit(low).cast("decimal(20,0)" if wide else "bigint"), F.lit(high).cast("decimal(20,0)" if wide else "bigint")), n))).cast("string")
+        return typed(text, kind).cast("string")
     if kind in ("float", "double"):
-        n = F.when(text.rlike(NUMBER), F.trim(text, F.lit(BLANK)).try_cast("double"))
-        return double_text(F.nullif(n, F.when(F.abs(n) == float("inf"), n)))
+        return let(typed(text, kind), double_text)
     return text
 
 
 def double_text(value: Column) -> Column:
     """Round-trip text of a double: plain from 1E-4 up to 1E15, else d.dddE+dd, never with a closing `.0`."""
+    return let(value.cast("string"), lambda s: _shown(s, value))
+
+
+def _shown(s: Column, value: Column) -> Column:
+    """double_text of a value and its text in Java's notation."""
 
     def scientific(s: Column) -> Column:
         mantissa, e = F.substring_index(s, "E", 1), F.substring_index(s, "E", -1).cast("int")
@@ -71,8 +83,9 @@ def double_text(value: Column) -> Column:
         found = F.coalesce(*[F.when(x.try_cast("double") == value, x) for x in tries], s)
         return F.when(F.length(F.translate(F.substring_index(s, "E", 1), "-.", "")) > 15, found).otherwise(s)
 
-    plain = lambda s: F.when(s.contains("E"), scientific(s)).otherwise(F.regexp_replace(s, r"\.0$", ""))
-    return let(let(value.cast("string"), shortest), plain)
+    trimmed = lambda s: F.when(s.endswith(".0"), F.substr(s, F.lit(1), F.length(s) - 2)).otherwise(s)
+    rare = let(shortest(s), lambda s: F.when(s.contains("E"), scientific(s)).otherwise(trimmed(s)))
+    return F.when((F.length(s) <= 16) & ~s.contains("E"), trimmed(s)).otherwise(rare)
 
 
 def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Column], formats: dict | None = None) -> list[dict[str, Column]]:
@@ -82,13 +95,17 @@ def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Colu
     has_formula = F.coalesce(formula, F.lit("")) != ""
     shown = F.when(F.upper(text) == TILDE, NULL_MARK).otherwise(text) if field.type == "string" else text
     value = at("value")
-    read, legacy = {"value": canonicalize(shown, field.type)}, F.lit(False)
+    numeric = field.format is None and (field.type in RANGES or field.type in ("float", "double"))
+    number = at("number") if numeric else F.when(value.rlike(NUMBER), value.try_cast("double"))
+    read, legacy = [{"value": canonicalize(shown, field.type)}], F.lit(False)
+    if numeric:
+        read = [{"number": typed(shown, field.type)}, {"value": at("number").cast("string")}]
+    if numeric and field.type in ("float", "double"):
+        read = [read[0], {"java": at("number").cast("string")}, {"value": _shown(at("java"), at("number"))}]
     if field.format is not None:
         known = [(formats or {})[n].parse(shown) for n in (field.format, *field.legacy)]
-        read = {"read": parse_with_legacy(*known)}
+        read = [{"read": parse_with_legacy(*known)}]
         value, legacy = at("read")["value"], F.coalesce(at("read")["legacy"], F.lit(False))
-    # What is canonical has a number's shape already where the type is a number.
-    number = value.try_cast("double") if field.type in RANGES or field.type in ("float", "double") else F.when(value.rlike(NUMBER), value.try_cast("double"))
     problems = [(value.isNull(), "cell.unparseable" if field.format is None else F.coalesce(at("read")["error"], F.lit("cell.unparseable")))]
     if field.enum:
         problems.append((~value.isin([x for n, v in field.enum for x in (n, str(v))]), "cell.enum"))
@@ -105,7 +122,7 @@ def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Colu
         error = F.when(at("own").isin("Missing", "Null"), "cell.required").otherwise(error)
     defaulted = (at("own") == "Missing") & F.lit(field.default is not None)
     return [
-        read,
+        *read,
         {"wrong": wrong},
         {"own": state},
         {
@@ -155,8 +172,8 @@ def parse_columns(rows: DataFrame, cells: dict[str, tuple[Column, Column | None,
     kept, none = rows.columns, F.lit(None).cast("string")
     part = lambda name, p: f"__{name}__{p}"
     plans = {n: _steps(text, none if formula is None else formula, field, lambda p, n=n: F.col(part(n, p)), formats) for n, (text, formula, field) in cells.items()}
-    for i in range(len(next(iter(plans.values()), []))):
-        rows = rows.withColumns({part(n, p): c for n, steps in plans.items() for p, c in steps[i].items()})
+    for i in range(max(map(len, plans.values()), default=0)):
+        rows = rows.withColumns({part(n, p): c for n, steps in plans.items() for p, c in (steps[i].items() if i < len(steps) else ())})
     made = [F.struct(*[F.col(part(n, p)).alias(p) for p in (*PARSED, "legacy")]).alias(n) for n in cells]
     return rows.select(*[c for c in kept if c not in cells], *made)
 
