@@ -165,6 +165,19 @@ def pending_changes(rows: DataFrame, drafts: DataFrame, identity: str, values: l
     return j.select(identity, F.col("_kind").alias("kind"), F.explode(F.filter(F.array(*[entry(v) for v in values]), lambda e: e.isNotNull())).alias("e")).select(identity, "kind", "e.*")
 
 
+def source_blockers(items: DataFrame, mounted: DataFrame, now: DataFrame) -> DataFrame:
+    """(workbook_id, code) of the workbooks of a save that are not what the editor mounted: mounted and now (workbook_id,
+    fingerprint). A save with any blocker is refused as a whole."""
+    a, b = mounted.select("workbook_id", F.col("fingerprint").alias("_a")), now.select("workbook_id", F.col("fingerprint").alias("_b"))
+    j = items.select("workbook_id").distinct().join(a, "workbook_id", "left").join(b, "workbook_id", "left")
+    return j.where(F.col("_b").isNull() | ~F.col("_a").eqNullSafe(F.col("_b"))).select("workbook_id", F.when(F.col("_b").isNull(), "save.source_gone").otherwise("save.source_changed").alias("code"))
+
+
+def conflict_blockers(scope: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(node, code) of the rows of a save's scope whose conflict (node) is open; with any of them nothing is saved."""
+    return scope.join(conflicts.select("node").distinct(), "node", "left_semi").select("node", F.lit("save.conflict_open").alias("code"))
+
+
 def save_scope(dirty: DataFrame, edges: DataFrame, picked: DataFrame) -> DataFrame:
     """dirty (node) that a save of picked (node) has to include: all that earlier moves and deletions (edges src, dst) link to it."""
     return graph.impact(edges, picked).join(dirty.select("node").distinct(), "node", "left_semi")

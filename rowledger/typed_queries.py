@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
-from rowledger.operators import changes, identity, intake, migration, references, release, schema
+from rowledger.operators import changes, drafts, identity, intake, migration, references, release, schema
 from rowledger.project_queries import QUERIES, SQL
 from rowledger.project_queries import pick
 from rowledger.queries import dirty, guid, query, t
@@ -443,6 +443,24 @@ def intake_facts(spark: SparkSession, d: str) -> DataFrame:
     return intake.data_facts(parsed, layout, books)[0].drop("schema_hash")
 
 
+# --- saves: customers as workbooks
+
+
+@query("""
+SELECT 'w' || c_custkey AS item, CASE WHEN c_custkey % 5 = 0 THEN 'save.source_gone' ELSE 'save.source_changed' END AS code FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 5 = 0 OR c_custkey % 3 = 0)
+UNION ALL SELECT 'n' || c_custkey, 'save.conflict_open' FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 4 = 0""")
+def save_blockers(spark: SparkSession, d: str) -> DataFrame:
+    """Workbooks that changed or went since they were mounted, and rows to save whose conflict is open."""
+    c, k = t(spark, d, "customer"), F.col("c_custkey")
+    book = F.concat(F.lit("w"), k.cast("string")).alias("workbook_id")
+    items, mounted = c.where("c_custkey % 2 = 0").select(book), c.select(book, F.col("c_name").alias("fingerprint"))
+    now = c.where("c_custkey % 5 <> 0").select(book, F.when(k % 3 == 0, "other").otherwise(F.col("c_name")).alias("fingerprint"))
+    node = F.concat(F.lit("n"), k.cast("string")).alias("node")
+    sources = drafts.source_blockers(items, mounted, now)
+    conflicts = drafts.conflict_blockers(c.where("c_custkey % 7 = 0").select(node), c.where("c_custkey % 4 = 0").select(node))
+    return sources.select(F.col("workbook_id").alias("item"), "code").union(conflicts)
+
+
 # --- plans of migrations
 
 
