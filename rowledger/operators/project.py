@@ -97,19 +97,20 @@ def fact_findings(facts: DataFrame, current: str, previous: str | None, complete
     return found.union(cover)
 
 
-def legacy_removal_proof(facts: DataFrame, evidence: DataFrame, expected: str, complete: bool) -> DataFrame:
+def legacy_removal_proof(facts: DataFrame, evidence: DataFrame, revisions: DataFrame, expected: str, complete: bool) -> DataFrame:
     """(format, safe): a legacy format may go only with one evidence row at the expected schema without hits or errors,
     complete coverage, and the revision of every workbook seen.
 
-    facts (workbook_id, revision); evidence (format, schema_hash, hits, errors, revisions map<workbook_id, revision>).
+    facts (workbook_id, revision); evidence (format, schema_hash, hits, errors); revisions (format, workbook_id, revision):
+    what the evidence of a format has seen, a row a workbook.
     """
     known = facts.agg(F.count("*").alias("_all"), F.count_distinct("workbook_id").alias("_ids"), F.lit(1).alias("_one"))
-    seen = evidence.select("format", F.explode("revisions").alias("workbook_id", "_seen")).join(facts, "workbook_id")
-    agreed = seen.where(F.col("_seen") == F.col("revision")).groupBy("format").agg(F.count("*").alias("_agreed"))
-    one = evidence.groupBy("format").agg(F.count("*").alias("_n"), F.max("schema_hash").alias("_s"), F.max(F.greatest("hits", "errors")).alias("_bad"), F.max(F.size("revisions")).alias("_listed"))
-    j = one.join(agreed, "format", "left").withColumn("_one", F.lit(1)).join(F.broadcast(known), "_one")
-    agreed_n = F.coalesce("_agreed", F.lit(0))
-    safe = (F.col("_n") == 1) & F.lit(complete) & (F.col("_s") == expected) & (F.col("_bad") == 0) & (F.col("_ids") == F.col("_all")) & (F.col("_listed") == F.col("_all")) & (agreed_n == F.col("_all"))
+    by = ["workbook_id", "revision"]
+    seen = revisions.join(facts.select(*by, F.lit(1).alias("_same")).distinct(), by, "left").groupBy("format").agg(F.count("*").alias("_listed"), F.count("_same").alias("_agreed"), F.count_distinct("workbook_id").alias("_books"))
+    one = evidence.groupBy("format").agg(F.count("*").alias("_n"), F.max("schema_hash").alias("_s"), F.max(F.greatest("hits", "errors")).alias("_bad"))
+    j = one.join(seen, "format", "left").withColumn("_one", F.lit(1)).join(F.broadcast(known), "_one")
+    whole = (F.col("_listed") == F.col("_all")) & (F.col("_agreed") == F.col("_all")) & (F.col("_books") == F.col("_all")) & (F.col("_ids") == F.col("_all"))
+    safe = (F.col("_n") == 1) & F.lit(complete) & (F.col("_s") == expected) & (F.col("_bad") == 0) & (whole | (F.col("_all") == 0))
     return j.select("format", F.coalesce(safe, F.lit(False)).alias("safe"))
 
 

@@ -241,12 +241,13 @@ def fact_findings(spark: SparkSession, d: str) -> DataFrame:
 @query(FACTS + """
 SELECT 'f' || n AS format, n = 0 AS safe FROM range(4) x(n) WHERE EXISTS (FROM f)""")
 def legacy_removal(spark: SparkSession, d: str) -> DataFrame:
-    """Format f0 is proven; f1 has hits, f2 the revisions of all but one workbook, f3 evidence twice. The proof's map is by contract as long as the list of workbooks."""
+    """Format f0 is proven; f1 has hits, f2 the revisions of all but one workbook, f3 evidence twice."""
     f = facts(spark, d).select("workbook_id", "revision")
-    seen = f.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("workbook_id", "revision"))).alias("all"), F.min("workbook_id").alias("least")).where("least is not null")
-    rows = seen.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), "all", "least")
-    evidence = rows.select(F.concat(F.lit("f"), F.least("i", F.lit(3)).cast("string")).alias("format"), F.lit("now").alias("schema_hash"), F.when(F.col("i") == 1, 5).otherwise(0).alias("hits"), F.lit(0).alias("errors"), F.when(F.col("i") == 2, F.map_filter("all", lambda k, v: k != F.col("least"))).otherwise(F.col("all")).alias("revisions"))
-    return project.legacy_removal_proof(f, evidence, "now", True)
+    least = f.agg(F.min("workbook_id").alias("least")).where("least is not null")
+    rows = least.select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    evidence = rows.select(F.concat(F.lit("f"), F.least("i", F.lit(3)).cast("string")).alias("format"), F.lit("now").alias("schema_hash"), F.when(F.col("i") == 1, 5).otherwise(0).alias("hits"), F.lit(0).alias("errors"))
+    seen = f.join(F.broadcast(least)).select(F.explode(F.array(*[F.lit(f"f{i}") for i in range(4)])).alias("format"), "workbook_id", "revision", "least").where("format <> 'f2' or workbook_id <> least").drop("least")
+    return project.legacy_removal_proof(f, evidence, seen, "now", True)
 
 
 @query("""
