@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowledger.llm import audio, chat, language, mixing, packing, secrets, simhash, topk, toxicity, warc
+from rowledger.llm import alignment, audio, chat, language, mixing, packing, resampling, scoring, secrets, simhash, topk, toxicity, warc
 from rowledger.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.align(audio.rendered(table(spark, sf_dir, "embeddings")))
 
 
+def op11_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.correspond(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_secrets": op9_secrets,
     "op10_audio": op10_audio,
+    "op11_scoring": op11_scoring,
+    "op12_alignment": op12_alignment,
+    "op13_resampling": op13_resampling,
 }
 
 WARC_SQL = """
