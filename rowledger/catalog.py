@@ -26,6 +26,10 @@ class Field:
     #: Names of registered cell formats: the one that is written, and those that are still read.
     format: str | None = None
     legacy: tuple[str, ...] = ()
+    #: scalar, struct, list, structs (a list of structs) or map; a cell of what is not scalar and has no format is JSON.
+    shape: str = "scalar"
+    #: The group of which at most one field may be set.
+    oneof: str | None = None
 
 
 @dataclass(frozen=True)
@@ -35,6 +39,8 @@ class Table:
     fields: tuple[Field, ...]
     retired: bool = False
     targets: tuple[str, ...] = ("client", "server")
+    #: Names of registered row validators.
+    validators: tuple[str, ...] = ()
 
     def keys(self) -> list[Field]:
         return sorted((f for f in self.fields if f.key_order is not None), key=lambda f: f.key_order)

@@ -93,11 +93,12 @@ def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Colu
     function `parse` (text to canonical text, null where it does not apply), by name."""
     blank = F.coalesce(text, F.lit("")) == ""
     has_formula = F.coalesce(formula, F.lit("")) != ""
-    shown = F.when(F.upper(text) == TILDE, NULL_MARK).otherwise(text) if field.type == "string" else text
+    plain = field.format is None and field.shape == "scalar"
+    shown = F.when(F.upper(text) == TILDE, NULL_MARK).otherwise(text) if field.type == "string" and field.shape == "scalar" else text
     value = at("value")
-    numeric = field.format is None and (field.type in RANGES or field.type in ("float", "double"))
+    numeric = plain and (field.type in RANGES or field.type in ("float", "double"))
     number = at("number") if numeric else F.when(value.rlike(NUMBER), value.try_cast("double"))
-    read, legacy = [{"value": canonicalize(shown, field.type)}], F.lit(False)
+    read, legacy = [{"value": canonicalize(shown, field.type) if plain else canonical_json(shown)}], F.lit(False)
     if numeric:
         read = [{"number": typed(shown, field.type)}, {"value": at("number").cast("string")}]
     if numeric and field.type in ("float", "double"):
@@ -107,7 +108,7 @@ def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Colu
         read = [{"read": parse_with_legacy(*known)}]
         value, legacy = at("read")["value"], F.coalesce(at("read")["legacy"], F.lit(False))
     problems = [(value.isNull(), "cell.unparseable" if field.format is None else F.coalesce(at("read")["error"], F.lit("cell.unparseable")))]
-    if field.enum:
+    if field.enum and plain:
         problems.append((~value.isin([x for n, v in field.enum for x in (n, str(v))]), "cell.enum"))
     if field.min is not None:
         problems.append((F.coalesce(number < field.min, F.lit(False)), "cell.min"))
@@ -183,10 +184,23 @@ def display_value(state: Column, text: Column, raw: Column) -> Column:
     return F.when(state == "Missing", "<missing>").when(state == "Defaulted", F.concat(F.lit("<default:"), F.coalesce(text, F.lit("")), F.lit(">"))).when(state == "Null", "<null>").when(state == "Value", F.coalesce(text, F.lit(""))).when(state == "Invalid", F.concat(F.lit("<invalid:"), F.coalesce(raw, F.lit("")), F.lit(">")))
 
 
-def write_cell(state: Column, text: Column) -> Column:
+def write_cell(state: Column, text: Column, write: Callable[[Column], Column] | None = None) -> Column:
     """Text of a canonical value, null for an invalid one: Missing is empty, Null the mark, a literal mark is escaped (only
-    strings can hold one)."""
-    return F.when(state == "Missing", "").when(state == "Null", NULL_MARK).when(state.isin("Value", "Defaulted"), F.when(text == NULL_MARK, TILDE).otherwise(F.coalesce(text, F.lit(""))))
+    strings can hold one). write (as Format.write, of the canonical format, never a former one) turns the canonical text into
+    what the cell holds; null where it cannot."""
+    held = write(text) if write else F.coalesce(text, F.lit(""))
+    return F.when(state == "Missing", "").when(state == "Null", NULL_MARK).when(state.isin("Value", "Defaulted"), F.when(held == NULL_MARK, TILDE).otherwise(held))
+
+
+def write_columns(rows: DataFrame, cells: dict[str, tuple[Column, Column, Field]], formats: dict | None = None) -> DataFrame:
+    """rows with, for each name of cells (state, canonical text, field), struct<text, error>: what the cell is to hold, written through the field's
+    format where it declares one, and cell.unwritable for an invalid value or one that the format refuses."""
+    made = {}
+    for name, (state, text, field) in cells.items():
+        made[name] = write_cell(state, text, (formats or {})[field.format].write if field.format else None)
+    rows = rows.withColumns({f"__{n}": c for n, c in made.items()})
+    out = [F.struct(F.col(f"__{n}").alias("text"), F.when(F.col(f"__{n}").isNull(), "cell.unwritable").alias("error")).alias(n) for n in made]
+    return rows.select(*[c for c in rows.columns if c not in made and c not in {f"__{n}" for n in made}], *out)
 
 
 def comparison_text(text: Column, formula: Column) -> Column:
@@ -249,7 +263,7 @@ def encode_ref(table_id: int, *parts: Column) -> Column:
 def parse_ref(token: Column) -> Column:
     """struct<table_id, parts>, null if the token is none: a positive int32 without leading zeros, then parts of unreserved
     characters and %XX that are UTF-8 without control characters."""
-    grammar = r"^[1-9]\d{0,9}:(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})+(?:\|(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})+)*$"
+    grammar = r"^[1-9]\d{0,9}:(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})+(?:\|(?:[A-Za-z0-9._~-]|%[0-9A-Fa-f]{2})+)*\z"
     table = F.substring_index(token, ":", 1).try_cast("int")
     parts = F.transform(F.split(F.substring_index(token, ":", -1), r"\|"), F.try_url_decode)
     sound = F.forall(parts, lambda p: p.isNotNull() & ~p.rlike(r"[\x00-\x1f\x7f-\x9f]"))
@@ -277,23 +291,23 @@ def percent(text: Column) -> Column:
 
 
 def valid_guid(guid: Column) -> Column:
-    return F.coalesce(guid.rlike("^[0-9a-f]{32}$") & (guid != "0" * 32), F.lit(False))
+    return F.coalesce(guid.rlike(r"^[0-9a-f]{32}\z") & (guid != "0" * 32), F.lit(False))
 
 
 def parse_identity(text: Column) -> Column:
     """struct<table_id, row_guid> of table:guid, null if it is none; the number may have a sign and blanks around it."""
     number, guid = F.trim(F.substring_index(text, ":", 1), F.lit(BLANK)), F.substr(text, F.locate(":", text) + 1)
-    table = F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("int"))
+    table = F.when(number.rlike(r"^[+-]?\d+\z"), number.try_cast("int"))
     return F.when(text.contains(":") & (table > 0) & valid_guid(guid), F.struct(table.alias("table_id"), guid.alias("row_guid")))
 
 
 def valid_target(tag: Column) -> Column:
-    return F.coalesce(tag.rlike("^[a-z][a-z0-9-]*$"), F.lit(False))
+    return F.coalesce(tag.rlike(r"^[a-z][a-z0-9-]*\z"), F.lit(False))
 
 
 def parse_revision(raw: Column) -> Column:
     """Revision, 0 where absent, null where it is no unsigned 32-bit number."""
-    n = F.when(raw.rlike(r"^\d{1,10}$"), raw.try_cast("bigint"))
+    n = F.when(raw.rlike(r"^\d{1,10}\z"), raw.try_cast("bigint"))
     return F.when(F.coalesce(raw, F.lit("")) == "", F.lit(0).cast("bigint")).when(n <= 4294967295, n)
 
 
@@ -345,6 +359,46 @@ def write_join_map(values: Column, outer: str, inner: str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(encode_atom(e["key"], outer, inner), F.lit(inner), encode_atom(e["value"], outer, inner))), outer)
 
 
+def _pairs(text: Column, outer: str, inner: str) -> Column:
+    """Array of [key part, value part] of a text of pairs; a pair that is not two parts that hold something is null."""
+    pairs = F.transform(F.filter(split_delimited(text, outer), lambda p: F.trim(p) != ""), lambda p: split_delimited(p, inner))
+    return F.transform(pairs, lambda p: F.when((F.size(p) == 2) & F.forall(p, lambda x: F.trim(x) != ""), p))
+
+
+def parse_named_map(text: Column, outer: str, inner: str, key_kind: str = "string", value_kind: str | Fields = "string", field: str | None = None, name: str | None = None) -> Column:
+    """Map of canonical texts from key=value pairs, of any order. value_kind: a type, or the fields of a struct one layer down, which
+    `field` separates: by position, or as name=value pairs where `name` separates names from values. Null for a pair without two parts, an
+    unparseable part, a key that repeats, an unknown or repeated name, or too many positions."""
+
+    def value(part: Column) -> Column:
+        if isinstance(value_kind, str):
+            return canonicalize(decode_atom(part), value_kind)
+        whole = decode_atom(part)
+        return parse_named_struct(whole, field, name, value_kind) if name else _positional(whole, field, None, value_kind)
+
+    entries = F.transform(_pairs(text, outer, inner), lambda p: F.when(p.isNotNull(), F.struct(canonicalize(decode_atom(F.get(p, F.lit(0))), key_kind).alias("key"), value(F.get(p, F.lit(1))).alias("value"))))
+
+    def checked(es: Column) -> Column:
+        keys = F.transform(es, lambda e: e["key"])
+        ok = F.forall(es, lambda e: e["key"].isNotNull() & e["value"].isNotNull()) & (F.size(F.array_distinct(keys)) == F.size(keys))
+        return F.when(ok, es)
+
+    return F.map_from_entries(let(entries, checked))
+
+
+def write_named_map(values: Column, outer: str, inner: str, names: list[str] | None = None, field: str | None = None, name: str | None = None) -> Column:
+    """Pairs in the order of keys, as parse_named_map reads them; names: the fields of struct values, which are quoted as a whole
+    where they hold a separator of the map."""
+
+    def text(v: Column) -> Column:
+        if names is None:
+            return v
+        return write_named_struct(v, field, name, names) if name else _written(v, names, field, None)
+
+    entries = F.transform(F.array_sort(F.map_keys(values)), lambda k: F.concat(encode_atom(k, outer, inner), F.lit(inner), encode_atom(text(F.try_element_at(values, k)), outer, inner)))
+    return F.array_join(entries, outer)
+
+
 Fields = dict[str, "str | dict[str, str]"]
 
 

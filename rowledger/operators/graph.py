@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from rowledger.sources.pointers import delete
+
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Distinct nodes reachable from seeds (node) over edges (src, dst), seeds included; cycles end by themselves.
@@ -44,6 +47,54 @@ def impact(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return reach(edges.select("src", "dst").union(reverse(edges)), seeds)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of edges (src, dst), whatever their direction: root is the smallest node that is connected.
+
+    Contraction: every node points to its smallest neighbour, or to itself; doubling the pointers turns these trees into stars in as many
+    steps as the logarithm of their depth; then the edges join roots, of which there are at most half as many nodes.
+    So a chain of n nodes takes about log n rounds, not n, and a round's work shrinks with the nodes that are left. Null
+    nodes are none.
+    """
+    spark = edges.sparkSession
+    edges = edges.where("src is not null and dst is not null").select("src", "dst")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    roots, old_roots = written(nodes.select("node", F.col("node").alias("root")))
+    left, old_left = written(edges.union(reverse(edges)).where("src <> dst").distinct())
+    while not left.isEmpty():
+        least = left.groupBy("src").agg(F.min("dst").alias("dst"))
+        stars, old_stars = _stars(least.select(F.col("src").alias("node"), F.least("src", "dst").alias("root")))
+        at = lambda c, stars=stars: stars.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        left, new_left = written(left.join(at("src"), "src").join(at("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).where("src <> dst").distinct())
+        roots, new_roots = written(roots.join(at("root"), "root", "left").select("node", F.coalesce("_root", "root").alias("root")))
+        delete(spark, old_left, old_roots, old_stars)
+        old_left, old_roots = new_left, new_roots
+    delete(spark, old_left)
+    return roots
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder of spark.checkpoint.dir, and its path. Unlike checkpoint() it brings its real size and no
+    constraints along, which would double from one round to the next; and the caller can delete it when it is done."""
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _stars(trees: DataFrame) -> tuple[DataFrame, str]:
+    """(node, root) of pointers (node, root) that lead to a node that points to itself: each pointer is doubled until none moves."""
+    trees, path = written(trees)
+    while True:
+        met = Observation()
+        above = trees.select(F.col("node").alias("root"), F.col("root").alias("_r"))
+        made = trees.join(above, "root").select("node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("_up"))
+        before = path
+        trees, path = written(made.observe(met, F.count_if("_up").alias("n")).drop("_up"))
+        delete(trees.sparkSession, before)
+        if not met.get["n"]:
+            return trees, path
+
+
 def dependents_changed(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """Nodes that depend, over any number of steps, on a changed node; a changed one only if a cycle leads back."""
     back = reverse(edges).distinct().checkpoint()

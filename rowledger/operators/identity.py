@@ -38,6 +38,13 @@ def scan(rows: DataFrame, known: DataFrame) -> DataFrame:
     return j.select("row_no", "table_id", "status", F.when(F.col("status") != "Invalid", F.col("row_guid")).alias("row_guid"), severity.alias("severity"))
 
 
+def removed(scanned: DataFrame, known: DataFrame) -> DataFrame:
+    """(table_id, row_guid, key, status): known rows that no scanned row stands for, as Removed. A row whose identity is Duplicated is not
+    seen under it, so its known row counts as removed as well, like one whose text is Invalid."""
+    seen = scanned.where(F.col("status").isin("Retained", "Renamed", "Recovered")).select("table_id", "row_guid").distinct()
+    return known.select("table_id", "row_guid", "key").distinct().join(seen, ["table_id", "row_guid"], "left_anti").withColumn("status", F.lit("Removed"))
+
+
 def repair(scanned: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(row_no, row_guid) to write back for the Recovered rows that were selected (row_no), and selections that are none."""
     recovered = scanned.where("status = 'Recovered'")
@@ -149,15 +156,17 @@ def unique_keys(wanted: DataFrame, taken: DataFrame, order: str) -> DataFrame:
     to tj, so the i-th free number is i plus how many j have tj - j < i: a join of the counts, without any list of numbers.
     """
     free = wanted.join(taken.select("key").distinct().withColumn("_t", F.lit(True)), "key", "left")
-    free = rank_in(free, "key", order, "_turn").withColumn("_i", F.col("_turn") - F.when(F.col("_t"), 0).otherwise(1)).drop("_turn")
+    free = rank_in(free, "key", order, "_turn").withColumn("_i", F.col("_turn") - F.when(F.col("_t"), 0).otherwise(1))
     used = taken.select(F.regexp_extract("key", r"^(.*)_([1-9]\d{0,8})$", 1).alias("stem"), F.regexp_extract("key", r"^(.*)_([1-9]\d{0,8})$", 2).try_cast("long").alias("n")).where("n is not null").distinct()
-    used = used.withColumn("_slack", F.col("n") - F.row_number().over(Window.partitionBy("stem").orderBy("n")))
-    # Rank rows and taken numbers together: running count of taken numbers with slack < i.
-    marks = used.select(F.col("stem").alias("key"), (F.col("_slack") + 1).alias("_i"), F.lit(None).cast(free.schema[order].dataType).alias(order), F.lit(0).alias("_row"))
-    both = free.select("key", F.col("_i").cast("long").alias("_i"), order, F.lit(1).alias("_row")).unionByName(marks)
-    skipped = F.count_if(F.col("_row") == 0).over(Window.partitionBy("key").orderBy("_i", "_row").rowsBetween(Window.unboundedPreceding, 0))
-    both = both.withColumn("_k", F.col("_i") + skipped).where("_row = 1")
-    return both.select("key", order, F.when(F.col("_i") == 0, F.col("key")).otherwise(F.concat_ws("_", "key", F.col("_k").cast("string"))).alias("free_key"))
+    used = rank_in(used, "stem", "n", "_j")
+    # Rows and taken numbers are merged by rank: before the i-th row stand the rows before it and the taken numbers that it skips, those with
+    # slack (n - j) below i. Both sequences are ranked by ranges, so a key that holds all rows is the work of many tasks.
+    rows = free.select("key", order, "_turn", F.struct(F.col("_i").cast("long").alias("i"), F.lit(1).alias("row"), F.lit(0).cast("long").alias("n")).alias("_at"))
+    nothing = [F.lit(None).cast(free.schema[order].dataType).alias(order), F.lit(None).cast("bigint").alias("_turn")]
+    marks = used.select(F.col("stem").alias("key"), *nothing, F.struct((F.col("n") - F.col("_j") + 1).cast("long").alias("i"), F.lit(0).alias("row"), F.col("n").cast("long").alias("n")).alias("_at"))
+    both = rank_in(rows.unionByName(marks), "key", "_at", "_rank").where("_turn is not null")
+    number = F.col("_at.i") + F.col("_rank") - F.col("_turn")
+    return both.select("key", order, F.when(F.col("_at.i") == 0, F.col("key")).otherwise(F.concat_ws("_", "key", number.cast("string"))).alias("free_key"))
 
 
 #: Rows that one bucket of a rank holds on average.
@@ -171,6 +180,7 @@ def rank_in(rows: DataFrame, group: str, order: str, out: str, buckets: int | No
     by the sizes of the ranges before it, so a group that holds a third of all rows is ranked by many tasks.
     """
     if buckets is None:
+        rows = rows.checkpoint()
         buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     if buckets == 1:
         return rows.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("bigint"))

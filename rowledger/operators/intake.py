@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from rowledger.catalog import Catalog, Table
 from rowledger.functions.cells import build_key, parse_columns, parse_revision, valid_guid
-from rowledger.registry import Format
+from rowledger.operators import identity, project, references
+from rowledger.operators.checks import check_oneof
+from rowledger.registry import Format, Registry
 
 ERROR, BLOCKER = 2, 3
 
@@ -49,10 +51,68 @@ def parse_table(staging: DataFrame, table: Table, formats: dict[str, Format] | N
 
 
 def parse_tables(staging: DataFrame, catalog: Catalog, formats: dict[str, Format] | None = None, incomplete: DataFrame | None = None) -> DataFrame:
-    """parse_table of every live table of the catalog."""
+    """parse_table of every live table of the catalog; each reads staging for its sheet. See routed."""
     return reduce(DataFrame.union, [parse_table(staging, t, formats, incomplete) for t in catalog.live()])
 
 
+def routed(staging: DataFrame, catalog: Catalog, folder: str) -> DataFrame:
+    """staging, each row written once to the part of its sheet: what made it (unzipping workbooks) runs once, and of a catalog of any
+    number of tables each one then reads its own part alone. Sheets of no live table are left out."""
+    rows = staging.where(F.col("sheet").isin([t.sheet for t in catalog.live()]))
+    # A task has rows of few sheets and a sheet of many rows keeps many files.
+    rows.write.mode("error").partitionBy("sheet").parquet(folder)
+    back = staging.sparkSession.read.schema(staging.schema).parquet(folder)
+    return back.select(staging.columns)
+
+
+def with_indexable(parsed: DataFrame, catalog: Catalog, validators: Registry | None = None, child_findings: DataFrame | None = None) -> DataFrame:
+    """parsed (of parse_tables) with all that makes a row unfit in its findings, and indexable false for it.
+
+    Added are identities (row.duplicate) and keys (key.duplicate) that another row of the table has, of the whole group; texts that
+    repeat in a field declared unique (field.duplicate, by its path); groups of which more than one field is set, by the
+    raw side (oneof.<name>); registered validators that fail over cells map<path, text> (validator.<name>), or lack registration; and
+    child_findings (path, sheet, row_number, code) of a row's children. Repeats are counted over the rows of all workbooks in one
+    aggregate of (table, what, text), whose groups are counts, so that no text gathers its rows; they meet the rows again by
+    a join that Spark splits where a text is hot.
+    """
+    at = ["table_id", "path", "sheet", "row_number"]
+    none, error = F.lit(None).cast("string"), F.lit(ERROR)
+    finding = lambda path, code, severity=error: F.struct(path.alias("property_path"), code.alias("code"), severity.alias("severity"))
+    of = lambda ids: F.col("table_id").isin(ids) if ids else F.lit(False)
+
+    unique = {f.name: [t.table_id for t in catalog.live() if any(x.name == f.name and x.unique for x in t.fields)] for t in catalog.live() for f in t.fields if f.unique}
+    named = F.map_from_arrays(F.transform("values", lambda v: v["property_path"]), F.col("values"))
+    rows = parsed.withColumn("_v", named)
+    mark = lambda what, path, text: F.struct(F.lit(what).alias("what"), path.alias("property_path"), text.alias("text"))
+    marks = [F.when(F.col("row_guid").isNotNull(), mark("row.duplicate", none, F.col("row_guid"))), F.when(F.col("key").isNotNull(), mark("key.duplicate", none, F.col("key")))]
+    for name, tables in unique.items():
+        v = F.try_element_at("_v", F.lit(name))
+        marks.append(F.when(of(tables) & v["state"].isin("Value", "Defaulted"), mark("field.duplicate", F.lit(name), v["text"])))
+    long = rows.select(*at, F.explode(F.array_compact(F.array(*marks))).alias("m")).select(*at, "m.*")
+    twice = long.groupBy("table_id", "what", "property_path", "text").agg(F.count("*").alias("n")).where("n > 1")
+    same = (F.col("r.table_id") == F.col("t.table_id")) & (F.col("r.what") == F.col("t.what")) & F.col("r.property_path").eqNullSafe(F.col("t.property_path")) & (F.col("r.text") == F.col("t.text"))
+    repeats = long.alias("r").join(twice.alias("t"), same, "left_semi").select(*[F.col(f"r.{c}").alias(c) for c in at], finding(F.col("r.property_path"), F.col("r.what")).alias("f"))
+
+    own = []
+    for t in catalog.live():
+        for group in dict.fromkeys(f.oneof for f in t.fields if f.oneof):
+            raw = [F.try_element_at("_v", F.lit(f.name))["raw_state"] for f in t.fields if f.oneof == group]
+            own.append(F.when(of([t.table_id]) & check_oneof(*[~x.isin("Missing", "Null") for x in raw]), finding(F.lit(group), F.lit(f"oneof.{group}"))))
+        for name in t.validators:
+            rule = (validators or Registry()).get(name)
+            fails = of([t.table_id]) & ~F.coalesce(rule(), F.lit(False)) if rule else of([t.table_id])
+            own.append(F.when(fails, finding(none, F.lit(f"validator.{name}" if rule else f"validator.unregistered.{name}"))))
+    rows = rows.withColumn("cells", F.transform_values("_v", lambda k, v: v["text"]))
+    single = rows.select(*at, F.explode(F.array_compact(F.array(*own))).alias("f")) if own else repeats.limit(0)
+    found = repeats.union(single)
+    if child_findings is not None:
+        known = rows.select(*at)
+        found = found.union(known.join(child_findings.select("path", "sheet", "row_number", "code"), ["path", "sheet", "row_number"]).select(*at, finding(none, F.col("code")).alias("f")))
+    more = found.groupBy(*at).agg(F.array_sort(F.collect_list("f")).alias("_more"))
+    out = parsed.join(more, at, "left")
+    return out.select(*[c for c in parsed.columns if c not in ("indexable", "findings")], (F.col("indexable") & F.col("_more").isNull()).alias("indexable"), F.concat("findings", F.coalesce("_more", F.array().cast(parsed.schema["findings"].dataType))).alias("findings"))
+
+
 def rows_of(parsed: DataFrame) -> DataFrame:
     return parsed.drop("values", "findings")
 
@@ -89,3 +149,33 @@ def data_facts(parsed: DataFrame, layout: DataFrame, workbooks: DataFrame) -> tu
     facts = workbooks.join(sums, "path", "left").join(broken, "path", "left")
     facts = facts.select(F.col("path").alias("workbook_id"), "revision", "schema_hash", F.coalesce("_ok", F.lit(True)).alias("mapping_complete"), *[F.coalesce(c, zero).alias(c) for c in ("unparseable", "pending", "legacy_hits", "legacy_errors")])
     return facts, parsed.select("table_id").distinct()
+
+
+def run_checks(workbooks: DataFrame, staging: DataFrame, parsed: DataFrame, known: DataFrame, catalog: Catalog) -> DataFrame:
+    """(step, workbook_id, code, severity, n) of a whole project, step by step: sources, identities, cells, keys, references.
+
+    workbooks (path, workbook_id): all that were to be read; staging: their rows; parsed: of parse_tables over them; known
+    (table_id, row_guid, key): identities of the last state. Rows of a workbook that sources refuse are left out of the steps
+    behind. A summary is checks.summarize over it, and what is empty may be published.
+    """
+    good, refused = project.check_sources(workbooks)
+    kept = parsed.join(good.select("path", "workbook_id"), "path")
+    place = ["path", "sheet", "row_number"]
+    rows = kept.join(staging.select(*place, "raw_guid"), place)
+    scanned = identity.scan(rows.select(F.struct("workbook_id", *place).alias("row_no"), "table_id", "raw_guid", "key"), known)
+    steps = [
+        refused.select(F.lit("sources").alias("step"), "workbook_id", "code", "severity"),
+        scanned.where("severity > 0").select(F.lit("identities"), F.col("row_no.workbook_id"), F.concat(F.lit("identity."), F.lower("status")), "severity"),
+        kept.select("workbook_id", F.explode("findings").alias("f")).select(F.lit("cells"), "workbook_id", "f.code", "f.severity"),
+        project.duplicate_keys_across(kept).select(F.lit("keys"), "workbook_id", F.lit("key.duplicate"), F.lit(ERROR)),
+    ]
+    fields = [(t.table_id, f.name, f.ref_table) for t in catalog.live() for f in t.fields if f.ref_table is not None]
+    if fields:
+        spark = parsed.sparkSession
+        declared = spark.createDataFrame(fields, "table_id int, property_path string, to int").withColumn("field", F.concat_ws(".", F.col("table_id").cast("string"), "property_path"))
+        cells = kept.select("workbook_id", "table_id", "row_guid", F.explode("values").alias("v")).select("workbook_id", "table_id", "row_guid", "v.property_path", "v.state", F.col("v.text").alias("token"))
+        tokens = cells.where("state in ('Value', 'Defaulted')").join(F.broadcast(declared), ["table_id", "property_path"])
+        targets = kept.where("indexable and row_guid is not null and key is not null").select("table_id", "key", "row_guid")
+        resolved = references.resolve_tokens(tokens.drop("table_id", "to", "state"), targets, declared.select("field", F.col("to").alias("table_id")))
+        steps.append(resolved.where("error is not null").select(F.lit("references"), "workbook_id", "error", F.lit(BLOCKER)))
+    return reduce(DataFrame.union, steps).groupBy("step", "workbook_id", "code", "severity").agg(F.count("*").alias("n"))

@@ -24,6 +24,8 @@ class Step:
     materialize_default: bool = False
     version: int = 1
     data_loss: bool = False
+    #: Where it holds for a source text, the step has nothing to do there.
+    skips: Callable[[Column], Column] | None = None
 
     def marker(self) -> str:
         return f"{self.id}@{self.version}"
@@ -94,6 +96,7 @@ def outcomes(cells: DataFrame, steps: list[Step]) -> DataFrame:
             F.when(source.isNull(), F.lit(None))
             .when(source["state"] == "Invalid", "Error")
             .when((source["state"] == "Missing") | ((source["state"] == "Defaulted") & F.lit(not s.materialize_default)), "Skipped")
+            .when(F.coalesce(s.skips(source["text"]), F.lit(False)) if s.skips else F.lit(False), "Skipped")
             .when(value.isNull(), "Error")
             .when(filled & target["text"].eqNullSafe(value), "Skipped")
             .when(filled & F.lit(not s.overwrite), "Error")
@@ -106,6 +109,15 @@ def outcomes(cells: DataFrame, steps: list[Step]) -> DataFrame:
     return rows.select(*KEYS, F.explode(F.array(*entries)).alias("e")).select(*KEYS, "e.*").where("outcome is not null")
 
 
+def undetermined(cells: DataFrame, found: DataFrame, steps: list[Step]) -> DataFrame:
+    """(keys, step, code) of outcomes that a second evaluation does not give again: their transforms are no functions of the text, so
+    the plan must not be applied. found: what outcomes gave, written (by checkpoint(), or to a table), so that it is a first evaluation."""
+    again = outcomes(cells, steps).select(*KEYS, "position", F.col("outcome").alias("_o"), F.col("value").alias("_v"))
+    j = found.select(*KEYS, "position", "step", "outcome", "value").join(again, [*KEYS, "position"], "full_outer")
+    same = F.col("outcome").eqNullSafe(F.col("_o")) & F.col("value").eqNullSafe(F.col("_v"))
+    return j.where(~same).select(*KEYS, F.coalesce("step", F.lit("")).alias("step"), F.lit("migration.undetermined").alias("code"))
+
+
 def apply(cells: DataFrame, found: DataFrame) -> DataFrame:
     """Cells after the migration, or as they were if any outcome anywhere is an error: a join with one flag. Of several
     steps that fill a cell the last one counts."""

@@ -102,6 +102,61 @@ def validate(records: DataFrame, dependencies: DataFrame | None = None, schema_h
     return reduce(DataFrame.union, out)
 
 
+def sound_schema(schema_hash: str) -> bool:
+    """A schema hash that is not all zeros."""
+    return bool(schema_hash.strip("0"))
+
+
+#: Records of a leaf of the digest tree, on average.
+LEAF_ROWS = 200_000
+
+
+def row_index(records: DataFrame) -> DataFrame:
+    """(table_id, row_guid, key, path, keyless, two_keys, repeats) of each identity: one shuffle of the records, after which fields
+    and rows are counted where they lie. keyless: a record without key; two_keys: two keys; repeats: a field twice."""
+    kept = records.where("coalesce(row_guid, '') <> ''").withColumn("key", F.nullif("key", F.lit(""))).repartition("table_id", "row_guid")
+    fields = kept.groupBy("table_id", "row_guid", "field").agg(F.count("*").alias("n"), F.count("key").alias("k"), F.min("key").alias("key"), F.max("key").alias("last"), F.min("path").alias("path"))
+    rows = fields.groupBy("table_id", "row_guid").agg(F.min("key").alias("key"), F.min("path").alias("path"), (F.sum("k") < F.sum("n")).alias("keyless"), F.coalesce(F.min("key") != F.max("last"), F.lit(False)).alias("two_keys"), (F.max("n") > 1).alias("repeats"))
+    return rows.select("table_id", "row_guid", "key", "path", "keyless", "two_keys", "repeats")
+
+
+def index_faults(index: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
+    """(code, n) of what an index of rows shows: one aggregate of its flags, one of its keys, and an anti join of what rows depend on."""
+    flags = {"release.no_key": "keyless", "release.duplicate_identity": "two_keys", "release.duplicate_field": "repeats"}
+    sums = index.agg(*[F.count_if(c).alias(code) for code, c in flags.items()])
+    out = sums.select(F.explode(F.array(*[F.struct(F.lit(code).alias("code"), F.col(f"`{code}`").alias("n")) for code in flags])).alias("x")).select("x.*")
+    keys = index.where("key is not null").groupBy("table_id", "key").count().where("count > 1")
+    out = out.union(keys.agg(F.lit("release.duplicate_key"), F.count("*")))
+    if dependencies is not None:
+        held = index.select(F.col("table_id").alias("dst_table"), F.col("row_guid").alias("dst_guid"))
+        lost = dependencies.select("dst_table", "dst_guid").distinct().join(held, ["dst_table", "dst_guid"], "left_anti")
+        out = out.union(lost.agg(F.lit("release.dangling"), F.count("*")))
+    return out
+
+
+def leaf_digits(rows: int) -> int:
+    """Hexadecimal digits of a guid that make leaves of LEAF_ROWS records."""
+    return next(n for n in range(1, 17) if rows <= LEAF_ROWS * 16**n)
+
+
+def digest_leaves(records: DataFrame, digits: int, *more: Column) -> DataFrame:
+    """(table_id, prefix, n, digest, more): the records of a table whose guids begin alike, whatever their order and files. A record
+    without identity is of the empty prefix."""
+    h = row_hash(*[F.col(c) for c in ("table_id", "row_guid", "key", "path", "field", "value")])
+    rows = records.withColumn("prefix", F.coalesce(F.substring("row_guid", 1, digits), F.lit(""))).withColumn("h", h)
+    return rows.groupBy("table_id", "prefix").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"), *more)
+
+
+def tree_root(leaves: DataFrame, digits: int, header: str) -> DataFrame:
+    """(content_hash) over a header and leaves: two digits at a time they join to at most 256 a node, up to one digest a table."""
+    level, named = leaves.select("table_id", "prefix", "digest"), lambda: F.sort_array(F.collect_list(F.struct("prefix", "digest")))
+    joined = lambda x: F.sha2(F.array_join(F.transform(x, lambda e: F.concat_ws(":", e["prefix"], e["digest"])), "|"), 256).alias("digest")
+    for n in [*range(digits - 2, 0, -2), 0]:
+        level = level.groupBy("table_id", F.substring("prefix", 1, n).alias("_p")).agg(joined(named())).withColumnRenamed("_p", "prefix")
+    tables = F.transform(F.sort_array(F.collect_list(F.struct("table_id", "digest"))), lambda e: F.concat_ws(":", e["table_id"].cast("string"), e["digest"]))
+    return level.agg(F.sha2(F.concat(F.lit(header + "|"), F.array_join(tables, "|")), 256).alias("content_hash"))
+
+
 def root_revision(content_hash: Column) -> Column:
     """A release's revision: the first 16 digits of its content hash."""
     return F.substring(content_hash, 1, 16)

@@ -46,8 +46,13 @@ def search(rows: DataFrame, text: str, aliases: dict[str, str], folders: list[st
     return out
 
 
-def browse(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts of rows and of their badges; rows have boolean dirty, conflicted and error."""
+def browse(rows: DataFrame, *by: str, text: str = "", aliases: dict[str, str] | None = None, folders: list[str] | None = None, edges: DataFrame | None = None, display: str = "") -> DataFrame:
+    """Counts of rows and of their badges; rows have boolean dirty, conflicted and error. text, aliases, folders and edges
+    choose rows as in search, and display those whose display_name holds it, in any case."""
+    if text or folders:
+        rows = search(rows, text, aliases or {}, folders, edges)
+    if display:
+        rows = rows.where(F.contains(F.lower("display_name"), F.lower(F.lit(display))))
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(b)).alias(f"n_{b}") for b in ("dirty", "conflicted", "error")])
 
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowledger.catalog import Field, Table
 from rowledger.functions import cells
@@ -590,6 +591,16 @@ def search_rows(spark: SparkSession, d: str) -> DataFrame:
     return search.search(rows, "A e t:zero t:1 l:0 l:1 ref:3", {"zero": "0"}, ["parts"], found).select("p_partkey", "key")
 
 
+@query("""
+SELECT c_mktsegment AS table_name, count(*) AS n, CAST(count_if(c_custkey % 5 = 0) AS BIGINT) AS n_dirty, CAST(count_if(c_custkey % 35 = 0) AS BIGINT) AS n_conflicted, CAST(count_if(c_acctbal < 0) AS BIGINT) AS n_error
+FROM customer WHERE contains(lower(c_name), '1') AND c_nationkey % 4 IN (1, 2) AND contains(CAST(c_acctbal AS VARCHAR), '7') GROUP BY 1""")
+def browse_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose key holds a 1, with one of two labels, and whose display name holds a 7."""
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").select(F.col("c_mktsegment").alias("table_name"), F.col("c_name").alias("key"), F.lit("3").alias("type"), F.array((F.col("c_nationkey") % 4).cast("string")).alias("labels"), F.lit("w/t").alias("path"), F.col("c_acctbal").cast("string").alias("display_name"), (k % 5 == 0).alias("dirty"), (k % 35 == 0).alias("conflicted"), (F.col("c_acctbal") < 0).alias("error"))
+    return search.browse(c, "table_name", text="1 l:1 l:2", display="7")
+
+
 @query("""SELECT c_mktsegment AS table_name, count(*) AS n, CAST(count_if(c_custkey % 5 = 0) AS BIGINT) AS n_dirty, CAST(count_if(c_custkey % 35 = 0) AS BIGINT) AS n_conflicted, CAST(count_if(c_acctbal < 0) AS BIGINT) AS n_error FROM customer GROUP BY 1""")
 def browse(spark: SparkSession, d: str) -> DataFrame:
     c = t(spark, d, "customer").select(F.col("c_mktsegment").alias("table_name"), (F.col("c_custkey") % 5 == 0).alias("dirty"), (F.col("c_custkey") % 35 == 0).alias("conflicted"), (F.col("c_acctbal") < 0).alias("error"))
@@ -639,6 +650,46 @@ def triggers(spark: SparkSession, d: str) -> DataFrame:
     return stream.triggers(notices(spark, d), "1 hour")
 
 
+@query("""
+WITH n AS (
+  SELECT user_id % 10 AS path, date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS seq, event_id, event_id + CASE WHEN event_id % 5 = 0 THEN 1500 ELSE 0 END AS "at" FROM events),
+s AS (SELECT *, count(*) OVER g AS size, row_number() OVER (g ORDER BY event_id) AS row_no FROM n WINDOW g AS (PARTITION BY path, seq)),
+d AS (SELECT path, seq, max("at") AS "at" FROM s WHERE NOT (seq % 7 = 0 AND row_no = 2) GROUP BY path, seq HAVING count(*) = max(size))
+SELECT path, CAST(seq AS BIGINT) AS seq, "at", seq = max(seq) OVER (PARTITION BY path ORDER BY "at" RANGE UNBOUNDED PRECEDING) AS published FROM d""")
+def snapshot_order(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot a path and day, whose rows arrive late, not in order, or for some days never."""
+    at = F.col("event_id") + F.when(F.col("event_id") % 5 == 0, 1500).otherwise(0)
+    rows = t(spark, d, "events").select((F.col("user_id") % 10).alias("path"), F.datediff(F.to_date("ts"), F.lit("2020-01-01")).cast("long").alias("seq"), at.alias("at"), "event_id")
+    of = Window.partitionBy("path", "seq")
+    rows = rows.withColumn("size", F.count("*").over(of)).withColumn("row_no", F.row_number().over(of.orderBy("event_id")))
+    return stream.publication_order(rows.where("not (seq % 7 = 0 and row_no = 2)"))
+
+
+@query("""
+WITH p AS (
+  SELECT user_id AS path, event_id AS point, 1 << CAST(event_id % 4 AS INTEGER) AS flag, CASE row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 6 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS hold, event_id % 3 <> 0 AS ok FROM events),
+a AS (SELECT *, ok AND sum(hold) OVER (PARTITION BY path ORDER BY point) <= 0 AS able FROM p),
+r AS (SELECT *, coalesce(sum(CAST(able AS INTEGER)) OVER (PARTITION BY path ORDER BY point ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM a)
+SELECT path, max(point) AS point, CAST(bit_or(flag) AS INTEGER) AS flags FROM r GROUP BY path, run HAVING bool_or(able)""")
+def drained_triggers(spark: SparkSession, d: str) -> DataFrame:
+    """Publication points of which a third is refused, and batches of edits over every sixth to eighth."""
+    n = F.row_number().over(Window.partitionBy("path").orderBy("point")) % 6
+    points = notices(spark, d).select(F.col("path").cast("long").alias("path"), F.col("seq").alias("point"), "flag", (F.col("seq") % 3 != 0).alias("ok"))
+    return stream.drain_triggers(points.withColumn("hold", F.when(n == 1, 1).when(n == 3, -1).otherwise(0)))
+
+
+@query("""
+WITH n AS (SELECT event_id * 7919 % 1000003 AS node, event_id // 4096 AS g FROM events)
+SELECT node, min(node) OVER (PARTITION BY g) AS root FROM n""")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    """Events linked to the next one, in chains of 4,096 whose nodes are numbered without order."""
+    at = lambda x: x * 7919 % 1000003
+    e = t(spark, d, "events").select("event_id")
+    behind = e.where("(event_id + 1) % 4096 <> 0").select((F.col("event_id") + 1).alias("event_id"), F.col("event_id").alias("before"))
+    edges = e.join(behind, "event_id", "left")
+    return graph.components(edges.select(at(F.coalesce("before", "event_id")).alias("src"), at(F.col("event_id")).alias("dst")))
+
+
 # --- drafts and lookups
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
-from rowledger.operators import changes, drafts, identity, intake, migration, references, release, schema
+from rowledger.operators import changes, drafts, identity, intake, lint_graph, migration, references, release, schema
 from rowledger.project_queries import QUERIES, SQL
 from rowledger.project_queries import pick
 from rowledger.queries import dirty, guid, query, t
-from rowledger.registry import Format
+from rowledger.registry import Format, Registry
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -64,7 +64,7 @@ def cell_texts(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(state.isin("Defaulted", "Value"), x)
     revision = cells.parse_revision(F.when(k % 4 == 1, x).when(k % 4 == 2, F.concat(F.lit("-"), x)).when(k % 4 == 3, "4294967295"))
     found = cells.parse_identity(F.concat(F.when(k % 3 == 0, F.concat(F.lit(" +"), x)).when(k % 3 == 1, F.concat(x, F.lit(".0"))).otherwise(x), F.lit(":"), F.when(k % 5 == 0, F.lit("0" * 32)).otherwise(guid(5, k))))
-    rows = t(spark, d, "lineitem").where("l_partkey > 0 or l_partkey <= 0").withColumn("i", found)
+    rows = t(spark, d, "lineitem").withColumn("i", found)
     compared = cells.comparison_text(F.when(F.col("l_orderkey") % 5 != 0, x), F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("A"), x)))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", cells.display_value(state, text, x).alias("shown"), cells.write_cell(state, text).alias("written"), compared.alias("compared"), revision.alias("revision"), F.col("i").isNotNull().alias("identity_sound"), F.col("i.table_id").alias("table_id"), cells.valid_target(pick(F.col("l_linenumber"), "Client", "web-2")).alias("target_sound"))
 
@@ -478,3 +478,250 @@ def migration_states(spark: SparkSession, d: str) -> DataFrame:
     found = books.limit(0).select(F.lit("Converted").alias("outcome"))
     after = migration.migrated_workbooks(books, states, found, steps, "new")
     return states.join(after, "workbook_id").select("workbook_id", "action", "code", "schema_hash", F.array_join("markers", ",").alias("markers"), "revision")
+
+
+# --- lint across declarations: customers are types, orders are fields
+
+TARGETS = """
+WITH RECURSIVE ty AS (
+  SELECT c_custkey AS type, c_custkey % 2 = 0 AS live, CASE c_custkey % 4 WHEN 0 THEN ['client', 'server'] WHEN 1 THEN ['client'] WHEN 2 THEN ['server'] ELSE CAST([] AS VARCHAR[]) END AS targets FROM customer),
+f AS (
+  SELECT o_custkey AS type, o_orderkey AS field_id, CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey * 7 + o_orderkey) % 1500 + 1 END AS message, CASE WHEN o_orderkey % 3 = 1 THEN (o_custkey + o_orderkey) % 1500 + 1 END AS ref_table,
+    CASE o_orderkey % 7 WHEN 0 THEN ['client'] WHEN 1 THEN ['server'] WHEN 2 THEN CAST([] AS VARCHAR[]) END AS own FROM orders),
+s AS (
+  SELECT type, targets FROM ty WHERE live
+  UNION SELECT f.message, coalesce(f.own, s.targets) FROM s JOIN f USING (type) WHERE f.message IS NOT NULL)
+"""
+
+
+def nested_types(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    k, o, c = F.col("c_custkey"), F.col("o_orderkey"), F.col("o_custkey")
+    types = t(spark, d, "customer").select(k.alias("type"), (k % 2 == 0).alias("live"), F.when(k % 4 == 0, texts("client", "server")).when(k % 4 == 1, texts("client")).when(k % 4 == 2, texts("server")).otherwise(texts()).alias("targets"))
+    own = F.when(o % 7 == 0, texts("client")).when(o % 7 == 1, texts("server")).when(o % 7 == 2, texts())
+    fields = t(spark, d, "orders").select(c.alias("type"), o.alias("field_id"), F.when(o % 3 == 0, (c * 7 + o) % 1500 + 1).alias("message"), F.when(o % 3 == 1, (c + o) % 1500 + 1).alias("ref_table"), own.alias("targets"))
+    return types, fields
+
+
+@query(TARGETS + """
+, e AS (SELECT s.type, field_id, s.targets AS parent, own, coalesce(own, s.targets) AS shown, message, ref_table FROM s JOIN f USING (type)),
+m AS (
+  SELECT type, field_id, 'target.outside' AS rule, unnest(list_filter(own, lambda x: NOT list_contains(parent, x))) AS x FROM e WHERE own IS NOT NULL
+  UNION ALL SELECT e.type, field_id, 'struct.invisible', unnest(list_filter(shown, lambda x: NOT list_contains(ty.targets, x))) FROM e JOIN ty ON ty.type = message
+  UNION ALL SELECT e.type, field_id, 'ref.invisible', unnest(list_filter(shown, lambda x: NOT list_contains(ty.targets, x))) FROM e JOIN ty ON ty.type = ref_table)
+SELECT type, field_id, rule, string_agg(DISTINCT x, ',' ORDER BY x) AS missing FROM m GROUP BY 1, 2, 3""")
+def lint_visibility(spark: SparkSession, d: str) -> DataFrame:
+    return lint_graph.lint_visibility(*nested_types(spark, d))
+
+
+@query(TARGETS + "SELECT type, array_to_string(targets, ',') AS targets FROM s")
+def inherited_targets(spark: SparkSession, d: str) -> DataFrame:
+    return lint_graph.inherited_targets(*nested_types(spark, d)).select("type", F.array_join("targets", ",").alias("targets"))
+
+
+@query("""
+WITH RECURSIVE f AS (
+  SELECT o_custkey AS type, o_orderkey AS field_id, ['struct', 'list', 'structs', 'scalar', 'map', 'scalar', 'struct', 'scalar', 'scalar', 'scalar', 'scalar', 'scalar', 'scalar'][o_orderkey % 13 + 1] AS shape,
+    CASE WHEN o_orderkey % 13 IN (0, 2, 4, 6) THEN o_custkey + (o_orderkey // 13) % 40 - 4 END AS message, o_orderkey % 5 = 0 AS expand FROM orders),
+g AS (SELECT DISTINCT type, message FROM f WHERE message IS NOT NULL),
+r(a, b) AS (SELECT type, message FROM g UNION SELECT r.a, g.message FROM r JOIN g ON r.b = g.type),
+bumpy AS (SELECT type FROM f WHERE shape IN ('list', 'structs', 'map') OR (shape = 'struct' AND message IN (SELECT type FROM f))),
+steep AS (SELECT type FROM f WHERE shape IN ('structs', 'map') OR (shape = 'struct' AND message IN (SELECT type FROM bumpy)))
+SELECT type, field_id, 'struct.recursive' AS rule FROM f WHERE message = type OR EXISTS (SELECT 1 FROM r WHERE a = f.message AND b = f.type)
+UNION ALL SELECT type, field_id, 'struct.layers' FROM f WHERE shape = 'struct' AND NOT expand AND message IN (SELECT type FROM steep)""")
+def lint_structs(spark: SparkSession, d: str) -> DataFrame:
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    shape = pick(o, "struct", "list", "structs", "scalar", "map", "scalar", "struct", *["scalar"] * 6)
+    message = F.when((o % 13).isin(0, 2, 4, 6), c + F.floor(o / 13) % 40 - 4)
+    return lint_graph.lint_structs(t(spark, d, "orders").select(c.alias("type"), o.alias("field_id"), shape.alias("shape"), message.alias("message"), (o % 5 == 0).alias("expand")))
+
+
+FIELDS = """
+WITH f AS (
+  SELECT p_partkey // 8 AS type, p_partkey % 8 AS field_id, p_name AS name, ['string', 'int32', 'bool', 'double', 'string'][p_partkey % 5 + 1] AS kind, ['scalar', 'scalar', 'list', 'structs', 'scalar', 'scalar', 'structs'][p_partkey % 7 + 1] AS shape,
+    CASE WHEN p_partkey % 7 IN (3, 6) THEN p_partkey % 229 END AS message, CASE WHEN p_partkey % 17 = 0 THEN 'o' END AS oneof, p_size AS n, p_partkey AS k FROM part),
+x AS (
+  SELECT *, CASE WHEN k % 4 = 0 THEN ['bool', 'int', 'float', 'date'][n % 4 + 1] END AS result, CASE WHEN k % 3 <> 0 THEN k % 300 END AS symbols_type, CASE WHEN k % 7 IN (0, 3, 6) THEN n % 9 END AS weight_field, CASE WHEN k % 2 = 0 THEN n % 5 END AS condition_field FROM f)
+"""
+
+
+def declared_fields(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("p_partkey"), F.col("p_size")
+    return t(spark, d, "part").select(
+        F.floor(k / 8).alias("type"), (k % 8).alias("field_id"), F.col("p_name").alias("name"), pick(k, "string", "int32", "bool", "double", "string").alias("kind"), pick(k, "scalar", "scalar", "list", "structs", "scalar", "scalar", "structs").alias("shape"),
+        F.when((k % 7).isin(3, 6), k % 229).alias("message"), F.when(k % 17 == 0, "o").alias("oneof"), F.when(k % 4 == 0, pick(n, "bool", "int", "float", "date")).alias("result"), F.when(k % 3 != 0, k % 300).alias("symbols_type"),
+        F.when((k % 7).isin(0, 3, 6), (n % 9).cast("long")).alias("weight_field"), F.when(k % 2 == 0, (n % 5).cast("long")).alias("condition_field"),
+    )
+
+
+@query(FIELDS + """
+, ty AS (SELECT DISTINCT type FROM f)
+SELECT type, field_id, 'expression.shape' AS rule, NULL AS symbol FROM x WHERE result IS NOT NULL AND (shape <> 'scalar' OR kind <> 'string')
+UNION ALL SELECT type, field_id, 'expression.symbols', NULL FROM x WHERE result IS NOT NULL AND coalesce(symbols_type NOT IN (SELECT type FROM ty), true)
+UNION ALL SELECT type, field_id, 'expression.result', NULL FROM x WHERE result = 'date'
+UNION ALL SELECT x.type, x.field_id, 'expression.composite', s.name FROM x JOIN f s ON s.type = x.symbols_type WHERE x.result IS NOT NULL AND (s.shape <> 'scalar' OR s.message IS NOT NULL OR s.oneof IS NOT NULL)""")
+def lint_expressions(spark: SparkSession, d: str) -> DataFrame:
+    fields = declared_fields(spark, d)
+    return lint_graph.lint_expressions(fields, fields.select("type").distinct())
+
+
+@query(FIELDS + """
+, w AS (SELECT *, shape = 'structs' AND message IS NOT NULL AS lists FROM x WHERE weight_field IS NOT NULL)
+SELECT type, field_id, 'weighted.shape' AS rule FROM w WHERE NOT lists
+UNION ALL SELECT type, field_id, 'weighted.weight' FROM w WHERE lists AND NOT EXISTS (SELECT 1 FROM x e WHERE e.type = w.message AND e.field_id = w.weight_field AND e.field_id > 0 AND e.shape = 'scalar' AND e.kind IN ('int32', 'double'))
+UNION ALL SELECT type, field_id, 'weighted.condition' FROM w WHERE lists AND condition_field <> 0
+  AND NOT EXISTS (SELECT 1 FROM x e WHERE e.type = w.message AND e.field_id = w.condition_field AND (e.result = 'bool' OR (e.shape = 'scalar' AND e.kind = 'bool')))""")
+def lint_weights(spark: SparkSession, d: str) -> DataFrame:
+    return lint_graph.lint_weights(declared_fields(spark, d))
+
+
+@query("""
+WITH w AS (
+  SELECT p_partkey AS type, CAST(NULL AS BIGINT) AS field_id, 'validator' AS kind, unnest([p_brand, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE 'r' || p_size END]) AS name FROM part
+  UNION SELECT p_size, p_partkey, 'codec', p_type FROM part WHERE p_partkey % 3 = 0)
+SELECT DISTINCT * FROM w WHERE trim(name) <> '' AND (kind, name) NOT IN (SELECT 'validator', 'r' || n_nationkey FROM nation) AND (kind, name) NOT IN (SELECT 'codec', min(p_type) FROM part)""")
+def lint_registrations(spark: SparkSession, d: str) -> DataFrame:
+    p, k = t(spark, d, "part"), F.col("p_partkey")
+    types = p.select(k.alias("type"), F.array("p_brand", F.when(k % 2 == 0, " ").otherwise(F.concat(F.lit("r"), "p_size"))).alias("validators"))
+    fields = p.select(F.col("p_size").cast("long").alias("type"), k.alias("field_id"), F.when(k % 3 == 0, F.col("p_type")).alias("codec"))
+    known = t(spark, d, "nation").select(F.lit("validator").alias("kind"), F.concat(F.lit("r"), "n_nationkey").alias("name")).union(p.agg(F.lit("codec"), F.min("p_type")))
+    return lint_graph.lint_registrations(types, fields, known)
+
+
+# --- cells of composite fields, formats both ways, and rows that repeat
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'Missing' WHEN o_orderkey % 11 = 0 THEN 'Null' WHEN o_orderkey % 5 = 0 THEN 'Invalid' ELSE 'Value' END AS state,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN '[' || o_custkey || ',"' || o_orderstatus || '",null]' ELSE '{"a":{"x":' || o_orderkey || ',"y":[]},"b":"' || o_orderstatus || '"}' END AS text,
+  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'cell.unparseable' END AS error FROM orders""")
+def json_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Lists and structs without a format, their members in any order and with white space."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    listed = F.concat(F.lit(" [ "), F.col("o_custkey").cast("string"), F.lit(' , "'), s, F.lit('" , null ]'))
+    made = F.concat(F.lit('{ "b" : "'), s, F.lit('", "a": {"y": [ ], "x": '), k.cast("string"), F.lit("} }"))
+    x = F.when(k % 7 == 0, "").when(k % 11 == 0, "~").when(k % 5 == 0, F.concat(F.lit("{"), s)).when(k % 2 == 0, listed).otherwise(made)
+    rows = t(spark, d, "orders").select("o_orderkey", x.alias("x"))
+    parsed = cells.parse_columns(rows, {"c": (F.col("x"), None, Field(1, "c", shape="structs"))})
+    return parsed.select("o_orderkey", "c.state", "c.text", "c.error")
+
+
+@query("""
+WITH c AS (
+  SELECT c_custkey, c_custkey % 7 = 0 AS none, CASE WHEN c_custkey % 3 = 0 THEN 'seg' || c_nationkey ELSE c_mktsegment END AS s, ['red', 'blue', '3', 'pink'][c_custkey % 4 + 1] AS e FROM customer)
+SELECT c_custkey, CASE WHEN none THEN 'Missing' WHEN NOT regexp_matches(s, '^[A-Z]+$') THEN 'Invalid' ELSE 'Value' END AS segment, CASE WHEN NOT none AND NOT regexp_matches(s, '^[A-Z]+$') THEN 'cell.regex' END AS segment_error,
+  CASE WHEN none THEN 'Missing' WHEN e = 'pink' THEN 'Invalid' ELSE 'Value' END AS colour, CASE WHEN NOT none AND e = 'pink' THEN 'cell.enum' END AS colour_error FROM c""")
+def declared_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a field with a pattern, and of an enum by names and numbers."""
+    k = F.col("c_custkey")
+    segment = F.when(k % 7 == 0, "").when(k % 3 == 0, F.concat(F.lit("seg"), F.col("c_nationkey").cast("string"))).otherwise(F.col("c_mktsegment"))
+    rows = t(spark, d, "customer").select(k, segment.alias("s"), F.when(k % 7 == 0, "").otherwise(pick(k, "red", "blue", "3", "pink")).alias("e"))
+    parsed = cells.parse_columns(rows, {"a": (F.col("s"), None, Field(1, "s", regex="^[A-Z]+$")), "b": (F.col("e"), None, Field(2, "e", enum=(("red", 1), ("blue", 2), ("green", 3))))})
+    return parsed.select("c_custkey", F.col("a.state").alias("segment"), F.col("a.error").alias("segment_error"), F.col("b.state").alias("colour"), F.col("b.error").alias("colour_error"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '~' WHEN 2 THEN NULL ELSE '#' || c_name END AS hashed, CASE c_custkey % 5 WHEN 2 THEN 'cell.unwritable' END AS hashed_error,
+  CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey || ';' || c_custkey END AS listed, CASE WHEN c_custkey % 4 = 0 THEN 'cell.unwritable' END AS listed_error FROM customer""")
+def written_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Values written through the format that their field declares; what a format cannot write is an error."""
+    k = F.col("c_custkey")
+    json = F.when(k % 4 == 0, F.lit("no list")).otherwise(F.concat(F.lit('["'), F.col("c_nationkey").cast("string"), F.lit('","'), k.cast("string"), F.lit('"]')))
+    rows = t(spark, d, "customer").select(k, pick(k, "Missing", "Null", "Invalid", "Value", "Defaulted").alias("state"), F.col("c_name").alias("name"), json.alias("json"))
+    listed = Format(lambda x: F.to_json(cells.parse_join_list(x, ";", "string")), lambda x: cells.write_join_list(F.from_json(F.when(x.startswith("["), x), "array<string>"), ";"))
+    out = cells.write_columns(rows, {"a": (F.col("state"), F.col("name"), Field(1, "a", format="hash")), "b": (F.lit("Value"), F.col("json"), Field(2, "b", format="list"))}, FORMATS | {"list": listed})
+    return out.select("c_custkey", F.col("a.text").alias("hashed"), F.col("a.error").alias("hashed_error"), F.col("b.text").alias("listed"), F.col("b.error").alias("listed_error"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderkey % 9 AS m FROM orders)
+SELECT k, CASE WHEN m NOT IN (1, 2) THEN 'b=' || c || ';k' || k || '=1' END AS plain, CASE WHEN m NOT IN (3, 4, 5) THEN CASE WHEN m = 6 THEN 'x=7' WHEN m = 7 THEN 'x=7,' || s ELSE 'x=' || c || ',' || s || ';y=1' END END AS structs,
+  CASE WHEN m NOT IN (3, 5, 8) THEN CASE WHEN m = 7 THEN 'x=s:' || s ELSE 'x=n:' || c || ',s:' || s END END AS named FROM o""")
+def named_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of numbers, of structs by position, and of structs by name, read and written again; refused where they break a rule."""
+    k, c, s = (F.col(x) for x in ("k", "c", "s"))
+    m = k % 9
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("c"), F.col("o_orderstatus").alias("s"))
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    plain = F.when(m == 1, text("k=1;k=", c)).when(m == 2, text("k=1;b")).otherwise(text("k", k, "=1; ;b=", c))
+    structs = F.when(m == 3, text("x=a,", s)).when(m == 4, text("x=1,", s, ",3")).when(m == 5, text("x=1;x=2")).when(m == 6, text("x=7,")).when(m == 7, text("x= 7 ,", s)).otherwise(text("y=1;x=", c, ",", s))
+    named = F.when(m == 3, text('x="n:a,s:', s, '"')).when(m == 5, text("x=q:1")).when(m == 7, text("x=s:", s)).when(m == 8, text("x=n:1,n:2")).otherwise(text('x="s:', s, ",n:", c, '"'))
+    fields = {"n": "int64", "s": "string"}
+    a = cells.parse_named_map(plain, ";", "=", "string", "int64")
+    b = cells.parse_named_map(structs, ";", "=", value_kind=fields, field=",")
+    e = cells.parse_named_map(named, ";", "=", value_kind=fields, field=",", name=":")
+    rows = rows.select("k", a.alias("a"), b.alias("b"), e.alias("e"))
+    return rows.select("k", cells.write_named_map(F.col("a"), ";", "=").alias("plain"), cells.write_named_map(F.col("b"), ";", "=", list(fields), ",").alias("structs"), cells.write_named_map(F.col("e"), ";", "=", list(fields), ",", ":").alias("named"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS place FROM lineitem)
+SELECT count(*) AS n, CAST(count_if(keys > 1) AS BIGINT) AS keys, CAST(count_if(codes > 1) AS BIGINT) AS codes, CAST(count_if(s % 5 = 0 AND n = 3) AS BIGINT) AS oneofs, CAST(count_if(n > 6) AS BIGINT) AS validators,
+  CAST(count_if(keys = 1 AND codes = 1 AND NOT (s % 5 = 0 AND n = 3) AND n <= 6) AS BIGINT) AS indexable
+FROM (SELECT *, count(*) OVER (PARTITION BY k, n) AS keys, count(*) OVER (PARTITION BY p, s) AS codes FROM r)""")
+def indexable_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by what makes them unfit: a key or a unique code that repeats, two variants of a group, a rule of their table."""
+    cell = lambda text: F.struct(text.cast("string").alias("text"), F.lit(None).cast("string").alias("formula"))
+    pair = lambda name, text: F.struct(F.lit(name).alias("key"), cell(text).alias("value"))
+    left = F.when((F.col("l_suppkey") % 5 == 0) | (F.col("l_linenumber") != 3), "1")
+    entries = F.array(pair("order", F.col("l_orderkey")), pair("line", F.col("l_linenumber")), pair("code", F.concat_ws("-", "l_partkey", "l_suppkey")), pair("left", left), pair("right", F.when(F.col("l_linenumber") == 3, "2")))
+    rows = t(spark, d, "lineitem").select(F.lit("w").alias("path"), F.lit("lines").alias("sheet"), F.monotonically_increasing_id().alias("row_number"), F.lit(None).cast("string").alias("raw_guid"), F.lit(None).cast("string").alias("raw_revision"), F.map_from_entries(entries).alias("cells"))
+    fields = (Field(1, "order", "int64", key_order=1), Field(2, "line", "int32", key_order=2), Field(3, "code", unique=True), Field(4, "left", oneof="side"), Field(5, "right", oneof="side"))
+    rules = Registry()
+    rules.add("short", lambda: F.try_element_at("cells", F.lit("line")).cast("int") <= 6)
+    catalog = Catalog((Table(7, "lines", fields, validators=("short",)),))
+    parsed = intake.with_indexable(intake.parse_tables(rows, catalog).checkpoint(), catalog, rules)
+    has = lambda code: F.exists("findings", lambda f: f["code"] == code)
+    return parsed.agg(F.count("*").alias("n"), *[F.count_if(has(c)).alias(name) for name, c in (("keys", "key.duplicate"), ("codes", "field.duplicate"), ("oneofs", "oneof.side"), ("validators", "validator.short"))], F.count_if("indexable").alias("indexable"))
+
+
+@query("""
+WITH k AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 37 = 0 THEN 2 WHEN c_custkey % 29 = 0 THEN 0 ELSE 1 END AS n FROM customer)
+SELECT 3 AS table_id, md5('3:' || c) AS row_guid, CAST(c AS VARCHAR) AS key, 'Removed' AS status FROM k WHERE n <> 1""")
+def removed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Known customers of which a scan sees none (every 29th) or two under one identity (every 37th)."""
+    k = F.col("c_custkey")
+    known = t(spark, d, "customer").select(F.lit(3).alias("table_id"), guid(3, k).alias("row_guid"), k.cast("string").alias("key"), k)
+    seen = known.where("c_custkey % 29 <> 0 or c_custkey % 37 = 0").union(known.where("c_custkey % 37 = 0"))
+    rows = seen.select(F.monotonically_increasing_id().alias("row_no"), "table_id", F.col("row_guid").alias("raw_guid"), "key")
+    return identity.removed(identity.scan(rows, known), known)
+
+
+@query("""
+SELECT 'w' || (o_orderkey % 5) AS workbook_id, 6 AS table_id, CAST(o_orderkey AS VARCHAR) AS row_guid, CASE WHEN o_orderstatus = 'F' THEN 'Skipped' ELSE 'Converted' END AS outcome, o_orderstatus || '!' AS value, CAST(0 AS BIGINT) AS undetermined FROM orders""")
+def checked_migration(spark: SparkSession, d: str) -> DataFrame:
+    """A step that has nothing to do where a status is final, evaluated twice."""
+    k = F.col("o_orderkey")
+    rows = t(spark, d, "orders").select(F.concat(F.lit("w"), (k % 5).cast("string")).alias("workbook_id"), F.lit(6).alias("table_id"), k.cast("string").alias("row_guid"), F.lit("status").alias("field_path"), F.lit("Value").alias("state"), F.col("o_orderstatus").alias("text"))
+    steps = [migration.Step(1, "mark", 6, "status", "marked", lambda x: F.concat(x, F.lit("!")), skips=lambda x: x == "F")]
+    found = migration.outcomes(rows, steps).checkpoint()
+    n = migration.undetermined(rows, found, steps).count()
+    return found.select("workbook_id", "table_id", "row_guid", "outcome", "value", F.lit(n).cast("long").alias("undetermined"))
+
+
+@query("""
+WITH o AS (
+  SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_custkey % 20 = 19 THEN 'b3' ELSE 'b' || (o_custkey % 20) END AS book, CASE WHEN o_orderkey % 50 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS id FROM orders WHERE o_custkey % 20 <> 3),
+f AS (
+  SELECT 'sources' AS step, 'b3' AS workbook_id, 'workbook.duplicate' AS code, 3 AS severity
+  UNION ALL SELECT 'identities', book, 'identity.invalid', 3 FROM o WHERE k % 31 = 0
+  UNION ALL SELECT 'cells', 'b' || (c_custkey % 20), 'key.missing', 2 FROM customer WHERE c_custkey % 10 = 0
+  UNION ALL SELECT 'keys', book, 'key.duplicate', 2 FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM o) WHERE n > 1
+  UNION ALL SELECT 'references', book, CASE WHEN k % 17 = 0 THEN 'ref.malformed' ELSE 'ref.unresolved' END, 3 FROM o WHERE k % 17 = 0 OR c % 10 = 0)
+SELECT step, workbook_id, code, severity, count(*) AS n FROM f GROUP BY 1, 2, 3, 4""")
+def project_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Customers and orders as the sheets of twenty workbooks, two of which have one identity."""
+    c, o, k = F.col("c_custkey"), F.col("o_custkey"), F.col("o_orderkey")
+    text = lambda x: x.cast("string")
+    cell = lambda name, x: F.struct(F.lit(name).alias("key"), F.struct(x.alias("text"), F.lit(None).cast("string").alias("formula")).alias("value"))
+    none = F.lit(None).cast("string").alias("raw_revision")
+    at = lambda x: F.concat(F.lit("w"), text(x % 20)).alias("path")
+    customers = t(spark, d, "customer").select(at(c), F.lit("customers").alias("sheet"), c.alias("row_number"), guid(3, c).alias("raw_guid"), none, F.map_from_entries(F.array(cell("id", F.when(c % 10 == 0, "").otherwise(text(c))))).alias("cells"))
+    own = F.when(k % 31 == 0, "bad").when(k % 29 == 0, "").otherwise(guid(6, k))
+    tokens = F.when(k % 17 == 0, "x").otherwise(F.concat(F.lit("3:"), text(o)))
+    orders = t(spark, d, "orders").select(at(o), F.lit("orders"), k, own, none, F.map_from_entries(F.array(cell("id", text(F.when(k % 50 == 1, k - 1).otherwise(k))), cell("customer", tokens))))
+    rows = customers.union(orders)
+    catalog = Catalog((Table(3, "customers", (Field(1, "id", "int64", key_order=1),)), Table(6, "orders", (Field(1, "id", "int64", key_order=1), Field(2, "customer", ref_table=3)))))
+    books = t(spark, d, "customer").select(at(c), F.concat(F.lit("b"), text(F.when(c % 20 == 19, 3).otherwise(c % 20))).alias("workbook_id")).distinct()
+    known = t(spark, d, "customer").select(F.lit(3).alias("table_id"), guid(3, c).alias("row_guid"), cells.encode_key(text(c)).alias("key"))
+    return intake.run_checks(books, rows, intake.parse_tables(rows, catalog), known, catalog)
