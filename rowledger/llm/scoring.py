@@ -45,7 +45,7 @@ class Settings:
     folds: int = 10
     #: The remainder of crc32 whose training rows the weights are learned on.
     deleted: int = 1
-    block_tokens: int = 1 << 20
+    block_tokens: int = 1 << 19
     #: Distinct n-grams of blocks that a range of hashes holds on average.
     range_grams: int = 1 << 20
     #: Expectation-maximisation ends after so many rounds, or when the log likelihood rises by less than this share.
