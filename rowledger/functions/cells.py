@@ -137,6 +137,11 @@ def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Colu
     ]
 
 
+#: Rows of more cells than this are not parsed in one generated method with the rest of their stage: the JVM never compiles
+#: methods of more than 8,000 bytes of byte code. A lambda in a projection keeps it a stage of its own, whose code Spark
+#: cuts into small methods.
+WIDE = 4
+
 PARSED = ("state", "text", "raw_state", "raw_text", "error")
 
 
@@ -174,7 +179,11 @@ def parse_columns(rows: DataFrame, cells: dict[str, tuple[Column, Column | None,
     part = lambda name, p: f"__{name}__{p}"
     plans = {n: _steps(text, none if formula is None else formula, field, lambda p, n=n: F.col(part(n, p)), formats) for n, (text, formula, field) in cells.items()}
     for i in range(max(map(len, plans.values()), default=0)):
-        rows = rows.withColumns({part(n, p): c for n, steps in plans.items() for p, c in (steps[i].items() if i < len(steps) else ())})
+        made = {part(n, p): c for n, steps in plans.items() for p, c in (steps[i].items() if i < len(steps) else ())}
+        if len(cells) > WIDE:
+            first = next(iter(made))
+            made[first] = let(made[first], lambda x: x)
+        rows = rows.withColumns(made)
     made = [F.struct(*[F.col(part(n, p)).alias(p) for p in (*PARSED, "legacy")]).alias(n) for n in cells]
     return rows.select(*[c for c in kept if c not in cells], *made)
 

@@ -69,6 +69,25 @@ def missing_sheets(observed: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(observed.select("workbook_id", "table_id"), ["workbook_id", "table_id"], "left_anti").withColumn("code", F.lit("sheet.missing")).withColumn("severity", F.lit(2))
 
 
+def metadata_drift(observed: DataFrame) -> DataFrame:
+    """(workbook_id, table_id, code, severity) of sheets whose metadata is there (has_metadata) but does not say what it has to: no hash
+    of 16 hexadecimal digits, or another table's id (meta_hash, meta_table)."""
+    sound = F.coalesce(F.col("meta_hash").rlike(r"^[0-9a-f]{16}\z") & (F.col("meta_table") == F.col("table_id")), F.lit(False))
+    return observed.where(F.coalesce("has_metadata", F.lit(False)) & ~sound).select("workbook_id", "table_id", F.lit("metadata.invalid").alias("code"), F.lit(2).alias("severity"))
+
+
+def child_drift(sheets: DataFrame, children: DataFrame) -> DataFrame:
+    """(workbook_id, table_id, sheet, code, severity) of child sheets: one that a table declares (table_id, sheet) and a workbook with
+    that table (sheets: workbook_id, table_id, sheet; table_id null for a child sheet) lacks is an error, and one whose table
+    the workbook does not hold an info."""
+    own = sheets.where("table_id is not null").select("workbook_id", "table_id").distinct()
+    there = sheets.where("table_id is null").select("workbook_id", "sheet").distinct()
+    wanted = own.join(children.select("table_id", "sheet").distinct(), "table_id")
+    missing = wanted.join(there, ["workbook_id", "sheet"], "left_anti").select("workbook_id", "table_id", "sheet", F.lit("child_sheet.missing").alias("code"), F.lit(2).alias("severity"))
+    orphans = there.join(children.select("table_id", "sheet").distinct(), "sheet").join(own, ["workbook_id", "table_id"], "left_anti")
+    return missing.union(orphans.select("workbook_id", "table_id", "sheet", F.lit("child_sheet.orphan"), F.lit(0)))
+
+
 def project_to_schema(cells: DataFrame, old: DataFrame, new: DataFrame, purge: bool = False) -> DataFrame:
     """cells (table_id, row_guid, property_path, text) moved from the old layout to the new one.
 

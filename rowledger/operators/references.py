@@ -104,7 +104,14 @@ def localize(rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bind_external(rows: DataFrame, families: DataFrame) -> DataFrame:
-    """rows (family, token, ...) with value and error; families (family, token, value)."""
+    """rows (family, token, ...) with value and error; families (family, token, value). If families say how they write a value
+    (canonical), it must be read back as the same value, or the token is an error."""
     known = families.select("family").distinct().withColumn("_f", F.lit(True))
     out = rows.withColumn("token", F.trim("token")).join(known, "family", "left").join(families, ["family", "token"], "left")
-    return out.withColumn("error", F.when(F.col("_f").isNull(), "external.family").when(F.coalesce("token", F.lit("")) == "", "external.empty").when(F.col("value").isNull(), "external.unregistered")).drop("_f")
+    lost = F.lit(False)
+    if "canonical" in families.columns:
+        back = families.select("family", F.col("token").alias("canonical"), F.col("value").alias("_back"))
+        out = out.join(back, ["family", "canonical"], "left")
+        lost = ~F.col("_back").eqNullSafe(F.col("value"))
+    error = F.when(F.col("_f").isNull(), "external.family").when(F.coalesce("token", F.lit("")) == "", "external.empty").when(F.col("value").isNull(), "external.unregistered").when(lost, "external.round_trip")
+    return out.withColumn("error", error).drop("_f", "_back", "canonical")

@@ -66,6 +66,25 @@ def layout_drift(spark: SparkSession, d: str) -> DataFrame:
     return layout.layout_drift(observed, declared).union(layout.missing_sheets(observed, wanted))
 
 
+@query("""
+WITH o AS (SELECT c_custkey AS k, c_nationkey AS n FROM customer),
+s AS (SELECT DISTINCT k % 40 AS w, n FROM o WHERE k % 3 <> 0), c AS (SELECT DISTINCT k % 40 AS w, 'child' || n AS sheet, n FROM o WHERE k % 3 = 0)
+SELECT k AS workbook_id, CAST(n AS BIGINT) AS table_id, '' AS sheet, 'metadata.invalid' AS code, 2 AS severity FROM o WHERE k % 7 <> 0 AND (k % 5 = 0 OR k % 6 = 0)
+UNION ALL SELECT w, n, 'child' || n, 'child_sheet.missing', 2 FROM s WHERE n % 2 = 0 AND (w, 'child' || n) NOT IN (SELECT w, sheet FROM c)
+UNION ALL SELECT w, n, sheet, 'child_sheet.orphan', 0 FROM c WHERE n % 2 = 0 AND (w, n) NOT IN (SELECT w, n FROM s)""")
+def sheet_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata that says something else, and child sheets of even tables in forty workbooks."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("bigint")
+    c = t(spark, d, "customer")
+    digits = F.substring(F.md5(k.cast("string").cast("binary")), 1, 16)
+    observed = c.select(k.alias("workbook_id"), n.alias("table_id"), (k % 7 != 0).alias("has_metadata"), F.when(k % 5 == 0, "0x12").otherwise(digits).alias("meta_hash"), F.when(k % 6 == 0, n + 1).otherwise(n).alias("meta_table"))
+    child = F.concat(F.lit("child"), n.cast("string"))
+    sheets = c.select((k % 40).alias("workbook_id"), F.when(k % 3 != 0, n).alias("table_id"), F.when(k % 3 == 0, child).otherwise(F.lit("main")).alias("sheet"))
+    children = t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("bigint").alias("table_id"), F.concat(F.lit("child"), F.col("n_nationkey").cast("string")).alias("sheet"))
+    bad = layout.metadata_drift(observed)
+    return bad.select("workbook_id", "table_id", F.lit("").alias("sheet"), "code", "severity").union(layout.child_drift(sheets, children))
+
+
 def moved_cells(spark: SparkSession, d: str, purge: bool) -> DataFrame:
     """Tables 0 to 9 of customers: `name` keeps its path, `bal` becomes `balance` by number, `seg` leaves; table 9 is not in the new schema."""
     c = t(spark, d, "customer")

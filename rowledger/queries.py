@@ -206,6 +206,18 @@ def bind_external(spark: SparkSession, d: str) -> DataFrame:
     return references.bind_external(rows, families).select("c_custkey", "error", "value")
 
 
+@query("""
+SELECT c_custkey, CASE WHEN n_regionkey IN (2, 3) THEN 'external.round_trip' END AS error, c_nationkey AS value FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def external_round_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Nations by name and by number; those of two regions are written as names that nothing or another nation has."""
+    nation, n = t(spark, d, "nation"), F.col("n_nationkey")
+    written = F.when(F.col("n_regionkey") == 2, F.lit("7?")).when(F.col("n_regionkey") == 3, (n + 1000).cast("string")).otherwise(F.col("n_name"))
+    names = nation.select(F.lit("nation").alias("family"), F.explode(F.array("n_name", n.cast("string"))).alias("token"), n.alias("value"), written.alias("canonical"))
+    other = nation.where("n_regionkey = 3").select(F.lit("nation"), (n + 1000).cast("string"), n + 1, F.lit("x"))
+    rows = t(spark, d, "customer").select("c_custkey", F.lit("nation").alias("family"), F.col("c_nationkey").cast("string").alias("token"))
+    return references.bind_external(rows, names.union(other)).select("c_custkey", "error", "value")
+
+
 # --- versions
 
 

@@ -724,4 +724,4 @@ def project_checks(spark: SparkSession, d: str) -> DataFrame:
     catalog = Catalog((Table(3, "customers", (Field(1, "id", "int64", key_order=1),)), Table(6, "orders", (Field(1, "id", "int64", key_order=1), Field(2, "customer", ref_table=3)))))
     books = t(spark, d, "customer").select(at(c), F.concat(F.lit("b"), text(F.when(c % 20 == 19, 3).otherwise(c % 20))).alias("workbook_id")).distinct()
     known = t(spark, d, "customer").select(F.lit(3).alias("table_id"), guid(3, c).alias("row_guid"), cells.encode_key(text(c)).alias("key"))
-    return intake.run_checks(books, rows, intake.parse_tables(rows, catalog), known, catalog)
+    return intake.run_checks(books, rows, intake.parse_tables(rows, catalog).checkpoint(), known, catalog)
