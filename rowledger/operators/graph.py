@@ -76,7 +76,10 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df as a table in the shared folder of spark.checkpoint.dir, and its path. Unlike checkpoint() it brings its real size and no
     constraints along, which would double from one round to the next; and the caller can delete it when it is done."""
     spark = df.sparkSession
-    path = f"{spark.sparkContext.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{folder}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

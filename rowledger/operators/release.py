@@ -69,7 +69,8 @@ def assemble(rows: DataFrame, values: DataFrame, catalog: Catalog, target: str)
     name = F.concat_ws(".", F.col("table_id").cast("string"), F.col("field").cast("string"))
     eligible = fields.where("ref_table is not null").join(sheets.select(F.col("table_id").alias("ref_table")), "ref_table").select(name.alias("field"), F.col("ref_table").alias("table_id"))
     refs = found.where("ref_table is not null").select("table_id", "row_guid", "key", "path", F.col("field").alias("number"), "property_path", name.alias("field"), F.col("text").alias("token"))
-    resolved = references.resolve_tokens(refs, live.select("table_id", "key", "row_guid"), eligible)
+    # Records, dependencies and blockers all read it, so it is written once.
+    resolved = references.resolve_tokens(refs, live.select("table_id", "key", "row_guid"), eligible).checkpoint()
     to = F.concat(F.col("dst_table").cast("string"), F.lit(":"), "dst_guid")
     plain = found.where("ref_table is null").select("table_id", "row_guid", "key", "path", "field", F.col("text").alias("value"))
     records = plain.union(resolved.where("error is null").select("table_id", "row_guid", "key", "path", "number", to))
