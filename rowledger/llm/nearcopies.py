@@ -6,12 +6,21 @@ the first by text. Words are as in `simhash`; a text of fewer words than a shing
 have the empty set and are copies of each other. All columns are kept; an empty table gives an empty result.
 
 Method. Equal sets collapse first. A set's BANDS keys each hash BAND_ROWS minimum hashes of it; sets at similarity s share no
-key with probability (1 - s^4)^28: 4e-7 at 0.8 and less above. The sets that share a key meet in one place, cut into
-cells of bounded size: each pair of cells is one group of rows, so neither a key nor a task grows with a group of copies.
-There a pair is looked at in three steps: the pigeonring filter on the SimHashes of the sets (from some segment on, every
-chain of CHAIN segments differs in at most its share of BITS bits), the full Hamming check, and the comparison of the whole
-sets, so that no pair below the bound is linked. BITS is wide: sets at similarity 0.8 differ in 10 of 64 bits on average,
-in more than 24 with a probability of about 1e-6. Of a group only the links that join what is not joined yet are told.
+key with probability (1 - s^4)^28: 4e-7 at 0.8 and less above. The sets that share a key meet in one place, and of a group only
+the links that join what is not joined yet are told. A pair is looked at in three steps: the pigeonring filter on the
+SimHashes of the sets (from some segment on, every chain of CHAIN segments differs in at most its share of BITS bits), the
+full Hamming check, and the comparison of the whole sets, so that no pair below the bound is linked. BITS is wide: sets of
+FEW shingles or more at similarity 0.8 differ in 10 of 64 bits on average, in more than 24 with a probability of 4e-7 to
+4e-6, by their sizes; smaller ones in more (four of five in common: 1.2e-4), so they skip the filter.
+
+A crowded key, of more sets or shingles than a cell holds, is cut into cells by a hash of key and set, and each set is sent
+to its own cell only: rows grow with the sets, never with their square. As each key deals anew, a few of them join all of
+a group of copies. Crowded keys whose sets are not all joined by then hold texts that have some passages in common: there
+prefixes propose the pairs. In an order of shingles from rare to frequent, two sets at 0.8 have their first common shingle
+among the first fifth of each, and its places leave room for as many common ones as they need; both are exact bounds. Rare
+ones come first, so what a crowd has in common stands outside of its prefixes. The order needs no exact counts: it goes by
+those of ORDER_BUCKETS buckets of shingles, a table of fixed size.
+
 The first bands link most copies; of the others only keys are looked at whose sets are not all connected by then.
 """
 
@@ -22,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowledger.llm.common import connected_components, materialize, plus, shielded
@@ -33,10 +42,14 @@ SHINGLE, BANDS, BAND_ROWS = 5, 28, 4
 NEAR = (4, 5)
 #: Bands of the first round, and what a cell holds: sets, and shingles of all of them, on average.
 FIRST_BANDS, CELL_SETS, CELL_SHINGLES = 4, 1_024, 1 << 20
+#: Crowded keys: buckets of the order of shingles, and what a cell of a prefix's shingle holds.
+ORDER_BUCKETS, CELL_ROWS = 1 << 18, 4_096
 #: Bytes of a shingle's hash that are kept for the comparison.
 HASH_BYTES = 6
 #: SimHash: bits that may differ, ring segments, and segments of a chain.
 BITS, SEGMENTS, CHAIN = 24, 8, 4
+#: Sets of fewer shingles skip the SimHash.
+FEW = 8
 
 _DRAW = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 XOR, TIMES = _DRAW[0], _DRAW[1] | np.uint64(1)
@@ -122,9 +135,19 @@ def ring_passes(diff: np.ndarray) -> np.ndarray:
     return fits.any(0) & (d.sum(0) <= BITS)
 
 
-def joined(ids: list[int], roots: list[int], side: list[int], prints: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (a, b) of one group that join sets not joined yet. side: 0 and 1 in a group of two cells, whose own pairs are
-    another group's; all 0 in a group of one."""
+def fitting(sizes: np.ndarray, bits: np.ndarray, i: int) -> np.ndarray:
+    """Which of the sets before i can be near it by size and SimHash."""
+    fewer = np.minimum(sizes[:i], sizes[i])
+    return (fewer * NEAR[1] >= np.maximum(sizes[:i], sizes[i]) * NEAR[0]) & ((fewer < FEW) | ring_passes(bits[:i] ^ bits[i]))
+
+
+def near(common: int, a: int, b: int) -> bool:
+    """Whether sets of a and b shingles with so many in common are near."""
+    return common * NEAR[1] >= (a + b - common) * NEAR[0]
+
+
+def joined(ids: list[int], roots: list[int], prints: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (a, b) of one group that join sets not joined yet."""
     n, up = len(ids), {}
 
     def find(x: int) -> int:
@@ -133,19 +156,16 @@ def joined(ids: list[int], roots: list[int], side: list[int], prints: list[int],
         return x
 
     sizes = np.array([len(x) for x in sets])
-    bits, which = np.array(prints, np.int64).astype(np.uint64), np.array(side)
+    bits = np.array(prints, np.int64).astype(np.uint64)
     owner = np.repeat(np.arange(n), sizes)
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(code, kind="stable")
     posting, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(code))))
     at = np.concatenate(([0], np.cumsum(sizes)))
-    both, out = bool(which.any()), []
+    out = []
     for i in range(1, n):
-        fits = (np.minimum(sizes[:i], sizes[i]) * NEAR[1] >= np.maximum(sizes[:i], sizes[i]) * NEAR[0]) & ring_passes(bits[:i] ^ bits[i])
-        if both:
-            fits &= which[:i] != which[i]
         mine = find(roots[i])
-        some = [j for j in np.flatnonzero(fits).tolist() if find(roots[j]) != mine]
+        some = [j for j in np.flatnonzero(fitting(sizes, bits, i)).tolist() if find(roots[j]) != mine]
         if not some:
             continue
         codes = code[at[i] : at[i + 1]]
@@ -154,7 +174,7 @@ def joined(ids: list[int], roots: list[int], side: list[int], prints: list[int],
         else:
             common = [len(np.intersect1d(codes, code[at[j] : at[j + 1]], assume_unique=True)) for j in some]
         for j, k in zip(some, common, strict=True):
-            if int(k) * NEAR[1] >= int(sizes[i] + sizes[j] - k) * NEAR[0]:
+            if near(int(k), int(sizes[i]), int(sizes[j])):
                 x, y = find(roots[i]), find(roots[j])
                 if x != y:
                     up[max(x, y)] = min(x, y)
@@ -162,35 +182,126 @@ def joined(ids: list[int], roots: list[int], side: list[int], prints: list[int],
     return out
 
 
+def told(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], names: int) -> Iterator[list[list]]:
+    """The columns behind the first `names` of each run of rows that are equal in those."""
+    now, held = None, []
+    for b in batches:
+        group = list(zip(*(b.column(i).to_pylist() for i in range(names)), strict=True))
+        rest = [b.column(i).to_pylist() for i in range(names, b.num_columns)]
+        for i, name in enumerate(group):
+            if name != now:
+                if held:
+                    yield list(map(list, zip(*held, strict=True)))
+                now, held = name, []
+            held.append(tuple(c[i] for c in rest))
+    if held:
+        yield list(map(list, zip(*held, strict=True)))
+
+
+def cells() -> Column:
+    """Cells of a key with n sets of total shingles."""
+    return F.greatest(F.ceil(F.col("n") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
+
+
 def linked(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) among the sets of each key; rows (key, _set, _size, root, n, total): n sets of total shingles in the key."""
-    cells = F.greatest(F.ceil(F.col("n") / CELL_SETS), F.ceil(F.col("total") / CELL_SHINGLES)).cast("int")
-    cell = F.pmod(F.xxhash64("_set", F.lit(7)), F.col("cells")).cast("int")
-    rows = rows.withColumn("cells", cells).withColumn("cell", cell)
-    # A set goes to the groups of its cell with each cell.
-    groups = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.least(c, F.col("cell")).alias("x"), F.greatest(c, F.col("cell")).alias("y")))
-    dealt = rows.select("key", "_set", "root", "cell", F.inline(groups))
-    full = dealt.join(sets, "_set").select("key", "x", "y", F.when(F.col("x") == F.col("y"), 0).otherwise((F.col("cell") == F.col("y")).cast("int")).alias("side"), "_set", "root", "print", "hashes")
-    full = full.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "_set")
+    """Links (a, b) among the sets of each key, or of each cell of a crowded one; rows (key, _set, root, n, total)."""
+    dealt = rows.select("key", F.pmod(F.xxhash64("_set", "key"), cells()).alias("cell"), "_set", "root")
+    full = dealt.join(sets, "_set").select("key", "cell", "_set", "root", "print", "hashes")
+    full = full.repartition("key", "cell").sortWithinPartitions("key", "cell", "_set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+        for ids, roots, prints, hashes in grouped(batches, 2):
+            if len(ids) > 1 and (links := joined(ids, roots, prints, [unpacked(h) for h in hashes])):
+                yield told(links)
+
+    return full.mapInArrow(run, "a long, b long").distinct()
+
 
-        now, held = None, []
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets (hashes) fall in each of ORDER_BUCKETS buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(ORDER_BUCKETS, np.int64)
         for b in batches:
-            names = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-            side, ids, roots, prints = (b.column(i).to_pylist() for i in (3, 4, 5, 6))
-            for i, name in enumerate(names):
-                if name != now:
-                    if len(held) > 1 and (links := joined(*map(list, zip(*held, strict=True)))):
-                        yield told(links)
-                    now, held = name, []
-                held.append((ids[i], roots[i], side[i], prints[i], unpacked(b.column(7)[i].as_buffer())))
-        if len(held) > 1 and (links := joined(*map(list, zip(*held, strict=True)))):
-            yield told(links)
+            for h in b.column(0):
+                counts += np.bincount((unpacked(h.as_buffer()) % np.uint64(ORDER_BUCKETS)).astype(np.int64), minlength=ORDER_BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["bucket", "n"])
+
+    found = sets.select("hashes").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most ORDER_BUCKETS rows
+    out = np.zeros(ORDER_BUCKETS, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
 
-    return full.mapInArrow(run, "a long, b long").distinct()
+
+def prefixes(crowd: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(shingle, _set, root, print, size, place): the first shingles of each set, from rare to frequent, of which any near one has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, h in enumerate(b.column(3)):
+                x = unpacked(h.as_buffer())
+                n = len(x) - -(-len(x) * NEAR[0] // NEAR[1]) + 1
+                x = x[np.lexsort((x, counts[(x % np.uint64(ORDER_BUCKETS)).astype(np.int64)]))[:n]].astype(np.int64)
+                same = [pa.array(np.full(n, v, np.int64)) for v in (*(b.column(c)[i].as_py() for c in range(3)), len(h.as_buffer()) // HASH_BYTES)]
+                yield pa.RecordBatch.from_arrays([pa.array(x), *same, pa.array(np.arange(n))], names=["shingle", "_set", "root", "print", "size", "place"])
+
+    return crowd.select("_set", "root", "print", "hashes").mapInArrow(run, "shingle long, _set long, root long, print long, size long, place long")
+
+
+def proposed(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of prefixes() that can be near and are not joined. Of a shingle with more than CELL_ROWS rows each pair of cells
+    is a group of its own."""
+    open_ones = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("shingle", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("cells"))
+    rows = first.join(open_ones, "shingle").withColumn("cell", F.pmod(F.xxhash64("_set"), F.col("cells")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.struct(F.least(c, F.col("cell")).alias("x"), F.greatest(c, F.col("cell")).alias("y")))
+    dealt = rows.select("shingle", "_set", "root", "print", "size", "place", "cell", F.inline(pairs))
+    side = F.when(F.col("x") == F.col("y"), 0).otherwise((F.col("cell") == F.col("y")).cast("int")).alias("side")
+    dealt = dealt.select("shingle", "x", "y", side, "_set", "root", "print", "size", "place").repartition("shingle").sortWithinPartitions("shingle", "x", "y", "size", "_set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side, ids, roots, prints, sizes, places in grouped(batches, 3):
+            side, root, size, room = np.array(side), np.array(roots), np.array(sizes), np.array(sizes) - np.array(places)
+            bits = np.array(prints, np.int64).astype(np.uint64)
+            apart = bool(side.any())
+            for i in range(1, len(ids)):
+                # What is still to come from this place on must hold what a near pair has in common.
+                fits = (root[:i] != root[i]) & (np.minimum(room[:i], room[i]) * (NEAR[0] + NEAR[1]) >= (size[:i] + size[i]) * NEAR[0])
+                if apart:
+                    fits &= side[:i] != side[i]
+                if fits.any() and (some := np.flatnonzero(fits & fitting(size, bits, i)).tolist()):
+                    yield told([(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in some])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for i in range(b.num_rows):
+                x, y = unpacked(b.column(2)[i].as_buffer()), unpacked(b.column(3)[i].as_buffer())
+                if near(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    found.append((b.column(0)[i].as_py(), b.column(1)[i].as_py()))
+            yield told(found)
+
+    both = pairs.join(sets.select(F.col("_set").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("_set").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, rows["_set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "_set")).drop("node")
+
+
+def open_keys(rows: DataFrame) -> DataFrame:
+    """(key, n, total) of the keys of rows (key, _set, _size, root) whose sets are not all joined."""
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("_size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").drop("least", "most")
 
 
 def links(tagged: DataFrame) -> DataFrame:
@@ -203,13 +314,21 @@ def links(tagged: DataFrame) -> DataFrame:
     found, roots = None, None
     for part in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
         rows = shared.where(part)
-        rows = rows.withColumn("root", F.col("_set")) if roots is None else rows.join(roots, rows["_set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "_set"))
+        rows = rows.withColumn("root", F.col("_set")) if roots is None else with_roots(rows, roots)
         rows = materialize(rows.select("key", "_set", "_size", "root"), "near-rows")
-        open_keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("_size").alias("total"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").drop("least", "most")
-        new = linked(rows.join(open_keys, "key"), sets)
+        new = linked(rows.join(open_keys(rows), "key"), sets)
         found = materialize(new if found is None else found.union(new), "near-links")
         roots = connected_components(found, "near-components")
-    return roots
+    crowded = materialize(shared.groupBy("key").agg(F.count("*").alias("n"), F.sum("_size").alias("total")).where(cells() > 1).select("key"), "near-crowded")
+    if crowded.isEmpty():
+        return roots
+    rows = materialize(with_roots(shared.join(crowded, "key").select("key", "_set", "_size"), roots), "near-rows")
+    crowd = rows.join(open_keys(rows), "key", "left_semi").select("_set", "root").distinct().join(sets, "_set")
+    crowd = materialize(crowd, "near-crowd")
+    if crowd.isEmpty():
+        return roots
+    pairs = materialize(proposed(materialize(prefixes(crowd, bucket_counts(crowd)), "near-prefixes")), "near-pairs")
+    return connected_components(found.union(compared(pairs, sets)), "near-components")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
