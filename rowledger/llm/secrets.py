@@ -7,7 +7,7 @@ network, so that only the patterns find. Whole texts are scanned.
 
 Method. The base patterns' matches stay as they are and are the labelled findings. Candidates are runs of 16 or more
 characters of the alphabet in which secrets are written, with a digit and a letter among them. On a bounded sample of
-documents a network in numpy (one-hot characters, one convolution, maximum over positions, one logistic unit) learns
+documents, with all windows of their candidates, a network in numpy (one-hot characters, one convolution, maximum over positions, one logistic unit) learns
 labelled findings against all other candidates, in half of the cases with the words around them blanked, so that it
 looks at the token as well as its context. Platt scaling on rows kept apart calibrates it, and the threshold is the
 highest one, to a ten-thousandth of the log odds' range, that recalls `recall` of the base findings of all documents.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ Span = tuple[int, int, str]
 
 @dataclass(frozen=True)
 class Settings:
-    #: Bounds of the sample that is fitted: documents and candidates.
+    #: Bounds of the sample that is fitted: documents, and windows of their candidates.
     sample_docs: int = 20_000
     sample_candidates: int = 12_000
     recall: float = 0.98
@@ -167,15 +168,22 @@ def best_probability(model: Model, text: str, start: int, end: int) -> float:
     return max(float(probability(model, w).max()) for w in encode(text, start, end))
 
 
-def labelled(text: str) -> list[tuple[np.ndarray, int]]:
-    """First window of every candidate, with 1 if it lies in a base finding; findings without a candidate count too."""
+def labelled(text: str) -> Iterator[tuple[bytes, int]]:
+    """Every window of every candidate, with 1 if its body meets a base finding; findings without a candidate count too."""
     spans = base_spans(text)
-    out, seen = [], set()
+    seen = set()
     for a, b in candidates(text):
         hit = [s for s in spans if s[0] < b and a < s[1]]
         seen.update(hit)
-        out.append((next(encode(text, a, b))[0], int(bool(hit))))
-    return out + [(next(encode(text, s[0], s[1]))[0], 1) for s in spans if s not in seen]
+        at = a
+        for windows in encode(text, a, b):
+            for x in windows.astype(np.uint8):
+                yield x.tobytes(), int(any(s[0] < min(at + BODY, b) and at < s[1] for s in hit))
+                at += BODY // 2
+    for s in spans:
+        if s not in seen:
+            for windows in encode(text, s[0], s[1]):
+                yield from ((x.tobytes(), 1) for x in windows.astype(np.uint8))
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
@@ -186,8 +194,9 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(x.astype(np.uint8).tobytes(), y) for t in b.column(0) if t.as_py() for x, y in labelled(t.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
+            all_windows = (w for t in b.column(0) if t.as_py() for w in labelled(t.as_py()))
+            while found := list(islice(all_windows, 64 * WINDOWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.int32())], names=["x", "y"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).select("text")
     found = chosen.mapInArrow(run, "x binary, y int").groupBy("x").agg(F.max("y").alias("y"))
