@@ -3,10 +3,10 @@
 Contract: one row per recording with vec_id, class_id (the smallest id with the same fingerprint), n_links (how many
 query classes other than its own it aligns with), and the best of them: best_query, best_offset (frames by which the
 query's start lies after the recording's), best_errors (share of wrong bits). Queries are the classes that hold an id
-divisible by 100. Null audio, audio that is no 16-bit mono WAV and audio too short for one integer take no part: class_id
-null, no links. Repeated rows count each; extra columns are ignored; an empty table gives an empty result.
+divisible by 100. Null audio, audio that is no 16-bit WAV and audio too short for one integer take no part: class_id
+null, no links. Channels are averaged. Repeated rows count each; extra columns are ignored; an empty table gives an empty result.
 
-Method. Frames of the signal give energies of the twelve pitch classes; over their integral image 16 filters compare two
+Method. Signals of any rate are brought to RATE, so a frame is the same time in all. Frames of the signal give energies of the twelve pitch classes; over their integral image 16 filters compare two
 areas in time and pitch, each comparison quantised to two bits in Gray code: one 32-bit integer per frame. Recordings
 with equal fingerprints collapse into a class. Queries go in blocks of bounded size as a sorted list of integers; every class
 looks all of its integers up, the matches' offsets are counted for each query, and of the offsets with `votes` matches
@@ -16,7 +16,9 @@ integer makes matches in proportion to rows, which are counted in pieces of boun
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from rowledger.llm.common import materialize
 
-FRAME, HOP, FILTER_FRAMES = 256, 128, 8
-BLOCK, MATCHES = 1_024, 1 << 21
+#: Samples a second, up to 1,000 Hz; a frame is 0.128 s, with a bin every 7.8 Hz.
+RATE, FRAME, HOP, FILTER_FRAMES = 2_000, 256, 128, 8
+#: Queries of a block, and integers of all of them (20 hours of sound), on average.
+BLOCK, BLOCK_INTS, MATCHES = 1_024, 1 << 20, 1 << 21
 VOTES, OVERLAP, ERRORS = 4, 16, 0.2
 #: Quantiser: comparisons below the first bound are 0, and so on.
 BOUNDS = (-0.15, 0.0, 0.15)
@@ -46,28 +50,56 @@ def wav(samples: np.ndarray, rate: int) -> bytes:
 
 
 def samples_of(audio: bytes | None) -> tuple[np.ndarray, int] | None:
-    """Samples and rate of a 16-bit mono WAV file, else None."""
+    """Samples, the mean of all channels, and rate of a 16-bit WAV file, else None."""
     if not audio or len(audio) < 12 or audio[:4] != b"RIFF" or audio[8:12] != b"WAVE":
         return None
-    at, rate = 12, 0
+    at, rate, channels = 12, 0, 0
     while at + 8 <= len(audio):
         name, size = audio[at : at + 4], int.from_bytes(audio[at + 4 : at + 8], "little")
         body = audio[at + 8 : at + 8 + size]
         if name == b"fmt " and len(body) >= 16:
-            if body[:4] != b"\x01\x00\x01\x00" or body[14:16] != b"\x10\x00":
+            channels, rate = int.from_bytes(body[2:4], "little"), int.from_bytes(body[4:8], "little")
+            if body[:2] != b"\x01\x00" or body[14:16] != b"\x10\x00" or not channels:
                 return None
-            rate = int.from_bytes(body[4:8], "little")
         elif name == b"data" and rate:
-            return np.frombuffer(body[: len(body) // 2 * 2], "<i2").astype(np.float32), rate
+            whole = np.frombuffer(body[: len(body) // (2 * channels) * 2 * channels], "<i2").reshape(-1, channels)
+            return whole.mean(1, dtype=np.float32), rate
         at += 8 + size + size % 2
     return None
 
 
+def resampled(samples: np.ndarray, rate: int, taps: int = 16, block: int = 4_096) -> np.ndarray:
+    """samples at RATE: a windowed sinc of `taps` zero crossings to each side, in blocks, so a long recording takes no more memory.
+    Times repeat after RATE / gcd(rate, RATE) samples, so there is a kernel for each of those."""
+    if rate == RATE or not len(samples):
+        return samples
+    phases = RATE // math.gcd(rate, RATE)
+    cut = min(1.0, RATE / rate)
+    half = math.ceil(taps / cut)
+    around = np.arange(-half, half + 1)
+
+    @cache
+    def kernel(phase: int) -> np.ndarray:
+        x = around - (phase * rate % RATE) / RATE
+        k = np.sinc(x * cut) * np.where(np.abs(x) < half, np.cos(np.pi * x / (2 * half)) ** 2, 0)
+        return (k / k.sum()).astype(np.float32)
+
+    n = len(samples) * RATE // rate
+    out, long = np.zeros(n, np.float32), np.pad(samples, half)
+    for a in range(0, n, block):
+        m = np.arange(a, min(n, a + block))
+        seen = np.lib.stride_tricks.sliding_window_view(long, len(around))[m * rate // RATE]
+        for p in range(min(phases, len(m))):
+            out[a + p : a + len(m) : phases] = seen[p::phases] @ kernel(int(m[p] % phases))
+    return out
+
+
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     """(frames, 12) shares of energy by pitch class."""
+    samples = resampled(samples, rate)
     if len(samples) < FRAME:
         return np.zeros((0, 12))
-    hz = np.fft.rfftfreq(FRAME, 1 / rate)
+    hz = np.fft.rfftfreq(FRAME, 1 / RATE)
     heard = hz >= 55
     pitch = np.where(heard, np.round(12 * np.log2(np.maximum(hz, 1) / 440)).astype(int) % 12, 12)
     out, step = [], 4_096
@@ -182,10 +214,11 @@ def align(recordings: DataFrame, every: int = 100) -> DataFrame:
     # Of equal fingerprints any one serves.
     classes = heard.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.min("ints").alias("ints"), asks)
     classes = materialize(classes, "audio-classes")
-    blocks = -(-classes.where("asks").count() // BLOCK)
+    asked, ints = classes.where("asks").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ints").cast("long")), F.lit(0))).first()
+    blocks = max(-(-asked // BLOCK), -(-ints // (4 * BLOCK_INTS)))
     out = None
     for block in range(blocks):
-        mine = classes.where("asks").where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("class_id", "ints").orderBy("class_id").collect()  # about BLOCK
+        mine = classes.where("asks").where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).select("class_id", "ints").orderBy("class_id").collect()  # about BLOCK, or BLOCK_INTS integers
         run = links_of(np.array([r["class_id"] for r in mine], np.int64), [np.frombuffer(bytes(r["ints"]), "<u4") for r in mine])
         found = classes.where("class_id is not null").select("class_id", "ints").mapInArrow(run, "class_id long, query long, offset long, votes long, errors double")
         out = found if out is None else out.union(found)
@@ -205,7 +238,7 @@ def with_links(made: DataFrame, classes: DataFrame, links: DataFrame | None) ->
     return made.select("vec_id", "key").join(named, "key", "left").select("vec_id", "class_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.col("best.query").alias("best_query"), F.col("best.offset").alias("best_offset"), F.col("best.errors").alias("best_errors"))
 
 
-def rendered(vectors: DataFrame, rate: int = 2_000) -> DataFrame:
+def rendered(vectors: DataFrame, rate: int = RATE) -> DataFrame:
     """(vec_id, audio): each component of an embedding as a tone of HOP samples, from the (vec_id mod 5)-th on.
 
     The tables hold no sound, so recordings are derived from vectors: equal vectors are recordings of one melody that
