@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, repeats: int = 3, weights: tuple[int, ...]
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     everything = Window.partitionBy(F.lit(0))
     by = by.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(after))
-    by = by.withColumn("level", F.min_by(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")), F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("cap") / F.col("weight"))).over(everything))
+    # The level falls along the prefixes that leave it uncapped, so the first of them has the highest; ties in the ratio do not matter.
+    by = by.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     target = F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double")))
     return by.select("source", "rank", "weight", "source_size", target.alias("target"))
 
@@ -104,7 +105,7 @@ levels AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
             / (sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM weighed),
-chosen AS (SELECT arg_min(level, cap / weight) AS level FROM levels WHERE level * weight <= cap),
+chosen AS (SELECT max(level) AS level FROM levels WHERE level * weight <= cap),
 targets AS (
   SELECT source, rk, source_size, least(cap::DOUBLE, coalesce(c.level * weight, cap::DOUBLE)) AS target
   FROM levels CROSS JOIN chosen c),
