@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from rowledger.operators.tasks import shared_out
 from rowledger.sources.pointers import delete
 
 
@@ -52,24 +53,34 @@ def components(edges: DataFrame) -> DataFrame:
 
     Contraction: every node points to its smallest neighbour, or to itself; doubling the pointers turns these trees into stars in as many
     steps as the logarithm of their depth; then the edges join roots, of which there are at most half as many nodes.
-    So a chain of n nodes takes about log n rounds, not n, and a round's work shrinks with the nodes that are left. Null
-    nodes are none.
+    So a chain of n nodes takes about log n rounds, not n, and a round's work shrinks with the nodes that are left. No
+    table of a round is sent to the driver. Null nodes are none.
     """
     spark = edges.sparkSession
-    edges = edges.where("src is not null and dst is not null").select("src", "dst")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    roots, old_roots = written(nodes.select("node", F.col("node").alias("root")))
-    left, old_left = written(edges.union(reverse(edges)).where("src <> dst").distinct())
-    while not left.isEmpty():
-        least = left.groupBy("src").agg(F.min("dst").alias("dst"))
-        stars, old_stars = _stars(least.select(F.col("src").alias("node"), F.least("src", "dst").alias("root")))
-        at = lambda c, stars=stars: stars.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-        left, new_left = written(left.join(at("src"), "src").join(at("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).where("src <> dst").distinct())
-        roots, new_roots = written(roots.join(at("root"), "root", "left").select("node", F.coalesce("_root", "root").alias("root")))
-        delete(spark, old_left, old_roots, old_stars)
-        old_left, old_roots = new_left, new_roots
+    edges, _ = written(edges.where("src is not null and dst is not null").select("src", "dst"))
+    left, old_left = written(shared_out(edges.union(reverse(edges)).where("src <> dst"), 2 * edges.count(), "src", "dst").distinct())
+    levels = []
+    while n := left.count():
+        least = shared_out(left, n, "src").groupBy("src").agg(F.min("dst").alias("dst"))
+        stars, path = _stars(least.select(F.col("src").alias("node"), F.least("src", "dst").alias("root")))
+        levels.append((stars, path))
+        # Plain joins between shuffled sides: Spark splits the partition of a node with very many edges.
+        at = lambda c, stars=stars: stars.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")).hint("merge")
+        met = left.join(at("src"), "src").join(at("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).where("src <> dst")
+        left, new_left = written(shared_out(met, n, "src", "dst").distinct())
+        delete(spark, old_left)
+        old_left = new_left
     delete(spark, old_left)
-    return roots
+    # Roots of a round are nodes of the next one, which is smaller: from the last round back each node is joined once.
+    roots, old_roots = edges.select(F.col("src").alias("node"), F.col("dst").alias("root")).where("false"), None
+    for stars, path in reversed(levels):
+        above = roots.select(F.col("node").alias("root"), F.col("root").alias("_root")).hint("merge")
+        roots, new_roots = written(stars.join(above, "root", "left").select("node", F.coalesce("_root", "root").alias("root")))
+        delete(spark, path, *[old_roots] if old_roots else [])
+        old_roots = new_roots
+    # A node without an edge to another one is its own root.
+    alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(roots.select("node").hint("merge"), "node", "left_anti")
+    return roots.union(alone.select("node", F.col("node").alias("root")))
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
@@ -90,7 +101,7 @@ def _stars(trees: DataFrame) -> tuple[DataFrame, str]:
     while True:
         met = Observation()
         above = trees.select(F.col("node").alias("root"), F.col("root").alias("_r"))
-        made = trees.join(above, "root").select("node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("_up"))
+        made = trees.join(above.hint("merge"), "root").select("node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("_up"))
         before = path
         trees, path = written(made.observe(met, F.count_if("_up").alias("n")).drop("_up"))
         delete(trees.sparkSession, before)

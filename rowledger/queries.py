@@ -694,12 +694,14 @@ def drained_triggers(spark: SparkSession, d: str) -> DataFrame:
 WITH n AS (SELECT event_id * 7919 % 1000003 AS node, event_id // 4096 AS g FROM events)
 SELECT node, min(node) OVER (PARTITION BY g) AS root FROM n""")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """Events linked to the next one, in chains of 4,096 whose nodes are numbered without order."""
-    at = lambda x: x * 7919 % 1000003
-    e = t(spark, d, "events").select("event_id")
-    behind = e.where("(event_id + 1) % 4096 <> 0").select((F.col("event_id") + 1).alias("event_id"), F.col("event_id").alias("before"))
-    edges = e.join(behind, "event_id", "left")
-    return graph.components(edges.select(at(F.coalesce("before", "event_id")).alias("src"), at(F.col("event_id")).alias("dst")))
+    """Events linked to the one before, in chains of 4,096 whose nodes are numbered without order. The numbers begin again after 1,000,003
+    events, so a node is a number and its event, as one bigint (ids of up to 42 bits)."""
+    number = F.col("event_id") * 7919 % 1000003
+    e = t(spark, d, "events").select(number.alias("number"), (number * (1 << 43) + F.col("event_id")).alias("at"), "event_id")
+    before = F.lag("at").over(Window.partitionBy(F.floor(F.col("event_id") / 4096)).orderBy("event_id"))
+    roots = graph.components(e.where("event_id is not null").select(F.coalesce(before, "at").alias("src"), F.col("at").alias("dst")))
+    root = F.shiftright(F.col("root") + (1 << 42), 43)
+    return e.select("number", F.col("at").alias("node")).join(roots, "node", "left").select(F.col("number").alias("node"), root.alias("root"))
 
 
 # --- drafts and lookups

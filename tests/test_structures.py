@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from rowledger import queries
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
 from rowledger.operators import graph, identity, intake, lint_graph, migration
@@ -32,6 +33,16 @@ def test_components_of_odd_edges(spark):
     assert graph.components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def test_components_whose_numbers_begin_again(spark, tmp_path):
+    ids = [*range(4090, 4100), *range(1_000_003 + 4090, 1_000_003 + 4100), 1_003_520, 1_003_523, 1_003_523]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in queries.components(spark, str(tmp_path)).collect())
+    number, least = (lambda i: i * 7919 % 1_000_003), {}
+    for i in ids:
+        least[i // 4096] = min(number(i), least.get(i // 4096, number(i)))
+    assert got == sorted((number(i), least[i // 4096]) for i in ids)
+
+
 TYPES = "type string, targets array<string>, live boolean"
 FIELDS = "type string, field_id int, message string, targets array<string>, ref_table string"
 
