@@ -22,9 +22,9 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     seen = frontier = seeds.select("node").distinct().checkpoint()
     rounds = 0
     while True:
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        step = frontier.join(edges.hint("merge"), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         met = Observation()
-        frontier = step.join(seen, "node", "left_anti").observe(met, F.count("*").alias("n")).checkpoint()
+        frontier = step.join(seen.hint("merge"), "node", "left_anti").observe(met, F.count("*").alias("n")).checkpoint()
         if not met.get["n"]:
             return seen
         rounds += 1

@@ -56,37 +56,43 @@ def lint_visibility(types: DataFrame, fields: DataFrame) -> DataFrame:
 def cyclic_edges(edges: DataFrame) -> DataFrame:
     """Edges (src, dst) both of whose ends lie on a common cycle: those inside a strongly connected component.
 
-    What has no way in or no way out is trimmed; of the rest every node takes the greatest node that reaches it as its colour, and what
-    reaches that node back within a colour is one component. No set of pairs is ever made.
+    What has no way in or no way out is trimmed; of the rest every node takes the greatest node that reaches it as its colour. A
+    component has one colour, so edges between colours go at once, and with them the long ways that would be trimmed an
+    end at a time; what reaches a colour's own node within the colour is one component. No set of pairs is ever made, and no table
+    of a round is sent to the driver: rounds are as many as the data ask for, so that each one's few MB would add up.
     """
-    left = graph.written(edges.select("src", "dst").distinct())[0]
-    found = left.where("src = dst")
-    left = left.where("src <> dst")
-    n = left.count()
+    spark = edges.sparkSession
+    left, first = graph.written(edges.select("src", "dst").distinct())
+    found = graph.written(left.where("src = dst"))[0]
+    left, path = graph.written(left.where("src <> dst"))
+    graph.delete(spark, first)
+    n, before = left.count(), None
     while n:
-        while True:  # trim
-            inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            inner = graph.written(inner)[0]
-            left, before, n = inner, n, inner.count()
-            if n in (0, before):
-                break
+        while n and n != before:  # trim
+            into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            inner, new = graph.written(left.join(into.hint("merge"), "src", "left_semi").join(out.hint("merge"), "dst", "left_semi").select("src", "dst"))
+            graph.delete(spark, path)
+            left, path, before, n = inner, new, n, inner.count()
         if not n:
             break
-        colours = graph.written(left.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct())[0]
+        colours, shown = graph.written(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().select("node", F.col("node").alias("colour")))
         while True:
-            told = left.join(colours.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
+            told = left.join(colours.withColumnRenamed("node", "src").hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
             met = Observation()
-            made = colours.join(told, "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") > F.col("colour")).alias("_up"))
-            colours = graph.written(made.observe(met, F.count_if("_up").alias("n")).drop("_up"))[0]
+            made = colours.join(told.hint("merge"), "node", "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour"), (F.coalesce("c", "colour") > F.col("colour")).alias("_up"))
+            colours, new = graph.written(made.observe(met, F.count_if("_up").alias("n")).drop("_up"))
+            graph.delete(spark, shown)
+            shown = new
             if not met.get["n"]:
                 break
-        ends = left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst")
-        same = ends.where("_a = _b").select("src", "dst")
+        of = lambda c, as_: colours.select(F.col("node").alias(c), F.col("colour").alias(as_)).hint("merge")  # noqa: B023, E731
+        same, within = graph.written(left.join(of("src", "_a"), "src").join(of("dst", "_b"), "dst").where("_a = _b").select("src", "dst"))
         inside = graph.reach(graph.reverse(same), colours.where("node = colour").select("node"))
-        a, b = inside.withColumnRenamed("node", "src"), inside.withColumnRenamed("node", "dst")
-        found = found.union(same.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst"))
-        left = graph.written(left.join(a, "src", "left_anti").join(b, "dst", "left_anti").select("src", "dst"))[0]
-        n = left.count()
+        a, b = inside.withColumnRenamed("node", "src").hint("merge"), inside.withColumnRenamed("node", "dst").hint("merge")
+        found = found.union(graph.written(same.join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst"))[0])
+        left, new = graph.written(same.join(a, "src", "left_anti").join(b, "dst", "left_anti").select("src", "dst"))
+        graph.delete(spark, path, shown, within)
+        path, before, n = new, None, left.count()
     return found
 
 

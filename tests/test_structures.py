@@ -74,6 +74,16 @@ def test_edges_on_cycles(spark, links, want):
     assert sorted(tuple(r) for r in lint_graph.cyclic_edges(spark.createDataFrame(links, "src int, dst int")).collect()) == sorted(want)
 
 
+def test_ways_between_cycles_take_few_rounds(spark, monkeypatch):
+    made, real, top = [], graph.written, 120
+    monkeypatch.setattr(graph, "written", lambda df: made.append(1) or real(df))
+    ladder = [(e, e + k) for e in range(0, top, 2) for k in (2, 3)] + [(e + 1, e) for e in range(2, top + 2, 2)]
+    ends = [(0, 1), (1, 0), (top + 1, top + 2), (top + 2, top + 1)]
+    got = sorted(tuple(r) for r in lint_graph.cyclic_edges(spark.createDataFrame(ladder + ends, "src int, dst int")).collect())
+    assert got == ends
+    assert len(made) < 30  # half the rungs, if each were trimmed at an end
+
+
 def test_one_key_that_all_rows_want_is_ranked_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(identity, "BUCKET_ROWS", 300)
     n, used = 3_000, [1, 2, 5, 6, 7, 900, 901, 5_000]
