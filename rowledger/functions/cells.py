@@ -137,10 +137,18 @@ def _steps(text: Column, formula: Column, field: Field, at: Callable[[str], Colu
     ]
 
 
-#: Rows of more cells than this are not parsed in one generated method with the rest of their stage: the JVM never compiles
-#: methods of more than 8,000 bytes of byte code. A lambda in a projection keeps it a stage of its own, whose code Spark
-#: cuts into small methods.
-WIDE = 4
+#: Cells of a row that are parsed in one generated method: the JVM never compiles methods of more than 8,000 bytes of byte code, which
+#: four cells pass. Rows of more cells are parsed so many at a time, see apart.
+WIDE = 2
+
+
+
+def apart(columns: dict[str, Column]) -> dict[str, Column]:
+    """columns, of which the first is made by a lambda: this keeps their projection out of the generated method of its stage, as a stage of
+    its own, whose code Spark cuts into small methods, and what follows begins another one."""
+    first = next(iter(columns))
+    return columns | {first: let(columns[first], lambda x: x)}
+
 
 PARSED = ("state", "text", "raw_state", "raw_text", "error")
 
@@ -178,12 +186,12 @@ def parse_columns(rows: DataFrame, cells: dict[str, tuple[Column, Column | None,
     kept, none = rows.columns, F.lit(None).cast("string")
     part = lambda name, p: f"__{name}__{p}"
     plans = {n: _steps(text, none if formula is None else formula, field, lambda p, n=n: F.col(part(n, p)), formats) for n, (text, formula, field) in cells.items()}
-    for i in range(max(map(len, plans.values()), default=0)):
-        made = {part(n, p): c for n, steps in plans.items() for p, c in (steps[i].items() if i < len(steps) else ())}
-        if len(cells) > WIDE:
-            first = next(iter(made))
-            made[first] = let(made[first], lambda x: x)
-        rows = rows.withColumns(made)
+    names = list(plans)
+    for group in (names[i : i + WIDE] for i in range(0, len(names), WIDE)):
+        last = max(len(plans[n]) for n in group) - 1
+        for i in range(last + 1):
+            made = {part(n, p): c for n in group for p, c in (plans[n][i].items() if i < len(plans[n]) else ())}
+            rows = rows.withColumns(apart(made) if i == last and len(names) > WIDE else made)
     made = [F.struct(*[F.col(part(n, p)).alias(p) for p in (*PARSED, "legacy")]).alias(n) for n in cells]
     return rows.select(*[c for c in kept if c not in cells], *made)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowledger.catalog import Catalog, Table
-from rowledger.functions.cells import build_key, parse_columns, parse_revision, valid_guid
+from rowledger.functions.cells import apart, build_key, parse_columns, parse_revision, valid_guid
 from rowledger.operators import identity, project, references
 from rowledger.operators.checks import check_oneof
 from rowledger.registry import Format, Registry
@@ -40,14 +40,15 @@ def parse_table(staging: DataFrame, table: Table, formats: dict[str, Format] | N
     found.append(F.when(F.col("made.error").isNotNull(), finding(F.col("made.field"), F.col("made.error"), ERROR)))
     names = ("state", "text", "raw_state", "raw_text", "legacy")
     values = F.array(*[F.struct(F.lit(f.name).alias("property_path"), F.lit(f.field_id).alias("field_id"), *[F.col(f"value{i}.{n}").alias(n) for n in names]) for i, f in enumerate(table.fields)])
-    parsed = parsed.withColumn("findings", F.array_compact(F.array(*found)))
+    parsed = parsed.withColumns(apart({"findings": F.array_compact(F.array(*found)), "values": values}))
     whole = F.lit(True)
     if incomplete is not None:
-        parsed = parsed.join(incomplete.select("path", "sheet", F.lit(True).alias("lacks")).distinct(), ["path", "sheet"], "left")
+        # A row a sheet is sent to the rows, as those of a few large sheets would all go to a few tasks.
+        parsed = parsed.join(F.broadcast(incomplete.select("path", "sheet", F.lit(True).alias("lacks")).distinct()), ["path", "sheet"], "left")
         whole = F.col("lacks").isNull()
     sound = (F.coalesce("raw_guid", F.lit("")) == "") | valid_guid(F.col("raw_guid"))
     guid = F.when(valid_guid(F.col("raw_guid")), F.col("raw_guid"))
-    return parsed.select(F.lit(table.table_id).alias("table_id"), "path", "sheet", "row_number", guid.alias("row_guid"), F.col("rev").alias("revision"), F.col("made.key").alias("key"), (whole & sound & (F.size("findings") == 0)).alias("indexable"), values.alias("values"), "findings")
+    return parsed.select(F.lit(table.table_id).alias("table_id"), "path", "sheet", "row_number", guid.alias("row_guid"), F.col("rev").alias("revision"), F.col("made.key").alias("key"), (whole & sound & (F.size("findings") == 0)).alias("indexable"), "values", "findings")
 
 
 def parse_tables(staging: DataFrame, catalog: Catalog, formats: dict[str, Format] | None = None, incomplete: DataFrame | None = None) -> DataFrame:

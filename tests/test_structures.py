@@ -1,13 +1,14 @@
 """Small cases of components, lint over nested types, ranks of hot keys, workbooks of any size, and rows made unfit by others."""
 
 import io
+import re
 import tracemalloc
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowledger import queries
+from rowledger import queries, typed_queries
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
 from rowledger.operators import graph, identity, intake, lint_graph, migration
@@ -176,3 +177,15 @@ def test_transforms_that_change_their_mind_are_found(spark):
     found = migration.outcomes(rows, steps).checkpoint()
     assert {r.step for r in migration.undetermined(rows, found, steps).collect()} == {"bad"}
     assert migration.undetermined(rows, migration.outcomes(rows, steps[:1]).checkpoint(), steps[:1]).isEmpty()
+
+
+def test_rows_of_four_cells_are_parsed_by_code_that_the_jvm_compiles(spark, tmp_path, capsys):
+    made = spark.range(50).select(*[F.lit(i).cast(t).alias(c) for i, (c, t) in enumerate([("l_orderkey", "long"), ("l_partkey", "long"), ("l_suppkey", "long"), ("l_linenumber", "int"), ("l_quantity", "double")])])
+    made.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        typed_queries.parsed_tables(spark, str(tmp_path)).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
