@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rowledger.operators import drafts
+from rowledger.operators.tasks import shared_out
 
 # Severities by number.
 SAFE, WARNING, ERROR, BLOCKER = 0, 1, 2, 3
@@ -201,7 +202,9 @@ def diff_enums(prev: DataFrame, current: DataFrame, reserved: DataFrame) -> Data
 
 
 def merge_reserved(ranges: DataFrame) -> DataFrame:
-    """(owner, first, last): overlapping or touching ranges of an owner as one."""
+    """(owner, first, last): overlapping or touching ranges of an owner as one. Owners are shared out to as many tasks
+    as the ranges ask for, so that what a task sorts stays of one size."""
+    ranges = shared_out(ranges.select("owner", "first", "last"), ranges.count(), "owner")
     order = Window.partitionBy("owner").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first") <= reach + 1, 0).otherwise(1)).over(order)

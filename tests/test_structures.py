@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rowledger import queries, typed_queries
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
-from rowledger.operators import graph, identity, intake, lint_graph, migration
+from rowledger.operators import graph, identity, intake, lint_graph, migration, schema, tasks
 from rowledger.registry import Registry
 from rowledger.sources import workbooks
 
@@ -189,3 +189,11 @@ def test_rows_of_four_cells_are_parsed_by_code_that_the_jvm_compiles(spark, tmp_
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) <= 8000
+
+
+def test_ranges_are_shared_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100)
+    ranges = spark.range(3_000).select((F.col("id") % 50).alias("owner"), F.col("id").alias("first"), (F.col("id") + 60).alias("last"))
+    out = schema.merge_reserved(ranges)
+    assert "hashpartitioning(owner" in out._jdf.queryExecution().toString() and ", 30)" in out._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(i, i, 2_950 + i + 60) for i in range(50)]
