@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowledger.functions.cells import key_ref, parse_ref, percent, ref_key
+from rowledger.operators.tasks import shared_out
 
 
 def resolve(refs: DataFrame, targets: DataFrame) -> DataFrame:
@@ -36,7 +37,9 @@ def resolve_tokens(refs: DataFrame, targets: DataFrame, eligible: DataFrame) ->
     targets (table_id, key, row_guid): indexable rows under their composite keys; eligible (field, table_id). A null token is
     no reference. Targets are counted before the join, so that a key of many rows meets its references as one row.
     """
-    by = targets.groupBy(F.col("table_id").alias("_t"), F.col("key").alias("_k")).agg(F.count_distinct("row_guid").alias("_n"), F.min("row_guid").alias("_guid"))
+    # Two identities under a key are told by the least and the greatest one, in one aggregate whose tasks are as many as the targets ask for.
+    by = shared_out(targets.select(F.col("table_id").alias("_t"), F.col("key").alias("_k"), "row_guid"), targets.count(), "_t", "_k")
+    by = by.groupBy("_t", "_k").agg(F.when(F.min("row_guid") < F.max("row_guid"), 2).otherwise(1).alias("_n"), F.min("row_guid").alias("_guid"))
     allowed = eligible.select("field", F.col("table_id").alias("_t"), F.lit(True).alias("_ok")).distinct()
     open_fields = eligible.select("field", F.lit(True).alias("_any")).distinct()
     j = refs.withColumn("_p", parse_ref(F.col("token"))).withColumn("_t", F.col("_p.table_id")).withColumn("_k", ref_key(F.col("_p")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowledger.catalog import Catalog, Table
 from rowledger.functions.cells import row_hash, row_path
 from rowledger.operators import references
+from rowledger.operators.tasks import shared_out
 
 
 def build(rows: DataFrame, table: Table, target: str) -> DataFrame:
@@ -64,8 +65,10 @@ def assemble(rows: DataFrame, values: DataFrame, catalog: Catalog, target: str)
     fields = spark.createDataFrame(target_fields(catalog, target), "table_id int, field int, property_path string, ref_table int")
     sheets = spark.createDataFrame([(t.table_id, t.sheet) for t in catalog.live(target)], "table_id int, sheet string")
     live = rows.where("indexable and row_guid <> '' and key <> ''").join(sheets, "table_id").select("table_id", "row_guid", "key", row_path(F.col("sheet"), F.col("key")).alias("path"))
-    set_values = values.where(F.col("state").isin("Value", "Defaulted") & F.col("text").isNotNull()).select("table_id", "row_guid", "property_path", "text")
-    found = set_values.join(fields, ["table_id", "property_path"]).join(live, ["table_id", "row_guid"])
+    set_values = values.where(F.col("state").isin("Value", "Defaulted") & F.col("text").isNotNull() & F.col("row_guid").isNotNull()).select("table_id", "row_guid", "property_path", "text")
+    # Identities are many and have few values each: they are shared out by their number, so that what a task sorts stays of one size.
+    n, identity = set_values.count(), ["table_id", "row_guid"]
+    found = shared_out(set_values.join(F.broadcast(fields), ["table_id", "property_path"]), n, *identity).join(shared_out(live, n, *identity).hint("merge"), identity)
     name = F.concat_ws(".", F.col("table_id").cast("string"), F.col("field").cast("string"))
     eligible = fields.where("ref_table is not null").join(sheets.select(F.col("table_id").alias("ref_table")), "ref_table").select(name.alias("field"), F.col("ref_table").alias("table_id"))
     refs = found.where("ref_table is not null").select("table_id", "row_guid", "key", "path", F.col("field").alias("number"), "property_path", name.alias("field"), F.col("text").alias("token"))

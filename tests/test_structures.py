@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rowledger import queries, typed_queries
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
-from rowledger.operators import graph, identity, intake, lint_graph, migration, schema, tasks
+from rowledger.operators import graph, identity, intake, lint_graph, migration, references, schema, tasks
 from rowledger.registry import Registry
 from rowledger.sources import workbooks
 
@@ -197,3 +197,12 @@ def test_ranges_are_shared_out_by_their_number(spark, monkeypatch):
     out = schema.merge_reserved(ranges)
     assert "hashpartitioning(owner" in out._jdf.queryExecution().toString() and ", 30)" in out._jdf.queryExecution().toString()
     assert sorted(tuple(r) for r in out.collect()) == [(i, i, 2_950 + i + 60) for i in range(50)]
+
+
+def test_targets_are_shared_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "TASK_ROWS", 5)
+    targets = spark.createDataFrame([(3, f"1:{i}", f"g{i}") for i in range(5)] + [(3, "1:1", "g1"), (3, "1:2", "other"), (3, "1:7", None)], "table_id int, key string, row_guid string")
+    refs = spark.createDataFrame([("f", f"3:{i}") for i in (1, 2, 7, 8)], "field string, token string")
+    out = references.resolve_tokens(refs, targets, spark.createDataFrame([("f", 3)], "field string, table_id int"))
+    assert [(r.token, r.dst_guid, r.error) for r in out.orderBy("token").collect()] == [("3:1", "g1", None), ("3:2", None, "ref.ambiguous"), ("3:7", None, None), ("3:8", None, "ref.unresolved")]
+    assert "hashpartitioning(_t" in (plan := out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().toString()) and "RepartitionByExpression" in plan
