@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rowledger.catalog import Catalog, Table
 from rowledger.functions.cells import apart, build_key, parse_columns, parse_revision, valid_guid
 from rowledger.operators import identity, project, references
 from rowledger.operators.checks import check_oneof
+from rowledger.operators.tasks import shared_out
 from rowledger.registry import Format, Registry
 
 ERROR, BLOCKER = 2, 3
+#: Kinds of repeats that one number tells apart.
+BITS = 62
+#: One row in so many is a sample for hot texts, which so many rows of the sample have.
+SAMPLED, HOT = 256, 16
 
 
 def parse_table(staging: DataFrame, table: Table, formats: dict[str, Format] | None = None, incomplete: DataFrame | None = None) -> DataFrame:
@@ -72,46 +78,66 @@ def with_indexable(parsed: DataFrame, catalog: Catalog, validators: Registry | N
     Added are identities (row.duplicate) and keys (key.duplicate) that another row of the table has, of the whole group; texts that
     repeat in a field declared unique (field.duplicate, by its path); groups of which more than one field is set, by the
     raw side (oneof.<name>); registered validators that fail over cells map<path, text> (validator.<name>), or lack registration; and
-    child_findings (path, sheet, row_number, code) of a row's children. Repeats are counted over the rows of all workbooks in one
-    aggregate of (table, what, text), whose groups are counts, so that no text gathers its rows; they meet the rows again by
-    a join that Spark splits where a text is hot.
+    child_findings (path, sheet, row_number, code) of a row's children. Repeats are counted over the rows of all workbooks by
+    (table, what, text), in tasks of bounded size; texts that very many rows have are found in a sample before, so that none gathers
+    its rows. What a row has in common with others comes back to it as a bit for each kind of repeat, and what it lacks by itself is
+    found on the row, so that the values are neither copied into maps nor taken apart. catalog is the one that parse_tables had.
     """
-    at = ["table_id", "path", "sheet", "row_number"]
+    # What tells most rows apart comes first, also in the joins: Spark sorts by eight bytes of the first column and compares rows only where
+    # they are equal.
+    at = ["row_number", "path", "sheet", "table_id"]
     none, error = F.lit(None).cast("string"), F.lit(ERROR)
     finding = lambda path, code, severity=error: F.struct(path.alias("property_path"), code.alias("code"), severity.alias("severity"))
     of = lambda ids: F.col("table_id").isin(ids) if ids else F.lit(False)
-
-    unique = {f.name: [t.table_id for t in catalog.live() if any(x.name == f.name and x.unique for x in t.fields)] for t in catalog.live() for f in t.fields if f.unique}
-    named = F.map_from_arrays(F.transform("values", lambda v: v["property_path"]), F.col("values"))
-    rows = parsed.withColumn("_v", named)
-    mark = lambda what, path, text: F.struct(F.lit(what).alias("what"), path.alias("property_path"), text.alias("text"))
-    marks = [F.when(F.col("row_guid").isNotNull(), mark("row.duplicate", none, F.col("row_guid"))), F.when(F.col("key").isNotNull(), mark("key.duplicate", none, F.col("key")))]
-    for name, tables in unique.items():
-        v = F.try_element_at("_v", F.lit(name))
-        marks.append(F.when(of(tables) & v["state"].isin("Value", "Defaulted"), mark("field.duplicate", F.lit(name), v["text"])))
-    long = rows.select(*at, F.explode(F.array_compact(F.array(*marks))).alias("m")).select(*at, "m.*")
-    twice = long.groupBy("table_id", "what", "property_path", "text").agg(F.count("*").alias("n")).where("n > 1")
-    same = (F.col("r.table_id") == F.col("t.table_id")) & (F.col("r.what") == F.col("t.what")) & F.col("r.property_path").eqNullSafe(F.col("t.property_path")) & (F.col("r.text") == F.col("t.text"))
-    repeats = long.alias("r").join(twice.alias("t"), same, "left_semi").select(*[F.col(f"r.{c}").alias(c) for c in at], finding(F.col("r.property_path"), F.col("r.what")).alias("f"))
-
-    own = []
-    for t in catalog.live():
+    live = catalog.live()
+
+    def held(name: str) -> Column:
+        """The value of a field, taken where the catalog has it: a search by a lambda would keep a pass out of generated code."""
+        tables, found = [t for t in live if any(f.name == name for f in t.fields)], F
+        for i in dict.fromkeys(i for t in tables for i, f in enumerate(t.fields) if f.name == name):
+            found = found.when(F.get("values", F.lit(i))["property_path"] == name, F.get("values", F.lit(i)))
+        return F.when(of([t.table_id for t in tables]), found.otherwise(F.raise_error(F.lit(f"{name} is not where the catalog has it"))))
+
+    unique = {f.name: [t.table_id for t in live if any(x.name == f.name and x.unique for x in t.fields)] for t in live for f in t.fields if f.unique}
+    kinds = [("row.duplicate", none, F.col("row_guid")), ("key.duplicate", none, F.col("key"))]
+    kinds += [("field.duplicate", F.lit(name), F.when(of(tables) & held(name)["state"].isin("Value", "Defaulted"), held(name)["text"])) for name, tables in unique.items()]
+    marks = F.array(*[F.struct(F.lit(i).alias("what"), text.alias("text")) for i, (_, _, text) in enumerate(kinds)])
+    long = parsed.select(*at, F.explode(marks).alias("m")).select(*at, "m.*").where("text is not null")
+    # A text that is often met in a sample is a repeat without being counted: its rows are told by its hash and text where they stand. What is
+    # left has no hot text, so that it is dealt out once and counted where it lies.
+    same = ["h", "text", "what", "table_id"]
+    long = long.withColumn("h", F.xxhash64(*same[1:]))
+    sample = long.where(F.pmod(F.xxhash64(*at), F.lit(SAMPLED)) == 0).groupBy(*same).agg(F.count("*").alias("n")).checkpoint()
+    rows = SAMPLED * (sample.agg(F.sum("n")).first()[0] or 0)
+    long = long.join(F.broadcast(sample.where(F.col("n") >= HOT).select(*same, F.lit(True).alias("hot"))), same, "left")
+    dealt = shared_out(long.where("hot is null").drop("hot"), rows, *same)
+    counted = dealt.withColumn("n", F.count("*").over(Window.partitionBy(*same)))
+    repeats = counted.where("n > 1").select(*at, "what").union(long.where("hot").select(*at, "what"))
+    bits = {f"_bits{w}": F.bit_or(F.when(F.floor(F.col("what") / BITS) == w, F.expr(f"shiftleft(1L, what % {BITS})"))) for w in range(-(-len(kinds) // BITS))}
+    more = shared_out(repeats, rows, *at).groupBy(*at).agg(*[c.alias(n) for n, c in bits.items()])
+
+    own, rules = [], validators or Registry()
+    for t in live:
         for group in dict.fromkeys(f.oneof for f in t.fields if f.oneof):
-            raw = [F.try_element_at("_v", F.lit(f.name))["raw_state"] for f in t.fields if f.oneof == group]
+            raw = [held(f.name)["raw_state"] for f in t.fields if f.oneof == group]
             own.append(F.when(of([t.table_id]) & check_oneof(*[~x.isin("Missing", "Null") for x in raw]), finding(F.lit(group), F.lit(f"oneof.{group}"))))
         for name in t.validators:
-            rule = (validators or Registry()).get(name)
+            rule = rules.get(name)
             fails = of([t.table_id]) & ~F.coalesce(rule(), F.lit(False)) if rule else of([t.table_id])
             own.append(F.when(fails, finding(none, F.lit(f"validator.{name}" if rule else f"validator.unregistered.{name}"))))
-    rows = rows.withColumn("cells", F.transform_values("_v", lambda k, v: v["text"]))
-    single = rows.select(*at, F.explode(F.array_compact(F.array(*own))).alias("f")) if own else repeats.limit(0)
-    found = repeats.union(single)
+    rows = parsed
+    if any(rules.get(name) for t in live for name in t.validators):
+        rows = rows.withColumn("cells", F.map_from_entries(F.transform("values", lambda v: F.struct(v["property_path"], v["text"]))))
+    rows = rows.select(*parsed.columns, F.array(*own).alias("_own")) if own else rows
+    rows = rows.join(more, at, "left")
+    shared = [F.when(F.expr(f"_bits{i // BITS} & shiftleft(1L, {i % BITS})") != 0, finding(path, F.lit(code))) for i, (code, path, _) in enumerate(kinds)]
+    found = [F.array(*shared), *([F.col("_own")] if own else [])]
     if child_findings is not None:
-        known = rows.select(*at)
-        found = found.union(known.join(child_findings.select("path", "sheet", "row_number", "code"), ["path", "sheet", "row_number"]).select(*at, finding(none, F.col("code")).alias("f")))
-    more = found.groupBy(*at).agg(F.array_sort(F.collect_list("f")).alias("_more"))
-    out = parsed.join(more, at, "left")
-    return out.select(*[c for c in parsed.columns if c not in ("indexable", "findings")], (F.col("indexable") & F.col("_more").isNull()).alias("indexable"), F.concat("findings", F.coalesce("_more", F.array().cast(parsed.schema["findings"].dataType))).alias("findings"))
+        known = parsed.select(*at).join(child_findings.select("path", "sheet", "row_number", "code"), ["path", "sheet", "row_number"])
+        rows = rows.join(known.groupBy(*at).agg(F.collect_list(finding(none, F.col("code"))).alias("_children")), at, "left")
+        found.append(F.coalesce("_children", F.array().cast(parsed.schema["findings"].dataType)))
+    rows = rows.withColumn("_more", F.array_sort(F.array_compact(F.concat(*found))))
+    return rows.select(*[c for c in parsed.columns if c not in ("indexable", "findings")], (F.col("indexable") & (F.size("_more") == 0)).alias("indexable"), F.concat("findings", "_more").alias("findings"))
 
 
 def rows_of(parsed: DataFrame) -> DataFrame:

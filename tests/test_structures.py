@@ -206,3 +206,39 @@ def test_targets_are_shared_out_by_their_number(spark, monkeypatch):
     out = references.resolve_tokens(refs, targets, spark.createDataFrame([("f", 3)], "field string, table_id int"))
     assert [(r.token, r.dst_guid, r.error) for r in out.orderBy("token").collect()] == [("3:1", "g1", None), ("3:2", None, "ref.ambiguous"), ("3:7", None, None), ("3:8", None, "ref.unresolved")]
     assert "hashpartitioning(_t" in (plan := out._jdf.queryExecution().optimizedPlan().toString() + out._jdf.queryExecution().toString()) and "RepartitionByExpression" in plan
+
+
+@pytest.mark.parametrize("sampled, hot", [(256, 16), (1, 2), (1, 3), (2, 2)])
+def test_hot_texts_are_repeats_without_being_counted(spark, monkeypatch, sampled, hot):
+    monkeypatch.setattr(intake, "SAMPLED", sampled)
+    monkeypatch.setattr(intake, "HOT", hot)
+    monkeypatch.setattr(tasks, "TASK_ROWS", 20)
+    cell = lambda t: {"text": t, "formula": None}
+    rows = [("w", "s", i, None, None, {"id": cell(str(i // 2 if i < 20 else i)), "c": cell("hot" if i % 3 == 0 else f"c{i}")}) for i in range(200)]
+    catalog = Catalog((Table(1, "s", (Field(1, "id", key_order=1), Field(2, "c", unique=True))),))
+    got = intake.with_indexable(intake.parse_tables(spark.createDataFrame(rows, workbooks.STAGING), catalog), catalog).collect()
+    want = {i: [c for c, bad in (("field.duplicate", i % 3 == 0), ("key.duplicate", i < 20)) if bad] for i in range(200)}
+    assert len(got) == 200 and {r.row_number: sorted(f.code for f in r.findings) for r in got} == want and all(r.indexable == (not want[r.row_number]) for r in got)
+
+
+def test_repeats_are_found_in_generated_code(spark, capsys):
+    """One field at other places in two tables; a search for it by a lambda kept whole passes out of generated code."""
+    cell = lambda t: {"text": t, "formula": None}
+    rows = [("w", s, i, None, None, {"id": cell(str(i)), "c": cell(c), "x": cell("1"), "y": cell("" if i < 3 else "1")}) for s, i, c in [("s", 1, "u"), ("s", 2, "u"), ("s", 3, "v"), ("t", 1, "u"), ("t", 2, "v"), ("t", 4, "v")]]
+    key, c, x, y = Field(1, "id", key_order=1), Field(2, "c", unique=True), Field(3, "x", oneof="o"), Field(4, "y", oneof="o")
+    catalog = Catalog((Table(1, "s", (key, c, x, y)), Table(2, "t", (y, x, c, key))))
+    parsed = intake.parse_tables(spark.createDataFrame(rows, workbooks.STAGING), catalog).checkpoint()
+    out = intake.with_indexable(parsed, catalog)
+    got = {(r.sheet, r.row_number): (r.indexable, sorted(f.code for f in r.findings)) for r in out.collect()}
+    assert got == {("s", 1): (False, ["field.duplicate"]), ("s", 2): (False, ["field.duplicate"]), ("s", 3): (False, ["oneof.o"]), ("t", 1): (True, []), ("t", 2): (False, ["field.duplicate"]), ("t", 4): (False, ["field.duplicate", "oneof.o"])}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        intake.with_indexable(parsed, catalog).explain()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    plan = capsys.readouterr().out
+    assert "Generate explode" in plan
+    assert all(re.search(r"\*\(\d+\) Generate explode", line) for line in plan.splitlines() if "Generate explode" in line)
+    other = Catalog((Table(1, "s", (key, x, c, y)), Table(2, "t", (y, x, c, key))))
+    with pytest.raises(Exception, match="is not where the catalog has it"):
+        intake.with_indexable(parsed, other).collect()
