@@ -6,6 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from rowledger.operators.tasks import shared_out
+
+#: One row in so many is a sample for hot groups, which so many rows of the sample have.
+SAMPLED, HOT = 256, 16
 
 
 def repeated(rows: DataFrame, *by: str) -> DataFrame:
@@ -18,6 +24,22 @@ def without_repeated(rows: DataFrame, *by: str) -> DataFrame:
     return rows.join(repeated(rows, *by).drop("n"), list(by), "left_anti")
 
 
+def repeated_rows(rows: DataFrame, by: list[str], at: list[str]) -> tuple[DataFrame, int]:
+    """(rows whose group of `by`, null in none of them, another row has too; about how many rows there are). `at` tells most rows apart.
+
+    A group that is often met in a sample repeats, without being counted: its rows are told where they stand. What is left has no hot
+    group, so that it is dealt out once, to tasks of bounded size, and counted where it lies.
+    """
+    same = ["_h", *by]  # Spark sorts by eight bytes of the first column, and compares rows only where they are equal
+    hashed = rows.withColumn("_h", F.xxhash64(*by))
+    sample = hashed.where(F.pmod(F.xxhash64(*at), F.lit(SAMPLED)) == 0).groupBy(*same).agg(F.count("*").alias("n")).checkpoint()
+    n = SAMPLED * (sample.agg(F.sum("n")).first()[0] or 0)
+    told = hashed.join(F.broadcast(sample.where(F.col("n") >= HOT).select(*same, F.lit(True).alias("_hot"))), same, "left")
+    dealt = shared_out(told.where("_hot is null").select(*rows.columns, "_h"), n, *same)
+    counted = dealt.withColumn("_n", F.count("*").over(Window.partitionBy(*same)))
+    return counted.where("_n > 1").select(*rows.columns).union(told.where("_hot").select(*rows.columns)), n
+
+
 def duplicate_unique(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(property_path, text, n) of texts that repeat in fields declared unique, in one pass over the rows."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("property_path"), F.col(f).cast("string").alias("text")) for f in fields])).alias("v")).select("v.*")

@@ -10,11 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rowledger.catalog import Catalog, Table
 from rowledger.functions.cells import apart, build_key, parse_columns, parse_revision, valid_guid
-from rowledger.operators import identity, project, references
+from rowledger.operators import checks, identity, project, references
 from rowledger.operators.checks import check_oneof
 from rowledger.operators.tasks import shared_out
 from rowledger.registry import Format, Registry
@@ -22,8 +21,6 @@ from rowledger.registry import Format, Registry
 ERROR, BLOCKER = 2, 3
 #: Kinds of repeats that one number tells apart.
 BITS = 62
-#: One row in so many is a sample for hot texts, which so many rows of the sample have.
-SAMPLED, HOT = 256, 16
 
 
 def parse_table(staging: DataFrame, table: Table, formats: dict[str, Format] | None = None, incomplete: DataFrame | None = None) -> DataFrame:
@@ -103,16 +100,7 @@ def with_indexable(parsed: DataFrame, catalog: Catalog, validators: Registry | N
     kinds += [("field.duplicate", F.lit(name), F.when(of(tables) & held(name)["state"].isin("Value", "Defaulted"), held(name)["text"])) for name, tables in unique.items()]
     marks = F.array(*[F.struct(F.lit(i).alias("what"), text.alias("text")) for i, (_, _, text) in enumerate(kinds)])
     long = parsed.select(*at, F.explode(marks).alias("m")).select(*at, "m.*").where("text is not null")
-    # A text that is often met in a sample is a repeat without being counted: its rows are told by its hash and text where they stand. What is
-    # left has no hot text, so that it is dealt out once and counted where it lies.
-    same = ["h", "text", "what", "table_id"]
-    long = long.withColumn("h", F.xxhash64(*same[1:]))
-    sample = long.where(F.pmod(F.xxhash64(*at), F.lit(SAMPLED)) == 0).groupBy(*same).agg(F.count("*").alias("n")).checkpoint()
-    rows = SAMPLED * (sample.agg(F.sum("n")).first()[0] or 0)
-    long = long.join(F.broadcast(sample.where(F.col("n") >= HOT).select(*same, F.lit(True).alias("hot"))), same, "left")
-    dealt = shared_out(long.where("hot is null").drop("hot"), rows, *same)
-    counted = dealt.withColumn("n", F.count("*").over(Window.partitionBy(*same)))
-    repeats = counted.where("n > 1").select(*at, "what").union(long.where("hot").select(*at, "what"))
+    repeats, rows = checks.repeated_rows(long, ["text", "what", "table_id"], at)
     bits = {f"_bits{w}": F.bit_or(F.when(F.floor(F.col("what") / BITS) == w, F.expr(f"shiftleft(1L, what % {BITS})"))) for w in range(-(-len(kinds) // BITS))}
     more = shared_out(repeats, rows, *at).groupBy(*at).agg(*[c.alias(n) for n, c in bits.items()])
 
@@ -190,11 +178,13 @@ def run_checks(workbooks: DataFrame, staging: DataFrame, parsed: DataFrame, know
     place = ["path", "sheet", "row_number"]
     rows = kept.join(staging.select(*place, "raw_guid"), place)
     scanned = identity.scan(rows.select(F.struct("workbook_id", *place).alias("row_no"), "table_id", "raw_guid", "key"), known)
+    # The rows that project.duplicate_keys_across gives, in tasks of bounded size.
+    twice, _ = checks.repeated_rows(kept.where("table_id is not null and key is not null").select(*place, "workbook_id", "table_id", "key"), ["key", "table_id"], place)
     steps = [
         refused.select(F.lit("sources").alias("step"), "workbook_id", "code", "severity"),
         scanned.where("severity > 0").select(F.lit("identities"), F.col("row_no.workbook_id"), F.concat(F.lit("identity."), F.lower("status")), "severity"),
         kept.select("workbook_id", F.explode("findings").alias("f")).select(F.lit("cells"), "workbook_id", "f.code", "f.severity"),
-        project.duplicate_keys_across(kept).select(F.lit("keys"), "workbook_id", F.lit("key.duplicate"), F.lit(ERROR)),
+        twice.select(F.lit("keys"), "workbook_id", F.lit("key.duplicate"), F.lit(ERROR)),
     ]
     fields = [(t.table_id, f.name, f.ref_table) for t in catalog.live() for f in t.fields if f.ref_table is not None]
     if fields:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rowledger import queries, typed_queries
 from rowledger.catalog import Catalog, Field, Table
 from rowledger.functions import cells
-from rowledger.operators import graph, identity, intake, lint_graph, migration, references, schema, tasks
+from rowledger.operators import checks, graph, identity, intake, lint_graph, migration, references, schema, tasks
 from rowledger.registry import Registry
 from rowledger.sources import workbooks
 
@@ -210,8 +210,8 @@ def test_targets_are_shared_out_by_their_number(spark, monkeypatch):
 
 @pytest.mark.parametrize("sampled, hot", [(256, 16), (1, 2), (1, 3), (2, 2)])
 def test_hot_texts_are_repeats_without_being_counted(spark, monkeypatch, sampled, hot):
-    monkeypatch.setattr(intake, "SAMPLED", sampled)
-    monkeypatch.setattr(intake, "HOT", hot)
+    monkeypatch.setattr(checks, "SAMPLED", sampled)
+    monkeypatch.setattr(checks, "HOT", hot)
     monkeypatch.setattr(tasks, "TASK_ROWS", 20)
     cell = lambda t: {"text": t, "formula": None}
     rows = [("w", "s", i, None, None, {"id": cell(str(i // 2 if i < 20 else i)), "c": cell("hot" if i % 3 == 0 else f"c{i}")}) for i in range(200)]
@@ -242,3 +242,19 @@ def test_repeats_are_found_in_generated_code(spark, capsys):
     other = Catalog((Table(1, "s", (key, x, c, y)), Table(2, "t", (y, x, c, key))))
     with pytest.raises(Exception, match="is not where the catalog has it"):
         intake.with_indexable(parsed, other).collect()
+
+
+def test_keys_across_workbooks_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(checks, "SAMPLED", 1)
+    monkeypatch.setattr(tasks, "TASK_ROWS", 10)
+    cell = lambda t: {"text": t, "formula": None}
+    staging = spark.createDataFrame([(f"w{i % 2}", "s", i, None, None, {"id": cell("0" if i % 3 == 0 else str(i // 2 * 2 if i > 90 else i))}) for i in range(100)], workbooks.STAGING)
+    books = spark.createDataFrame([("w0", "b0"), ("w1", "b1")], "path string, workbook_id string")
+    catalog = Catalog((Table(1, "s", (Field(1, "id", key_order=1),)),))
+    known = spark.createDataFrame([], "table_id int, row_guid string, key string")
+    dealt, real = [], checks.shared_out
+    monkeypatch.setattr(checks, "shared_out", lambda df, n, *by: dealt.append(n) or real(df, n, *by))
+    got = intake.run_checks(books, staging, intake.parse_tables(staging, catalog).checkpoint(), known, catalog).collect()
+    keys = ["0" if i % 3 == 0 else str(i // 2 * 2 if i > 90 else i) for i in range(100)]
+    want = {f"b{w}": sum(keys.count(k) > 1 for k in keys[w::2]) for w in (0, 1)}
+    assert {r.workbook_id: r.n for r in got if r.step == "keys"} == want and dealt == [100]
